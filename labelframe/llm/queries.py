@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from labelframe.llm import simhash
+from labelframe.llm import chat, packing, secrets, simhash, tokens, urls
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_chat_format": chat.op2_chat_format,
+    "op3_token_counts": tokens.op3_token_counts,
+    "op4_secret_scan": secrets.op4_secret_scan,
+    "op6_packing": packing.op6_packing,
+    "op8_url_filter": urls.op8_url_filter,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_url_filter": urls.op8_sql(),
+}
