@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from labelframe.llm import chat, packing, secrets, simhash, tokens, urls
+from labelframe.llm import chat, lines, packing, secrets, simhash, tokens, urls, vectors
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,8 +11,11 @@ QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op6_packing": packing.op6_packing,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_embedding_dedup": vectors.op9_embedding_dedup,
+    "op10_line_dedup": lines.op10_line_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op8_url_filter": urls.op8_sql(),
+    "op10_line_dedup": lines.OP10_SQL,
 }
