@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from labelframe.llm import chat, lines, packing, secrets, simhash, tokens, urls, vectors
+from labelframe.llm import chat, decontamination, lines, packing, secrets, simhash, tokens, urls, vectors
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op2_chat_format": chat.op2_chat_format,
     "op3_token_counts": tokens.op3_token_counts,
     "op4_secret_scan": secrets.op4_secret_scan,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op6_packing": packing.op6_packing,
     "op8_url_filter": urls.op8_url_filter,
     "op9_embedding_dedup": vectors.op9_embedding_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op5_decontamination": decontamination.OP5_SQL,
     "op8_url_filter": urls.op8_sql(),
     "op10_line_dedup": lines.OP10_SQL,
 }
