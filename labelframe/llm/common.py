@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +40,15 @@ BROADCAST_ROWS = 400_000
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` of a few fixed-width columns, with a broadcast hint if it is counted at ``most`` rows or fewer."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the cluster's checkpoint folder and read again."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelframe-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/labelframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
-from labelframe.llm import chat, decontamination, lines, packing, secrets, simhash, tokens, urls, vectors
+from pyspark.sql import DataFrame, SparkSession
+
+from labelframe.llm import chat, decontamination, lines, packing, quality, secrets, simhash, tokens, urls, vectors
+
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the pipeline at the repository's top."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -11,9 +22,11 @@ QUERIES = {
     "op4_secret_scan": secrets.op4_secret_scan,
     "op5_decontamination": decontamination.op5_decontamination,
     "op6_packing": packing.op6_packing,
+    "op7_quality": quality.op7_quality,
     "op8_url_filter": urls.op8_url_filter,
     "op9_embedding_dedup": vectors.op9_embedding_dedup,
     "op10_line_dedup": lines.op10_line_dedup,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
