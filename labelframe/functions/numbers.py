@@ -17,15 +17,16 @@ def share(flag: Column, of: Column | None = None) -> Column:
     return F.avg(value if of is None else F.when(of, value))
 
 
-def nearest_rank(value: Column, p: float) -> Column:
-    """Aggregate: the value at index (n - 1) p, rounded half to even, of the sorted values; 0 for none.
+def nearest_rank(value: Column, times: Column, p: float) -> Column:
+    """Aggregate over distinct values with their numbers: the value at index (n - 1) p, rounded half to even, of all sorted values; 0 for none.
 
-    The values of a group are counted before they are gathered, so only distinct values meet in a task's memory: use it on
-    bounded counts such as classes per writer.
+    What it gathers is one entry a distinct value, so count the values first.
     """
-    values = F.sort_array(F.collect_list(value))
-    index = F.bround((F.size(values) - 1) * F.lit(p), 0).cast("int") + 1
-    return F.coalesce(F.try_element_at(values, index), F.lit(0).cast("long"))
+    entries = F.sort_array(F.collect_list(F.struct(value.cast("long").alias("v"), times.cast("long").alias("c"))))
+    index = F.bround((F.sum(times) - 1) * F.lit(p), 0)
+    start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("found"))
+    step = lambda s, e: F.struct((s["seen"] + e["c"]).alias("seen"), F.coalesce(s["found"], F.when(s["seen"] + e["c"] > index, e["v"])).alias("found"))
+    return F.coalesce(F.aggregate(entries, start, step, lambda s: s["found"]), F.lit(0).cast("long"))
 
 
 def gcd(a: Column, b: Column) -> Column:

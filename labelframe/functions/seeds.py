@@ -67,6 +67,12 @@ def pick(digest: Column, n: Column) -> Column:
     return F.pmod(seed(digest), n.cast("decimal(20,0)")).cast("int")
 
 
+def labelled_digest(**parts: Column) -> Column:
+    """SHA-256 (hex) of ``name:length:value`` of each part, joined by bars."""
+    said = [F.concat(F.lit(f"{k}:"), F.length(v).cast("string"), F.lit(":"), v) for k, v in parts.items()]
+    return F.sha2(F.concat_ws("|", *said).cast("binary"), 256)
+
+
 def style_id(pair_id: Column) -> Column:
     return F.concat(F.lit("style-"), F.substring(F.sha2(pair_id.cast("binary"), 256), 1, 8))
 

@@ -188,11 +188,16 @@ def with_char(rows: DataFrame, family: str) -> DataFrame:
     return rows.join(table, "jis_code", "left").withColumn("char", char).drop("_x0201")
 
 
+def run_occurrences(rows: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
+    """``rows`` with ``occurrence``: of all runs of equal ``value`` in a group's order, how many there have been with this value."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(*order))
+    rows = rows.withColumn("_new", F.when(before.eqNullSafe(F.col(value)), 0).otherwise(1))
+    return rows.withColumn("occurrence", F.sum("_new").over(Window.partitionBy(*by, value).orderBy(*order)).cast("long")).drop("_new")
+
+
 def writer_runs(rows: DataFrame, by: str = "path", at: str = "record_index", sheet: str = "sheet_number") -> DataFrame:
-    """``rows`` with ``occurrence``: how many runs of this sheet number there have been in the file, this one included, and the ``writer`` key."""
-    before = F.lag(sheet).over(Window.partitionBy(by).orderBy(at))
-    rows = rows.withColumn("_new", F.when(before.eqNullSafe(F.col(sheet)), 0).otherwise(1))
-    rows = rows.withColumn("occurrence", F.sum("_new").over(Window.partitionBy(by, sheet).orderBy(at)).cast("long")).drop("_new")
+    """``rows`` with ``occurrence`` of the sheet's run in its file, and the ``writer`` key of file, sheet and occurrence."""
+    rows = run_occurrences(rows, [by], [at], sheet)
     return rows.withColumn("writer", F.format_string("%s#sheet=%d:occ=%d", F.element_at(F.split(F.col(by).cast("string"), "/"), -1), F.col(sheet).cast("long"), "occurrence"))
 
 
