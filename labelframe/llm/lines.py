@@ -32,6 +32,8 @@ from labelframe.llm.common import cut, shuffle_partitions, small, table, text_or
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SPACES = b" \t\n\x0b\x0c\r"
 NO_ID = -(2**63)
+#: Bytes of bitmaps up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def line_keys(text: str, least_chars: int = LEAST_CHARS) -> list[tuple[int, bytes]]:
@@ -144,7 +146,10 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, **how) -> DataFrame:
     bitmaps = cut(keep_bitmaps(docs, id_col, text_col, **how)).select("_lf_key", "_lf_tag", F.col("bitmap").alias("_lf_bitmap"))
-    return _keyed(docs, id_col, text_col).join(small(bitmaps), ["_lf_key", "_lf_tag"], "left")
+    n_bytes = bitmaps.agg(F.sum(F.length("_lf_bitmap"))).first()[0] or 0
+    if n_bytes <= BROADCAST_BYTES:  # and no more rows than ``small`` allows
+        bitmaps = small(bitmaps)
+    return _keyed(docs, id_col, text_col).join(bitmaps, ["_lf_key", "_lf_tag"], "left")
 
 
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", **how) -> DataFrame:
