@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from labelframe.functions.numbers import bind
+
 SCALE = 1000
 
 
@@ -26,22 +28,27 @@ def best_iou(predicted: Column, truth: Column) -> Column:
 
 def union(boxes: Column, strict: bool = False) -> Column:
     """The box around all boxes of four numbers; null for none. ``strict``: null if any box is malformed."""
-    good = F.filter(boxes, lambda b: F.coalesce(F.size(b) == 4, F.lit(False)))
-    edge = lambda pick, i: pick(F.transform(good, lambda b: b[i]))
-    out = F.when(F.size(good) > 0, F.array(edge(F.array_min, 0), edge(F.array_min, 1), edge(F.array_max, 2), edge(F.array_max, 3)))
-    return F.when(F.size(good) == F.size(boxes), out) if strict else out
+
+
+    def around(good: Column) -> Column:
+        edge = lambda pick, i: pick(F.transform(good, lambda b: b[i]))
+        return F.when(F.size(good) > 0, F.array(edge(F.array_min, 0), edge(F.array_min, 1), edge(F.array_max, 2), edge(F.array_max, 3)))
+
+    whole = lambda b: F.coalesce(F.size(b) == 4, F.lit(False))
+    out = bind(F.filter(boxes, whole), around)
+    return F.when(F.forall(boxes, whole), out) if strict else out
 
 
 def outward(box: Column) -> Column:
     """The box rounded outward to whole numbers."""
-    return F.when(box.isNotNull(), F.array(F.floor(box[0]), F.floor(box[1]), F.ceil(box[2]), F.ceil(box[3])))
+    return bind(box, lambda b: F.when(b.isNotNull(), F.array(F.floor(b[0]), F.floor(b[1]), F.ceil(b[2]), F.ceil(b[3]))))
 
 
 def relative(box: Column, width: Column, height: Column) -> Column:
     """The box on a scale of 0 to 1000, rounded half to even and clamped."""
     sides = (width, height, width, height)
-    place = lambda i: F.greatest(F.lit(0), F.least(F.lit(SCALE), F.bround(box[i] * float(SCALE) / sides[i], 0).cast("int")))
-    return F.when(box.isNotNull(), F.array(*(place(i) for i in range(4))))
+    place = lambda b, i: F.greatest(F.lit(0), F.least(F.lit(SCALE), F.bround(b[i] * float(SCALE) / sides[i], 0).cast("int")))
+    return bind(box, lambda b: F.when(b.isNotNull(), F.array(*(place(b, i) for i in range(4)))))
 
 
 def sanitize(box: Column, width: Column, height: Column) -> Column:
@@ -54,7 +61,11 @@ def sanitize(box: Column, width: Column, height: Column) -> Column:
 
 def characters_between(chars: Column, lo: Column, hi: Column, widen: int = 4) -> Column:
     """Characters (structs with ``i``) with lo <= i < hi; if there are none those up to 1, 2 ... ``widen`` places off; else all."""
-    near = [F.filter(chars, lambda c, p=pad: (c["i"] >= lo - p) & (c["i"] < hi + p)) for pad in range(widen + 1)]
+
+    def within(pad: int) -> Column:
+        return F.filter(chars, lambda c: (c["i"] >= lo - pad) & (c["i"] < hi + pad))
+
+    near = [within(pad) for pad in range(widen + 1)]
     return F.coalesce(*(F.when(F.size(x) > 0, x) for x in near), chars)
 
 
@@ -94,11 +105,15 @@ def alignment(gold: Column, mutant: Column, lo: Column, hi: Column) -> Column:
     Characters before the span keep their places, those after it the places they have in the gold text, those in it get
     ids of their own and share the gold span's cells, so that nothing after it moves.
     """
-    n, m = F.length(gold), F.length(mutant)
-    tail = m - hi
-    gold_hi = n - tail
-    part = lambda text, a, size: F.substring(text, a + 1, size)
-    fine = (lo >= 0) & (lo < hi) & (hi <= m) & (gold_hi >= lo) & (part(gold, F.lit(0), lo) == part(mutant, F.lit(0), lo)) & (part(gold, gold_hi, tail) == part(mutant, hi, tail))
-    cell = lambda i: F.when(i < lo, i).when(i >= hi, i - (m - n)).otherwise(lo + F.least(i - lo, F.greatest(F.lit(0), gold_hi - lo - 1)))
-    name = lambda i: F.when((i >= lo) & (i < hi), F.format_string("mutation:%d:%d", lo, i - lo)).otherwise(cell(i).cast("string"))
-    return F.when(fine, F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(name(i).alias("id"), cell(i).alias("cell"))))
+    given = F.struct(gold.alias("g"), mutant.alias("m"), lo.alias("lo"), hi.alias("hi"), F.length(gold).alias("n"), F.length(mutant).alias("k"))
+
+    def aligned(v: Column) -> Column:
+        lo, hi, tail = v["lo"], v["hi"], v["k"] - v["hi"]
+        gold_hi = v["n"] - tail
+        part = lambda text, a, size: F.substring(text, a + 1, size)
+        fine = (lo >= 0) & (lo < hi) & (hi <= v["k"]) & (gold_hi >= lo) & (part(v["g"], F.lit(0), lo) == part(v["m"], F.lit(0), lo)) & (part(v["g"], gold_hi, tail) == part(v["m"], hi, tail))
+        cell = lambda i: F.when(i < lo, i).when(i >= hi, i - (v["k"] - v["n"])).otherwise(lo + F.least(i - lo, F.greatest(F.lit(0), gold_hi - lo - 1)))
+        name = lambda i: F.when((i >= lo) & (i < hi), F.format_string("mutation:%d:%d", lo, i - lo)).otherwise(cell(i).cast("string"))
+        return F.when(fine, F.transform(F.sequence(F.lit(0), v["k"] - 1), lambda i: F.struct(name(i).alias("id"), cell(i).alias("cell"))))
+
+    return bind(given, aligned)

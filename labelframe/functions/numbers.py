@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once: expressions are trees, so a value used n times would stand in the plan n times."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -38,9 +45,10 @@ def gcd(a: Column, b: Column) -> Column:
 
 def rational(num: Column, den: Column) -> Column:
     """(num, den) in lowest terms, den above zero."""
-    sign = F.when(den < 0, -1).otherwise(1)
-    g = F.greatest(F.lit(1).cast("long"), gcd(num, den))
-    return F.struct((sign * num / g).cast("long").alias("num"), (sign * den / g).cast("long").alias("den"))
+    whole = F.struct(num.cast("long").alias("n"), den.cast("long").alias("d"))
+    signed = lambda v: F.when(v["d"] < 0, -1).otherwise(1) * F.greatest(F.lit(1).cast("long"), gcd(v["n"], v["d"]))
+    reduced = lambda v: bind(F.struct(v["n"].alias("n"), v["d"].alias("d"), signed(v).alias("g")), lambda r: F.struct((r["n"] / r["g"]).cast("long").alias("num"), (r["d"] / r["g"]).cast("long").alias("den")))
+    return bind(whole, reduced)
 
 
 def rational_text(r: Column) -> Column:

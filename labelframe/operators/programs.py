@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from labelframe.functions import text as T
-from labelframe.functions.numbers import rational, rational_text, rational_tokens
+from labelframe.functions.numbers import bind, rational, rational_text, rational_tokens
 from labelframe.schema import STEP
 
 LINEAR, ARITH = "一次方程式", "正負の数"
@@ -100,8 +100,8 @@ def execute(mutation: Column | None = None, domain: Column | None = None) -> tup
     num = F.when(wrong & (m["kind"] == "mul"), d * x).when(wrong, d + m["delta"] * x).otherwise(d)
     den = F.when(wrong & (m["kind"] == "mul"), one).otherwise(x)
     root = rational(num, den)
-    root = F.when(is_("op-final-sign-drop", "s4"), F.struct(F.abs(root["num"]).alias("num"), root["den"].alias("den"))).otherwise(root)
-    divide = _step("s4", "divide", F.concat(F.lit("x = "), rational_text(root)), rational_tokens(root))
+    root = bind(root, lambda r: F.struct(F.when(is_("op-final-sign-drop", "s4"), F.abs(r["num"])).otherwise(r["num"]).alias("num"), r["den"].alias("den")))
+    divide = bind(root, lambda r: _step("s4", "divide", F.concat(F.lit("x = "), rational_text(r)), rational_tokens(r)))
 
     # p + q × r
     first = _step("s1", "setup", F.concat(s(x), F.lit(" + "), _paren(s(y)), F.lit(" × "), _paren(s(z))), F.array(s(x), s(y), s(z)))

@@ -24,7 +24,7 @@ def numbered_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> Dat
 
     Whole files are kept in one partition each by reading them as single text values, so numbers are the files' own.
     """
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path).select(F.input_file_name().alias("file"), "value")
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     body = F.regexp_replace("value", r"\n\z", "")
     rows = files.where(F.length("value") > 0).select("file", F.posexplode(F.split(body, "\r\n|\n")).alias("pos", "value"))
     return rows.select("file", (F.col("pos") + 1).cast("long").alias("line"), "value")

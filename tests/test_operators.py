@@ -1,0 +1,375 @@
+from __future__ import annotations
+
+import json
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from labelframe import schema
+from labelframe.operators import audit, dataset, layout, metrics, probe, programs, relabel, rewards, splits, verbalise
+from labelframe.plans import pipelines
+from labelframe.sources import generators
+
+
+@pytest.fixture(scope="module")
+def made(spark):
+    out = programs.generate(spark, 200, 5)
+    rows = out.collect()
+    return out, rows
+
+
+@pytest.fixture(scope="module")
+def pages(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("records")
+    kept, rejected = pipelines.generation(spark, 60, 9, str(folder / "made"))
+    path = str(folder / "laid_out")
+    kept.write.parquet(path)
+    assert rejected.count() == 0
+    return spark.read.parquet(path)
+
+
+def shown(v):
+    return str(v)
+
+
+def bracket(v):
+    return f"({v})" if v < 0 else str(v)
+
+
+def run(domain, x, y, z, m):
+    """The step texts and the answer, written from the description of the programs."""
+    is_ = lambda op: m is not None and m["operator"] == op
+    if domain == programs.LINEAR:
+        minus = (y > 0) != is_("op-transpose-sign")
+        d = z - abs(y) if minus else z + abs(y)
+        texts = [f"{x}x {'+' if y > 0 else '-'} {abs(y)} = {z}", f"{x}x = {z} {'-' if minus else '+'} {abs(y)}"]
+        d += m["delta"] if is_("op-arith-slip") else 0
+        ans = Fraction(d, x)
+        if is_("op-divide-error"):
+            ans = Fraction(d * x) if m["kind"] == "mul" else ans + m["delta"]
+        ans = abs(ans) if is_("op-final-sign-drop") else ans
+        return [*texts, f"{x}x = {d}", f"x = {ans}"], ans
+    first = f"{x} + {bracket(y)} × {bracket(z)}"
+    if is_("op-order-of-ops"):
+        t = x + y
+        ans = t * z
+        steps = [f"{x} + {bracket(y)} = {t}", f"{bracket(t)} × {bracket(z)} = {ans}"]
+    else:
+        v = abs(y * z) if is_("op-mult-sign-drop") else y * z + (m["delta"] if is_("op-arith-slip") and m["site"] == "s2" else 0)
+        ans = x + v + (m["delta"] if is_("op-arith-slip") and m["site"] == "s3" else 0)
+        steps = [f"{bracket(y)} × {bracket(z)} = {v}", f"{x} + {bracket(v)} = {ans}"]
+    ans = abs(ans) if is_("op-final-sign-drop") else ans
+    return [first, *steps, f"答え {ans}"], Fraction(ans)
+
+
+def test_programs_match_their_description(spark):
+    rows = programs.problems(spark, 400, 3).withColumn("m", programs.chosen_mutation(3))
+    gold, answer = programs.execute()
+    mutant, wrong = programs.execute(F.col("m"))
+    got = rows.select("*", gold.alias("gold"), answer.alias("answer"), mutant.alias("mutant"), wrong.alias("wrong")).collect()
+    operators = set()
+    for r in got:
+        texts, ans = run(r["domain"], r["x"], r["y"], r["z"], None)
+        assert [s["text"] for s in r["gold"]] == texts and Fraction(r["answer"]["num"], r["answer"]["den"]) == ans
+        assert r["answer_key"] == str(ans)
+        m = r["m"].asDict()
+        texts, ans = run(r["domain"], r["x"], r["y"], r["z"], m)
+        assert [s["text"] for s in r["mutant"]] == texts, m
+        assert Fraction(r["wrong"]["num"], r["wrong"]["den"]) == ans
+        site = {s["step_id"]: s["text"] for s in r["mutant"]}[m["site"]]
+        assert site != {s["step_id"]: s["text"] for s in r["gold"]}[m["site"]]
+        operators.add(m["operator"])
+    assert len(operators) == 6
+
+
+def test_generation_is_stable_and_passes_its_gates(spark, made):
+    out, rows = made
+    assert len(rows) == 200 and all(not r["g1_reasons"] and not r["g2_reasons"] for r in rows)
+    controls = [r for r in rows if r["control_flag"]["error_free"]]
+    assert len(controls) == 60 and {r["pair_id"] for r in controls} <= {r["pair_id"] for r in rows if not r["control_flag"]["error_free"]}
+    assert {r["sample_id"]: r for r in programs.generate(spark, 200, 5).collect()} == {r["sample_id"]: r for r in rows}
+    by_pair = {}
+    for r in rows:
+        assert by_pair.setdefault(r["pair_id"], r["rubric"]) == r["rubric"]
+        assert r["score_gt"]["awarded"] == 10 if r["control_flag"]["error_free"] else r["score_gt"]["awarded"] <= 10
+    stats = programs.batch_stats(out).first()
+    assert stats["control_ratio"] == 0.3 and stats["g2_pass"] == 200
+    assert sum(r["n"] for r in programs.per_operator(out).collect()) == 200
+
+
+def test_gate_two_finds_faults(spark):
+    rows = programs.problems(spark, 50, 1).withColumn("m", programs.chosen_mutation(1))
+    gold, mutant = programs.execute()[0], programs.execute(F.col("m"))[0]
+    rows = rows.withColumn("g", gold).withColumn("w", mutant)
+    none = F.array().cast("array<string>")
+    reasons = programs.gate_two(F.col("g"), F.col("g"), F.col("w"), F.col("m.site"), none, F.array(F.lit(0), F.lit(99)))
+    got = rows.select(reasons.alias("r")).collect()
+    assert all(any("no change" in x for x in r["r"]) and any("re-execution" in x for x in r["r"]) and any("span" in x for x in r["r"]) for r in got)
+
+
+def test_gate_efficacy(spark):
+    rates = {r["arm"]: r["flagged_rate"] for r in probe.gate_efficacy(spark, 200, 4).collect()}
+    assert rates["clean"] == rates["benign_paraphrase"] == rates["verbose_faithful"] == 0
+    assert rates["digit_change"] >= 0.9 and rates["minus_drop"] >= 0.9
+
+
+def test_proposals(spark):
+    from labelframe.functions import parsing
+
+    rows = spark.createDataFrame([(programs.LINEAR, 3, 8, 20, "20 + 8", None), (programs.LINEAR, 3, 8, 20, "20 - 8", None), (programs.LINEAR, 3, 8, 20, "20 + 7", None), (programs.ARITH, 1, 2, -3, None, 6), (programs.ARITH, 1, 2, -3, None, -6), (programs.ARITH, 1, 2, -3, None, 40)], "domain string, x int, y int, z int, e string, v bigint")
+    got = rows.select(programs.proposed_mutation(parsing.expression(F.coalesce("e", F.lit(""))), F.col("v")).alias("m")).collect()
+    assert [r["m"] is not None for r in got] == [True, False, False, True, False, False]
+    assert got[0]["m"]["canonical"] == "20 + 8" and got[3]["m"]["value"] == 6
+
+
+def error_record(operator, legacy, site, gold, mutant, domain=programs.ARITH, name="a"):
+    step = lambda t: (site, "x", t, t, [], None)
+    return {"sample_id": name, "problem": ("", 7, domain, ""), "injected_errors": [(legacy, operator, site, [], [0, 1], 1, False, None, None)], "gold_solution": [step(gold)], "mutant_solution": [step(mutant)]}
+
+
+RELABELLED = "sample_id string, problem struct<text_ja:string,grade:int,domain:string,generator:string>, injected_errors array<" + schema.ERROR + ">, gold_solution array<" + schema.STEP + ">, mutant_solution array<" + schema.STEP + ">"
+
+
+@pytest.mark.parametrize(
+    ("operator", "gold", "mutant", "kind", "retained", "ambiguous", "reject"),
+    [
+        ("op-llm-transpose-misconception", "3x = 20 - 8", "3x = 20 + 8", "移項", False, False, None),
+        ("op-llm-transpose-misconception", "3x = 20 - 8", "3x = 8 - 20", "L", True, False, None),
+        ("op-llm-transpose-misconception", "3x = 20", "3x = 8", "L", False, False, "no binary sign to flip"),
+        ("op-transpose-sign", "a", "b", "移項", False, False, None),
+        ("op-llm-product-misconception", "2 × (-3) = -6", "2 × (-3) = 6", "符号・乗算", False, False, None),
+        ("op-llm-product-misconception", "2 × 3 = 6", "2 × 3 = 5", "符号・乗算", False, True, None),
+        ("op-llm-product-misconception", "2 × (-3) = -6", "2 × (-3) = -8", "L", True, True, None),
+        ("op-llm-product-misconception", "0 × 3 = 0", "0 × 3 = 5", "L", False, False, "product of zero"),
+        ("op-mult-sign-drop", "a", "b", "符号・乗算", False, False, None),
+        ("op-arith-slip", "a", "b", "L", False, True, None),
+        ("op-order-of-ops", "a", "b", "L", False, False, None),
+    ],
+)
+def test_relabel_rules(spark, operator, gold, mutant, kind, retained, ambiguous, reject):
+    df = spark.createDataFrame([error_record(operator, "L", "s2", gold, mutant)], RELABELLED)
+    row = relabel.relabel_map(df).first()
+    assert row["reject"] == reject and row["ambiguous_cross_family"] == ambiguous
+    if reject is None:
+        assert (row["type_identifiable"], row["subtype_retained"]) == (kind, retained)
+
+
+def test_relabel_stats_are_healthy(spark, pages):
+    stats = relabel.relabel_stats(relabel.relabel_map(pages)).first()
+    assert stats["healthy"] and stats["n_error_records"] == 42
+
+
+def test_mandatory_labels_fail_fast(spark):
+    rows, labels = spark.createDataFrame([("a",), ("b",)], "sample_id string"), spark.createDataFrame([("a", "x")], "sample_id string, t string")
+    assert relabel.attach(rows, labels).where("t is null").count() == 1
+    with pytest.raises(Exception, match="no label for b"):
+        relabel.attach(rows, labels, mandatory=F.lit(True)).collect()
+    assert [r[0] for r in relabel.missing(rows, labels).collect()] == ["b"]
+
+
+@pytest.mark.parametrize(("relative", "identifiable"), [(False, False), (True, False), (False, True)])
+def test_mock_evaluation_is_perfect(spark, pages, relative, identifiable):
+    labels = relabel.relabel_map(pages).select(*(c.split()[0] for c in schema.RELABEL.split(", ")))
+    records = pages
+    if identifiable:  # the truth under the identifiable scheme
+        kinds = labels.select("sample_id", F.col("type_identifiable").alias("_k"))
+        records = pages.join(kinds, "sample_id", "left").withColumn("injected_errors", F.transform("injected_errors", lambda e: e.withField("type", F.coalesce(F.col("_k"), e["type"])))).drop("_k")
+    results, summary = pipelines.evaluation(records, None, pipelines.Options(relative=relative, identifiable=identifiable, mock=True), labels)
+    row = summary.first()
+    for name in ("tpr", "tnr", "bacc", "iou_at_0_5", "bbox_iou_mean", "type_macro_exact_match", "score_exact_match", "score_within_1"):
+        assert row[name] == pytest.approx(1.0), name
+    assert row["transcript_cer_mean"] == 0 and row["over_correction_rate"] == 0 and row["n_location_records"] == 42
+    if identifiable:
+        assert row["over_claim_rate"] in (0.0, None)
+
+
+def test_summary_leaves_failures_out(spark, pages):
+    mock = metrics.mock_predictions(pages)
+    some = [r["sample_id"] for r in pages.select("sample_id").orderBy("sample_id").limit(10).collect()]
+    bad = mock.withColumn("failure", F.when(F.col("sample_id").isin(some), "broken"))
+    results, summary = pipelines.evaluation(pages, bad)
+    row = summary.first()
+    assert row["n_parse_failures"] == 10 and row["tpr"] == 1.0 and row["n_error_records"] + row["n_control_records"] == 50
+
+
+def test_over_claims(spark):
+    kinds = [("移項", "概念/移項"), ("移項", "移項"), ("概念/移項", "移項"), ("概念/移項", "概念/移項")]
+    df = spark.createDataFrame(kinds, "g string, p string")
+    hit = lambda coarsen: F.get(metrics.type_hits(F.col("g"), F.array("p"), F.lit(False), F.lit(False), coarsen), 0)
+    got = df.select(hit(False).alias("a"), hit(True).alias("b")).collect()
+    assert [(r["a"]["exact_match"], r["a"]["over_claim"]) for r in got] == [(False, True), (True, False), (False, False), (True, False)]
+    assert [r["b"]["over_claim"] for r in got] == [False] * 4 and got[0]["b"]["exact_match"]
+
+
+def test_rewards(spark, pages):
+    perfect = rewards.adversarial(pages).where("family = 'perfect'")
+    totals = [r["reward"] for r in rewards.rewarded(perfect).select("reward").collect()]
+    assert all(t["total"] > 0.95 for t in totals)
+    broken = rewards.rewarded(pages.withColumn("out", F.lit(None).cast(rewards.OUT))).select("reward.total", "reward.format").distinct().collect()
+    assert [tuple(r) for r in broken] == [(0.0, 0.0)]
+    rates = {r["family"]: r for r in rewards.inversions(pages).collect()}
+    assert len(rates) == 10 and rates[None]["inversion_rate"] < 0.01
+
+
+def test_type_reward_modes(spark):
+    rows = [("計算/符号", None, None, ["計算/加減"]), ("計算/符号", "符号・乗算", False, ["計算/符号"]), ("計算/符号", "符号・乗算", False, ["符号・乗算"]), ("概念/移項", "概念/移項", False, ["移項"]), ("概念/移項", "概念/移項", True, ["移項"])]
+    df = spark.createDataFrame([((t, i, a), k) for t, i, a, k in rows], "gt struct<type:string,type_identifiable:string,ambiguous_cross_family:boolean>, kinds array<string>")
+    reward, excluded = rewards.type_reward(F.col("gt"), F.col("kinds"))
+    assert [tuple(r) for r in df.select(reward, excluded).collect()] == [(0.5, False), (0.0, False), (1.0, False), (0.5, False), (0.0, True)]
+
+
+def test_layout_twins_share_boxes_outside_the_span(spark, pages):
+    by_pair = {}
+    for r in pages.collect():
+        by_pair.setdefault(r["pair_id"], []).append(r)
+    pairs = [p for p in by_pair.values() if len(p) == 2]
+    assert pairs
+    for one, two in pairs:
+        wrong, right = (one, two) if one["injected_errors"] else (two, one)
+        error = wrong["injected_errors"][0]
+        assert wrong["render"]["style_id"] == right["render"]["style_id"]
+        a = {c["i"]: c["bbox"] for c in wrong["render"]["char_boxes_px"]["s1"]}
+        assert a == {c["i"]: c["bbox"] for c in right["render"]["char_boxes_px"]["s1"]}
+        lo = error["span"][0]
+        site = error["mutation_site"]
+        assert [c["bbox"] for c in wrong["render"]["char_boxes_px"][site] if c["i"] < lo] == [c["bbox"] for c in right["render"]["char_boxes_px"][site] if c["i"] < lo]
+    assert layout.box_acceptance(pages).first()["accepted"]
+    inv = layout.style_invariance(pages).first()
+    assert inv["n_pairs"] == inv["n_same"] == 42
+
+
+def test_verbalised_records(spark, pages):
+    plain = pages.drop("render")
+    out = {r["sample_id"]: r for r in verbalise.verbalised(plain, verbalise.prefixed).collect()}
+    for r in plain.collect():
+        new = out[r["sample_id"]]
+        assert new["provenance"]["verbalizer"] == "llm" and [s["text_template"] for s in new["gold_solution"]] == [s["text"] for s in r["gold_solution"]]
+        if new["injected_errors"]:
+            e = new["injected_errors"][0]
+            text = {s["step_id"]: s["text"] for s in new["mutant_solution"]}[e["mutation_site"]]
+            lo, hi = e["span"]
+            assert 0 <= lo < hi <= len(text)
+            assert text.endswith({s["step_id"]: s["text"] for s in r["mutant_solution"]}[e["mutation_site"]])
+            old = {s["step_id"]: s["text"] for s in r["mutant_solution"]}[e["mutation_site"]]
+            assert lo >= len(text) - len(old)
+        assert new["transcript_gt"]["text"].count("\n") == 4
+
+
+def test_verbaliser_falls_back(spark):
+    steps = [{"step_id": "s1", "op": "setup", "text": "3x = 4", "numbers": ["3", "4"]}, {"step_id": "s2", "op": "answer", "text": "答え 5", "numbers": ["5"]}]
+    calls = []
+
+    def liar(problem, asked):
+        calls.append([s["step_id"] for s in asked])
+        return ["よって " + s["text"] if s["step_id"] == "s1" else "答え 6" for s in asked]
+
+    texts, back = verbalise.worded(liar, "p", steps, 2)
+    assert texts == ["よって 3x = 4", "答え 5"] and back == ["s2"] and calls == [["s1", "s2"], ["s2"], ["s2"]]
+    assert verbalise.worded(lambda p, s: 1 / 0, "p", steps, 1) == (["3x = 4", "答え 5"], ["s1", "s2"])
+
+
+def test_splits(spark):
+    rows = spark.range(500).select((F.col("id") % 97).cast("string").alias("pair"), "id")
+    test = splits.sample(rows, "id", 10, 3)
+    out = splits.split_groups(rows, "pair", 0.25, 7, test)
+    assert splits.shared_keys(out, "pair", "split").count() == 0 and out.count() == 500
+    touched = {r["pair"] for r in test.collect()}
+    assert {r["pair"] for r in out.where("split = 'test'").select("pair").distinct().collect()} == touched
+    assert out.where("split = 'val'").select("pair").distinct().count() == round((97 - len(touched)) * 0.25)
+    with pytest.raises(ValueError):
+        splits.assert_disjoint(rows.withColumn("split", F.when(F.col("id") < 250, "a").otherwise("b")), "pair", "split")
+    import random
+
+    ids = list(range(500))
+    random.Random(42).shuffle(ids)
+    assert {r["id"] for r in splits.compat_sample(rows, "id", "id", 20, 42).collect()} == set(ids[:20])
+
+
+def test_keep_first_is_by_priority(spark):
+    df = spark.createDataFrame([("b", 0, 1), ("a", 1, 2), ("b", 1, 3), ("c", 2, 4)], "k string, p int, pos int")
+    assert [r["k"] for r in splits.keep_first(df, "k", [F.col("p"), F.col("pos")], 2).orderBy("p", "pos").collect()] == ["b", "a"]
+
+
+def test_dataset_build(spark, pages):
+    build = pipelines.dataset_build(pages, None, 0.2, 1, test_seed=2, test_n=5)
+    rows = build.rows.collect()
+    assert len(rows) == 60 and build.rejected.count() == 0
+    for r in rows:
+        answer = json.loads(r["messages"][1]["content"][0]["text"])
+        assert list(answer) == ["transcript", "errors", "score"] and r["messages"][0]["content"][0]["type"] == "image"
+        assert all(0 <= v <= 1000 for e in answer["errors"] for v in e["bbox"]) and (answer["errors"] == []) == r["meta"]["error_free"]
+    stats = {r["split"]: r for r in build.stats.collect()}
+    assert stats[None]["records"] == 60 and set(stats) == {None, "train", "val", "test"}
+    pairs = {}
+    for r in rows:
+        assert pairs.setdefault(r["meta"]["pair_id"], r["split"]) == r["split"]
+
+
+def test_contract_reasons(spark, pages):
+    first = pages.where("control_flag.error_free").limit(1)
+    twice = first.unionByName(first)
+    assert all("duplicate sample_id" in r["reject_reasons"] for r in dataset.validated(twice).collect())
+    lying = pages.withColumn("control_flag", F.struct(F.lit(True).alias("error_free"))).where(F.size("injected_errors") > 0)
+    assert all("error_free with errors" in r["reject_reasons"] for r in dataset.validated(lying).collect())
+    boxless = pages.where(F.size("injected_errors") > 0).withColumn("render", F.col("render").withField("error_span_boxes_px", F.slice("render.error_span_boxes_px", 1, 0)))
+    assert all("error without a box" in r["reject_reasons"] for r in dataset.validated(boxless).collect())
+    extra = pages.withColumn("injected_errors", F.transform("injected_errors", lambda e: e.withField("_payload", F.lit("x"))))
+    assert dataset.without_payload(extra).schema["injected_errors"] == pages.schema["injected_errors"]
+
+
+def test_auc_equals_all_pairs(spark):
+    import random
+
+    rnd = random.Random(2)
+    rows = [(rnd.randint(0, 30) / 7, rnd.random() < 0.3) for _ in range(500)]
+    pos, neg = [s for s, p in rows if p], [s for s, p in rows if not p]
+    want = sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg))
+    df = spark.createDataFrame(rows, "s double, p boolean")
+    assert probe.auc(df, "s", F.col("p")).first()["auc"] == pytest.approx(want)
+    assert probe.auc(df.where("p"), "s", F.col("p")).first()["auc"] == 0.5
+
+
+def test_kpi(spark):
+    grid = probe.kpi_grid(spark)
+    rows = {(r["tpr"], r["type_accuracy"], r["severity_accuracy"]): r for r in grid.collect()}
+    assert len(rows) == 63 and round(rows[0.75, 0.8, 0.8]["independent"], 3) == 0.534 and round(rows[0.85, 0.8, 0.8]["independent"], 3) == 0.579
+    some = grid.where("tpr in (0.75, 0.95) and type_accuracy = 0.9 and severity_accuracy = 0.9")
+    for r in probe.kpi_simulated(some, 20_000, 3).collect():
+        p = rows[r["tpr"], r["type_accuracy"], r["severity_accuracy"]]["independent"]
+        assert abs(r["rate"] - p) < 4 * (p * (1 - p) / 20_000) ** 0.5
+
+
+def test_probe_bayes_separates(spark, pages):
+    rows = pages.select("sample_id", F.when(F.col("control_flag.error_free"), 0).otherwise(1).alias("y"), F.col("transcript_gt.text").alias("t"))
+    model = probe.fit_bayes(rows, F.col("t"), "y")
+    scores = probe.score_bayes(rows, F.col("t"), "sample_id", model)
+    out = probe.auc(scores.join(rows, "sample_id"), "score", F.col("y") == 1).first()
+    assert 0.4 < out["auc"] <= 1 and out["n_pos"] == 42
+    assert probe.top_bigrams(model, 3).count() == 3
+
+
+def test_collection_plan(spark):
+    plan = generators.collection_plan(spark)
+    rows = plan.collect()
+    assert len(rows) == 1350 and len({r["page_id"] for r in rows}) == 1350
+    copies = [r["content_id"] for r in rows if r["block"] == "書き写し"]
+    assert len(copies) == len(set(copies)) == 900
+    evaluation = {r["writer_id"] for r in rows if r["purpose"] == generators.EVALUATION}
+    assert not evaluation & {r["writer_id"] for r in rows if r["purpose"] != generators.EVALUATION}
+
+
+def test_out_of_vocabulary(spark):
+    docs, known = spark.createDataFrame([("a b😀é",), ("a　c",), (None,)], "t string"), spark.createDataFrame([("a",)], "char string")
+    stats, missing = audit.out_of_vocabulary(docs, F.col("t"), known)
+    assert stats.first().asDict() == {"total": 6, "oov_occurrences": 4, "oov_rate": 4 / 6, "distinct_oov": 4}
+    assert [(r["char"], r["codepoint"]) for r in missing.collect()] == [("b", "U+0062"), ("c", "U+0063"), ("é", "U+00E9"), ("😀", "U+1F600")]
+    assert audit.out_of_vocabulary(docs.where("false"), F.col("t"), known)[0].first()["oov_rate"] == 0.0
+
+
+def test_aggregates_on_empty_input(spark, pages):
+    results, summary = pipelines.evaluation(pages.where("false"), metrics.mock_predictions(pages.where("false")))
+    row = summary.first()
+    assert row["tpr"] is None and row["type_macro_exact_match"] is None and row["n_error_records"] == 0
+    empty = audit.coverage_summary(spark.createDataFrame([], "w string, c string"), "w", "c").first()
+    assert empty["density"] == 0.0 and empty["p95"] == 0 and empty["n_writers"] == 0
