@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelframe.llm.common import cut, table
+from labelframe.llm.common import cut, small, table
 
 #: Labelled documents to fit on, at most; words kept per model; documents of the sample that a word must be in; its least z score.
 SAMPLE, WORDS, LEAST_DOCS, LEAST_Z = 10_000, 300, 5, 4.0
@@ -146,13 +146,17 @@ def scorer(models: dict[str, Model | None]):
     """Arrow-batched column function: text to struct(low, toxic) of probabilities."""
 
     every = frozenset().union(*(m.words for m in models.values() if m))
+    by_length = {n: {w[1:] for w in every if w[:1] == b"^" and len(w) == n + 1} for n in STEMS}
+    by_length = {n: stems for n, stems in by_length.items() if stems}
 
     @F.pandas_udf("low double, toxic double")
     def score(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             shape, distinct = features(text)
-            known = every & with_stems(distinct)
+            known = set(every & distinct)
+            for n, stems in by_length.items():
+                known.update(b"^" + w for w in {w[:n] for w in distinct if len(w) > n} & stems)
             rows.append(tuple(m.probability(shape, known) if m else 0.0 for m in (models["low"], models["toxic"])))
         return pd.DataFrame(rows, columns=["low", "toxic"])
 
@@ -214,7 +218,7 @@ def judged(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_co
     p = 1 - (1 - F.col("_lf_s.low")) * (1 - F.col("_lf_s.toxic"))
     sums, prior = site_sums(scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), p.alias("p")))
     sums = sums.select(*(F.col(c).alias(f"_lf_{c}") for c in ("host", "path", "n_path", "p_path", "n_host", "p_host")))
-    joined = scored.withColumn("_lf_p", p).join(sums, F.col(host_col).eqNullSafe(F.col("_lf_host")) & F.col(path_col).eqNullSafe(F.col("_lf_path")), "left")
+    joined = scored.withColumn("_lf_p", p).join(small(sums), F.col(host_col).eqNullSafe(F.col("_lf_host")) & F.col(path_col).eqNullSafe(F.col("_lf_path")), "left")
     host = (prior.host * prior.rate + F.col("_lf_p_host") - F.col("_lf_p")) / (prior.host + F.col("_lf_n_host") - 1)
     site = F.greatest(F.lit(0.0), (prior.path * host + F.col("_lf_p_path") - F.col("_lf_p")) / (prior.path + F.col("_lf_n_path") - 1))
     shift = _logit(site) - _logit(F.lit(prior.rate)) if 0 < prior.rate < 1 else F.lit(0.0)
