@@ -3,9 +3,10 @@
 Documents become token ids and an end token; only those over ``size`` are cut, from the end, into pieces of ``size``
 with a shorter first piece. Full pieces are sequences of their own. The others are dealt evenly over partitions and packed by
 best-fit decreasing. Dual-feasible functions (Martello and Toth's thresholds, Fekete and Schepers' roundings) turn the lengths of a
-partition into lower bounds on its bins; a partition whose count meets the bound is certified optimal and final. One with a gap
-releases its emptiest bins; the released documents of all partitions are exchanged and packed anew by fewer
-partitions, until nothing is released or one partition packs the rest.
+partition into lower bounds on its bins; a partition whose count meets the bound is certified optimal, and final if its bins have less than a bin of free space
+in all. One with a gap keeps its full bins and releases the others; the released documents of all partitions are exchanged and packed anew by half as many
+partitions, until nothing is released, one partition packs the rest, or the last round has come. With ``ROUNDS`` rounds a partition
+packs 2^(ROUNDS - 1) times ``ITEMS`` lengths at most, whatever the input's size.
 
 Defined results: a null text counts as empty (the end token alone); repeated rows are packed each by itself; null ids stay null; extra columns are ignored; an
 empty table gives an empty result.
@@ -74,15 +75,9 @@ def best_fit_decreasing(lengths: np.ndarray, size: int = SIZE) -> tuple[np.ndarr
     return bins, offsets, np.array(free, np.int64)
 
 
-def released(bins: np.ndarray, free: np.ndarray, bound: int, size: int = SIZE) -> np.ndarray:
-    """Which bins a partition with a gap gives up: the emptiest, with free space for twice the gap, half of all at most."""
-    gap = len(free) - bound
-    out = np.zeros(len(free), bool)
-    if gap > 0:
-        order = np.argsort(-free, kind="stable")
-        n = int(np.searchsorted(np.cumsum(free[order]), 2 * gap * size)) + 1
-        out[order[: max(2, min(n, -(-len(free) // 2)))]] = True
-    return out
+def released(free: np.ndarray, bound: int, size: int = SIZE) -> np.ndarray:
+    """Which bins a partition gives up: all that are not full, unless its count meets the bound and no other partition's documents could save a bin (its free space is less than one)."""
+    return (free > 0) & ((len(free) > bound) | (int(free.sum()) >= size))
 
 
 def pieces(docs: DataFrame, tokenizer: tuple, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -107,7 +102,7 @@ def pieces(docs: DataFrame, tokenizer: tuple, size: int = SIZE, end_id: int = EN
 
 
 def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS, rounds: int = ROUNDS) -> DataFrame:
-    """(uid, sequence_id, offset) for items (uid long, length long below ``size``)."""
+    """(uid, sequence_id, offset, n_bins, bound) for items (uid long, length long below ``size``); the last two: bins of the partition that packed it, and their certified lower bound."""
 
     def packer(number: int, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +113,10 @@ def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS, rounds:
             order = np.argsort(uid)  # the same whatever order a retried task reads in
             uid, lengths = uid[order], lengths[order]
             bins, offsets, free = best_fit_decreasing(lengths, size)
-            out = np.zeros(len(free), bool) if last else released(bins, free, lower_bound(lengths, size), size)
+            bound = lower_bound(lengths, size)
+            out = np.zeros(len(free), bool) if last else released(free, bound, size)
             sequence = np.int64(number) << 58 | np.int64(TaskContext.get().partitionId()) << 34 | bins
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(lengths), pa.array(sequence), pa.array(offsets), pa.array(out[bins])], names=["uid", "length", "sequence_id", "offset", "out"])
+            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(lengths), pa.array(sequence), pa.array(offsets), pa.array(np.full(len(uid), len(free))), pa.array(np.full(len(uid), bound)), pa.array(out[bins])], names=["uid", "length", "sequence_id", "offset", "n_bins", "bound", "out"])
 
         return run
 
@@ -129,10 +125,10 @@ def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS, rounds:
     for number in range(1, rounds + 1):
         n_partitions = max(1, -(-n // per_partition))
         if n_before is not None and n_partitions > 1:
-            n_partitions = max(1, min(n_partitions, n_before // 2))
+            n_partitions = min(n_partitions, max(1, n_before // 2))
         last = n_partitions == 1 or number == rounds
-        done = cut(pool.repartition(n_partitions).mapInArrow(packer(number, last), "uid long, length long, sequence_id long, offset long, out boolean"))
-        final.append(done.where("not out").select("uid", "sequence_id", "offset"))
+        done = cut(pool.repartition(n_partitions).mapInArrow(packer(number, last), "uid long, length long, sequence_id long, offset long, n_bins long, bound long, out boolean"))
+        final.append(done.where("not out").select("uid", "sequence_id", "offset", "n_bins", "bound"))
         pool, n_before = done.where("out").select("uid", "length"), n_partitions
         if last or not (n := pool.count()):
             break
@@ -143,10 +139,10 @@ def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS, rounds:
 
 
 def pack_documents(docs: DataFrame, tokenizer: tuple, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", per_partition: int = ITEMS) -> DataFrame:
-    """id, piece, start, length, ids_crc32, sequence_id, offset: every piece's place in a sequence of ``size`` tokens at most."""
+    """id, piece, start, length, ids_crc32, sequence_id, offset: every piece's place in a sequence of ``size`` tokens at most; n_bins and bound as ``pack`` gives them."""
     cutup = cut(pieces(docs, tokenizer, size, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
     placed = pack(cutup.where(F.col("length") < size), size, per_partition)
-    full = cutup.where(F.col("length") == size).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = cutup.where(F.col("length") == size).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("n_bins"), F.lit(1).cast("long").alias("bound"))
     full = full.withColumn("sequence_id", -1 - F.col("sequence_id"))  # below zero: never an id of a packed one
     return full.unionByName(cutup.where(F.col("length") < size).join(placed, "uid")).drop("uid")
 
