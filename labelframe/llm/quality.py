@@ -60,14 +60,18 @@ def with_stems(distinct: set[bytes]) -> set[bytes]:
 
 @dataclass(frozen=True)
 class Model:
-    """A logistic model: standardised shape features and word presences; None weights say nothing."""
+    """A logistic model over shape features, held within the range (low, high) of the sample, and word presences."""
 
     bias: float
     shape: tuple[float, ...]
+    low: tuple[float, ...]
+    high: tuple[float, ...]
     words: dict[bytes, float]
 
     def probability(self, shape: list[float], distinct: set[bytes]) -> float:
-        z = self.bias + sum(w * x for w, x in zip(self.shape, shape, strict=False))
+        z = self.bias
+        for w, x, low, high in zip(self.shape, shape, self.low, self.high, strict=True):
+            z += w * (low if x < low else high if x > high else x)
         z += sum(self.words[w] for w in self.words.keys() & distinct)
         return 1 / (1 + math.exp(-max(-MOST_LOGIT, min(MOST_LOGIT, z))))
 
@@ -76,7 +80,8 @@ def fit(shapes: np.ndarray, present: list[list[int]], chosen: list[bytes], bad:
     """Ridge logistic regression by Newton's method; None without both labels. ``present``: numbers of the ``chosen`` words of each document."""
     if not len(bad) or bad.all() or not bad.any():
         return None
-    mean, spread = shapes.mean(0), shapes.std(0) + 1e-9
+    mean, spread = shapes.mean(0), shapes.std(0)
+    spread[spread < 1e-6] = 1.0
     k = 1 + shapes.shape[1]
     x = np.zeros((len(bad), k + len(chosen)))
     x[:, 0], x[:, 1:k] = 1, (shapes - mean) / spread
@@ -93,7 +98,7 @@ def fit(shapes: np.ndarray, present: list[list[int]], chosen: list[bytes], bad:
         if np.abs(step).max() < 1e-4:
             break
     scaled = weights[1:k] / spread
-    return Model(float(weights[0] - scaled @ mean), tuple(scaled.tolist()), {w: float(v) for w, v in zip(chosen, weights[k:], strict=True)})
+    return Model(float(weights[0] - scaled @ mean), tuple(scaled.tolist()), tuple(shapes.min(0).tolist()), tuple(shapes.max(0).tolist()), {w: float(v) for w, v in zip(chosen, weights[k:], strict=True)})
 
 
 def _telling(counts: DataFrame, flag: str, n_bad: int, n: int, n_words: int) -> list[bytes]:
@@ -164,7 +169,9 @@ def scorer(models: dict[str, Model | None]):
 
 
 def _logit(p: Column) -> Column:
-    return F.greatest(F.lit(-MOST_LOGIT), F.least(F.lit(MOST_LOGIT), F.ln(p / (1 - p))))
+    least = 1 / (1 + math.exp(MOST_LOGIT))
+    held = F.greatest(F.lit(least), F.least(F.lit(1 - least), p))
+    return F.ln(held / (1 - held))
 
 
 def _strength(rate: float, total: float, squares: float, groups: int, between: float, within: float) -> float:
