@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from labelframe.functions import geometry as G
 from labelframe.functions import seeds
+from labelframe.functions.numbers import bind
 from labelframe.functions.text import SPACES
 from labelframe.operators.programs import step_text
 
@@ -46,12 +47,16 @@ def laid_out(records: DataFrame, settings: dict | None = None) -> DataFrame:
     rows = rows.withColumn("_y", TOP_Y + LINE_GAP * F.coalesce(F.sum("_rows").over(above), F.lit(0)))
 
     def box(c: Column, i: Column) -> Column:
-        place = G.grid_place(c["cell"], F.col("_columns"), F.col("_start"), F.col("_y"), F.lit(PITCH), F.lit(LINE_GAP))
-        x, y = place["x"], place["y"]
-        if settings is not None:
-            moved = seeds.placement(settings, F.col("pair_id"), key, c["id"], place["row"], x, F.lit(PITCH))
-            x, y = x + moved["spacing_offset_px"], y + moved["baseline_offset_px"]
-        return F.struct(i.alias("i"), place["row"].alias("row"), F.substring(text, i + 1, F.lit(1)).alias("char"), F.array(x.cast("double"), y.cast("double"), (x + SIZE).cast("double"), (y + SIZE).cast("double")).alias("bbox"), F.lit("font").alias("glyph_source"))
+        def at(p: Column, x: Column, y: Column) -> Column:
+            return F.struct(i.alias("i"), p["row"].alias("row"), F.substring(text, i + 1, F.lit(1)).alias("char"), F.array(*(v.cast("double") for v in (x, y, x + SIZE, y + SIZE))).alias("bbox"), F.lit("font").alias("glyph_source"))
+
+        def moved(p: Column) -> Column:
+            if settings is None:
+                return at(p, p["x"], p["y"])
+            shift = seeds.placement(settings, F.col("pair_id"), key, c["id"], p["row"], p["x"], F.lit(PITCH))
+            return bind(F.struct(p["row"].alias("row"), (p["x"] + shift["spacing_offset_px"]).alias("x"), (p["y"] + shift["baseline_offset_px"]).alias("y")), lambda q: at(q, q["x"], q["y"]))
+
+        return bind(G.grid_place(c["cell"], F.col("_columns"), F.col("_start"), F.col("_y"), F.lit(PITCH), F.lit(LINE_GAP)), moved)
 
     chars = F.filter(F.transform("_cells", box), lambda c: ~c["char"].rlike(f"^{SPACES}$"))
     rows = rows.withColumn("_chars", chars)
