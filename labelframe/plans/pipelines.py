@@ -76,7 +76,7 @@ def evaluation(records: DataFrame, predictions: DataFrame | None, options: Optio
 
 def family_audit(spark: SparkSession, paths: list[str], family: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(decoded records, one row of coverage, undecodable classes) of a family's files."""
-    rows = fixed.with_char(fixed.decode(fixed.scan(spark, paths, family), family), family).where("skipped is null")
+    rows = fixed.with_char(fixed.decode(fixed.scan(spark, paths, family, images=False), family), family).where("skipped is null")
     rows = fixed.writer_runs(rows) if family == "9G" else rows.withColumn("writer", F.col("sheet_number").cast("string"))
     order = F.struct("path", "record_index")
     return rows, audit.coverage_summary(rows, "writer", "class_code", fixed.EXPECTED_CLASSES[family], F.col("sheet_number") > 0), audit.undecodable(rows, "class_code", "char", order, "reading", "path", "record_index")

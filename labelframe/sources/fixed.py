@@ -12,6 +12,8 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -42,6 +44,7 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.paths = options["path"].split(",")
         self.length, self.rows = int(options["recordlength"]), int(options.get("rowspartition", 100_000))
+        self.kept = min(self.length, int(options.get("bytes", self.length)))
 
     def partitions(self) -> list[InputPartition]:
         out: list[InputPartition] = []
@@ -53,15 +56,23 @@ class _Reader(DataSourceReader):
             out += [_Range(path, at, min(self.rows, n - at)) for at in range(0, n, self.rows)]
         return out
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.first * self.length)
-            for k in range(partition.count):
-                yield partition.path, partition.first + k, f.read(self.length)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        # mapped, so that bytes that are not kept are not read (where a record spans pages)
+        records = np.memmap(partition.path, np.uint8, "r").reshape(-1, self.length)
+        step = max(1, (8 << 20) // max(1, self.kept))
+        for at in range(partition.first, partition.first + partition.count, step):
+            n = min(step, partition.first + partition.count - at)
+            raw = np.ascontiguousarray(records[at : at + n, : self.kept])
+            offsets = np.arange(n + 1, dtype=np.int32) * self.kept
+            values = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+            yield pa.RecordBatch.from_arrays([pa.array([partition.path] * n, pa.string()), pa.array(np.arange(at, at + n)), values], names=["path", "record_index", "raw"])
 
 
 class FixedLength(DataSource):
-    """``spark.read.format("fixed_length").option("recordLength", n).load(path)``; files must be readable by path on all executors."""
+    """``spark.read.format("fixed_length").option("recordLength", n).option("path", p).load()``; files must be readable by path on all executors.
+
+    Option ``bytes`` keeps the first bytes of each record only: headers, where images are not wanted. Option ``rowsPartition`` sets the size of partitions.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -74,10 +85,15 @@ class FixedLength(DataSource):
         return _Reader({k.lower(): v for k, v in self.options.items()})
 
 
-def scan(spark: SparkSession, paths: list[str], family: str) -> DataFrame:
-    """Records of the files of a family: dummy first and trailing model records of 9B files are marked ``skipped``."""
+#: Bytes of a record before its image.
+HEADERS = {"1": 32, "6": 32, "9G": 64, "9B": 8}
+
+
+def scan(spark: SparkSession, paths: list[str], family: str, images: bool = True) -> DataFrame:
+    """Records of the files of a family, whole or (without ``images``) their headers; dummy first and trailing model records of 9B files are marked ``skipped``."""
     spark.dataSource.register(FixedLength)
-    rows = spark.read.format("fixed_length").option("recordLength", LENGTHS[family]).option("path", ",".join(sorted(paths))).load()
+    kept = LENGTHS[family] if images else HEADERS[family]
+    rows = spark.read.format("fixed_length").option("recordLength", LENGTHS[family]).option("bytes", kept).option("path", ",".join(sorted(paths))).load()
     return rows.withColumn("skipped", skipped(rows, family, {p: os.path.getsize(p) // LENGTHS[family] for p in paths}))
 
 
