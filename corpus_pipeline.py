@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelframe.llm.common import table, written
+from labelframe.llm.common import discard, table, written
 from labelframe.llm.decontamination import drop_contaminated
 from labelframe.llm.lines import drop_lines
 from labelframe.llm.packing import pack_documents
@@ -49,8 +49,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows for the documents of ``sf_dir``. A stage's table goes when the next one is written."""
+    docs, made = table(spark, sf_dir, "documents"), False
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        after = written(stage(spark, docs, sf_dir))
+        if made:
+            discard(docs)
+        docs, made = after, True
     return docs
