@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from labelframe.functions.numbers import bind
+
 #: What counts as white space: Unicode white space and the separators U+001C to U+001F.
 SPACES = r"(?U)[\s\x1c-\x1f]"
 #: What ends a line.
@@ -70,9 +72,8 @@ def flip_last_binary_sign(text: Column) -> Column:
 
 
 def bigrams(text: Column) -> Column:
-    """Overlapping pairs of characters."""
-    n = F.length(text)
-    return F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(text, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    """Overlapping pairs of characters. The text is split once: a substring at position i would walk through i characters."""
+    return bind(F.split(text, ""), lambda cs: F.zip_with(F.slice(cs, F.lit(1), F.greatest(F.lit(0), F.size(cs) - 1)), F.slice(cs, F.lit(2), F.greatest(F.lit(0), F.size(cs) - 1)), lambda a, b: F.concat(a, b)))
 
 
 def is_subsequence(expected: Column, actual: Column) -> Column:
