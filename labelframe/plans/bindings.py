@@ -237,7 +237,7 @@ def clamped_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _boxes(spark, sf_dir).select("l_orderkey", "l_linenumber", *(c[i].alias(f"c{i}") for i in range(4)))
 
 
-@_query("grid_layout", "SELECT o_orderkey, (o_custkey // 23)::INT AS row_no, (o_custkey % 23)::INT AS column_no, round(90 + o_custkey % 23 * 44.1, 6) AS x, round(120.0 + (o_custkey // 23) * 80, 6) AS y FROM orders")
+@_query("grid_layout", "SELECT o_orderkey, (o_custkey // 23)::INT AS row_no, (o_custkey % 23)::INT AS column_no, round((90 + o_custkey % 23 * 44.1)::DOUBLE, 6) AS x, round((120.0 + (o_custkey // 23) * 80)::DOUBLE, 6) AS y FROM orders")
 def grid_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = G.grid_place(F.col("o_custkey"), F.lit(23), F.lit(90.0), F.lit(120.0), F.lit(44.1), F.lit(80.0))
     return _table(spark, sf_dir, "orders").select("o_orderkey", p["row"].alias("row_no"), p["column"].alias("column_no"), r6(p["x"]).alias("x"), r6(p["y"]).alias("y"))
