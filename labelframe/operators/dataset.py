@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelframe.functions import geometry as G
-from labelframe.functions.numbers import ratio  # noqa: F401  (re-exported: reports use it)
 
 COORDINATES = "座標は左上原点の 0〜1000 の相対座標 [x0,y0,x1,y1] で答えてください。"
 
@@ -92,7 +91,6 @@ def distribution(rows: DataFrame, value: Column, by: list[str] | None = None, om
 
 def split_stats(rows: DataFrame, split: str, group: str, control: Column) -> DataFrame:
     """Per split and over all (split null): records, distinct groups, errors, controls, errors per control (null without controls)."""
-    errors, controls = F.count_if(~control), F.count_if(control)
     keep = rows.withColumn("_control", control)
     errors, controls = F.count_if(~F.col("_control")), F.count_if("_control")
     return keep.groupingSets([[F.col(split)], []], split).agg(F.count(F.lit(1)).alias("records"), F.count_distinct(group).alias("pairs"), errors.alias("error_records"), controls.alias("control_records"), F.try_divide(errors.cast("double"), controls).alias("error_to_control_ratio"))

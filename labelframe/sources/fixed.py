@@ -13,10 +13,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import BinaryType
 
 #: Record length by family.
 LENGTHS = {"1": 2052, "6": 2052, "9G": 8199, "9B": 576}
@@ -35,6 +37,19 @@ def family_of(name: str) -> str | None:
     return m[1] if m and (m[1] in ("1", "6") or "C" not in stem) else None
 
 
+def discover(files: list[tuple[str, int]]) -> dict[str, list[str]]:
+    """Paths by family of a listing (path, size), in order. 9G and 9B go by name; families 1 and 6 share a record length, so their
+    files must be whole records long, be named so and lie in a folder (or be themselves) marked with the family."""
+    found: dict[str, list[str]] = {family: [] for family in LENGTHS}
+    for path, size in sorted(files):
+        family = family_of(path.rpartition("/")[2])
+        if family in ("1", "6") and (not size or size % LENGTHS[family] or not re.search(rf"(?:^|[/_])ETL{family}(?:C|[/_]|$)", path.upper())):
+            family = None
+        if family:
+            found[family].append(path)
+    return found
+
+
 class _Range(InputPartition):
     def __init__(self, path: str, first: int, count: int):
         self.path, self.first, self.count = path, first, count
@@ -145,6 +160,7 @@ def decode(rows: DataFrame, family: str) -> DataFrame:
     return rows.select("*", *head, *(c.alias(k) for k, c in named.items()))
 
 
+#: First byte, bytes, bits a pixel and pixels a row of the images.
 IMAGES = {"9G": (64, 8128, 4, 128), "9B": (8, 504, 1, 64), "1": (32, 2016, 4, 64), "6": (32, 2016, 4, 64)}
 
 
@@ -154,6 +170,24 @@ def image_bytes(family: str) -> Column:
     return F.substring(F.col("raw"), first + 1, size)
 
 
+@F.pandas_udf(BinaryType())
+def unpacked(packed: pd.Series, bits: pd.Series) -> pd.Series:
+    """One byte a pixel, 0 to 255, of pixels packed four bits (high nibble first) or one bit (high bit first) each."""
+
+    def one(data: bytes | None, n: int) -> bytes | None:
+        if data is None:
+            return None
+        raw = np.frombuffer(data, np.uint8)
+        return (np.stack([raw >> 4, raw & 15], axis=1) * 17 if n == 4 else np.unpackbits(raw) * 255).astype(np.uint8).tobytes()
+
+    return pd.Series([one(d, n) for d, n in zip(packed, bits, strict=True)], index=packed.index)
+
+
+def pixels(family: str) -> Column:
+    """A record's image, row by row, one byte a pixel (``IMAGES`` has the rows' length)."""
+    return unpacked(image_bytes(family), F.lit(IMAGES[family][2]))
+
+
 def x0208(code: bytes) -> str | None:
     if len(code) != 2 or not all(0x21 <= c <= 0x7E for c in code):
         return None

@@ -137,6 +137,24 @@ def test_files_are_told_by_name():
     assert {n: fixed.family_of(n) for n in names} == names
 
 
+def test_discovery_needs_whole_marked_files():
+    files = [("/d/ETL9G/ETL9G_01", 8199), ("/d/ETL1/ETL1C_01", 2052 * 3), ("/d/ETL1/ETL1C_02", 2053), ("/d/ETL1/ETL1INFO", 2052), ("/d/ETL6C_02", 2052), ("/d/x/notes", 2052)]
+    assert fixed.discover(files) == {"1": ["/d/ETL1/ETL1C_01"], "6": ["/d/ETL6C_02"], "9G": ["/d/ETL9G/ETL9G_01"], "9B": []}
+
+
+def test_pixels(spark, tmp_path):
+    raw = bytearray(b_record(1, b"\x24\x22"))
+    raw[8] = 0b10100000
+    big = bytearray(g_record(1, b"\x30\x21"))
+    big[64] = 0x1F
+    (tmp_path / "ETL9B_1").write_bytes(bytes(raw) * 2)
+    (tmp_path / "ETL9G_1").write_bytes(bytes(big))
+    one = bytes(fixed.scan(spark, [str(tmp_path / "ETL9B_1")], "9B").select(fixed.pixels("9B")).first()[0])
+    assert len(one) == 64 * 63 and list(one[:4]) == [255, 0, 255, 0]
+    two = bytes(fixed.scan(spark, [str(tmp_path / "ETL9G_1")], "9G").select(fixed.pixels("9G")).first()[0])
+    assert len(two) == 128 * 127 and list(two[:3]) == [17, 255, 0]
+
+
 def test_glyph_picks(spark):
     import hashlib
 
