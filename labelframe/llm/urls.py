@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from labelframe.llm.common import table
 
-STRICT = ("spam-farm", "cheap-pills", "porn", "xxx", "viagra", "phishing", "malware", "warez", "escort", "slots")
-SOFT = ("spam", "pills", "cheap", "casino", "bet", "adult", "loan", "free", "win", "crack", "torrent", "bitcoin", "diet", "replica", "click")
+STRICT = ("spam-farm", "cheap-pills", "adult-x", "porn", "xxx", "viagra", "phishing", "malware", "warez", "escort", "slots")
+SOFT = ("spam", "pills", "cheap", "casino", "bet", "adult", "loan", "free", "win", "crack", "torrent", "bitcoin", "diet", "replica", "click", "ads", "track", "bets")
 SOFT_LIMIT = 2
 #: (verdict, host, path) of the contract.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
