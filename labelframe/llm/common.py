@@ -13,15 +13,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder and cut its lineage.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, set as the context's checkpoint folder.
 
-    The folder is the one that ``spark.checkpoint.dir`` names; only a session without it (a local
-    test) gets a temporary folder of its own.
+    Only a session without that setting and without a checkpoint folder (a local test) gets a temporary one of its own.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelframe-"))
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="labelframe-"))
+    return (named or context.getCheckpointDir()).rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the checkpoint folder and cut its lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -45,11 +50,7 @@ def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the cluster's checkpoint folder and read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelframe-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder.rstrip('/')}/labelframe-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/labelframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
