@@ -307,7 +307,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shingles = cut(fetched.select("uid", "text").mapInArrow(sets, "uid long, hashes array<bigint>").dropDuplicates(["uid"]))
     x, y = shingles.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), shingles.select(F.col("uid").alias("b"), F.col("hashes").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    links = candidates.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common)).select("a", "b")
+    links = candidates.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
     roots = components(links)
     least = F.struct((F.col("key") == NO_ID).alias("none"), F.col("key"), F.col("uid"))
     placed = classes.join(roots, classes["uid"] == roots["node"], "left").select("name", F.coalesce("root", "uid").alias("root"), least.alias("least"))

@@ -175,6 +175,15 @@ def test_similarity_below_the_threshold_stays(spark):
     assert simhash.drop_near_copies(frame(spark, [(1, " ".join(base)), (2, " ".join(other))])).count() == 2
 
 
+def test_similarity_at_the_threshold_links(spark):
+    """Exactly 28 of 35 shingles: 0.8 in whole numbers, a hair above in floating point."""
+    shared = [f"a{k}" for k in range(32)]  # 28 shingles of five words
+    one, two = shared + ["x1", "x2", "x3"], shared + ["y1", "y2", "y3", "y4"]
+    a, b = (set(simhash._shingle_set(" ".join(w), 5).tolist()) for w in (one, two))
+    assert (len(a & b), len(a | b)) == (28, 35)
+    assert simhash.drop_near_copies(frame(spark, [(1, " ".join(one)), (2, " ".join(two))]), far=320).count() == 1
+
+
 # 2 Chat
 
 
