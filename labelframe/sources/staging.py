@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the folder of ``spark.checkpoint.dir`` (a temporary one where that is unset) and read again."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="labelframe-"))
-        folder = spark.sparkContext.getCheckpointDir()
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not named and context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="labelframe-"))
+    folder = named or context.getCheckpointDir()
     path = f"{folder.rstrip('/')}/staged-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
