@@ -11,9 +11,9 @@ each of these one or six indices: 3 to 18 keys of 33 or 34 bits, complete for tw
 candidate in a bucket is verified by its exact distance.
 
 ``near_texts`` links documents whose sets of ``width``-word shingles have a Jaccard similarity of
-``similarity`` or more. Such pairs differ in many of 64 bits, so it takes a fingerprint of 276 bits,
-twelve segments of 23, over short shingles (``print_width``), and for each segment the keys (index of the segment's own
-codeword, each near index of the next segment). Candidates within ``far`` bits are thinned to least spanning forests
+``similarity`` or more. Such pairs differ in many of 64 bits, so it takes a fingerprint of 552 bits,
+24 segments of 23, over short shingles (``print_width``), and for each segment the keys (index of the segment's own
+codeword, each near index of the next segment). Candidates within ``far`` of the first 192 bits are thinned to least spanning forests
 bucket by bucket, which keep what hangs together at any distance, and verified on the whole shingle sets.
 
 Defined results: a null text counts as empty; texts without words share the fingerprint zero and
@@ -41,10 +41,10 @@ from labelframe.llm.components import components
 SEED = 42
 #: First bit and length of the three segments of a 64-bit fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Segments of the wide fingerprint, and its bytes (whole 64-bit words).
-WIDE_SEGMENTS, WIDE_WORDS = 12, 5
-#: Odd multipliers (parts of the golden ratio and pi) that derive further hashes from the first.
-MULTIPLIERS = (0x9E3779B97F4A7C15, 0x243F6A8885A308D3, 0x13198A2E03707345, 0xA4093822299F31D1)
+#: Segments of the wide fingerprint, its 64-bit words, and how many of these go with each key.
+WIDE_SEGMENTS, WIDE_WORDS, CARRIED = 24, 9, 3
+#: Its odd multiples derive further hashes from the first (2^64 by the golden ratio).
+GOLDEN = 0x9E3779B97F4A7C15
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -78,8 +78,8 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def wide_majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """(n, WIDE_WORDS) majority words over hashes derived from ``hashes``."""
     out = [majority(hashes, sizes)]
-    for m in MULTIPLIERS:
-        x = (hashes ^ hashes >> np.uint64(31)) * np.uint64(m)
+    for k in range(1, WIDE_WORDS):
+        x = (hashes ^ hashes >> np.uint64(31)) * np.uint64(GOLDEN * (2 * k + 1) % 2**64)
         out.append(majority(x ^ x >> np.uint64(29), sizes))
     return np.stack(out, axis=1)
 
@@ -225,31 +225,22 @@ def wide_segments(fps: np.ndarray) -> np.ndarray:
     return bits @ (np.int64(1) << np.arange(23, dtype=np.int64))
 
 
-def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): for each segment, its own index with each near index of the next one."""
+def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, own index of the next segment): for each segment, its own index with each near index of the next one."""
     words = wide_segments(fps)
-    rows, keys = [], []
+    rows, keys, nexts = [], [], []
     for t in range(WIDE_SEGMENTS):
         own, near = golay.nearest_index(words[:, t]), golay.near_indices(words[:, (t + 1) % WIDE_SEGMENTS])
         row, col = np.nonzero(near >= 0)
         rows.append(row)
         keys.append(np.int64(t) << 24 | own[row] << 12 | near[row, col])
-    return np.concatenate(rows), np.concatenate(keys)
+        nexts.append(near[row, 0])
+    return np.concatenate(rows), np.concatenate(keys), np.concatenate(nexts).astype(np.int16)
 
 
 def _wide_owner(cols: dict[str, np.ndarray], fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether a pair is to be reported here: not if an earlier bucket is sure to hold it too."""
-    cached = cols.get("own")
-    if cached is None:
-        words = wide_segments(fps)
-        cached = cols["own"] = np.stack([golay.nearest_index(words[:, t]) for t in range(WIDE_SEGMENTS)], axis=1).astype(np.int16)
-    same = cached[i] == cached[j]
-    both = same & np.roll(same, -1, axis=1)  # tables whose bucket of both own indices holds the pair
-    t = cols["key"][i] >> 24
-    first = np.where(both.any(1), both.argmax(1), WIDE_SEGMENTS)
-    index = cols["key"][i] & 0xFFF
-    nxt = cached[i, (t + 1) % WIDE_SEGMENTS]
-    return (t < first) | (t == first) & (index == nxt)
+    """Whether a pair is to be reported in this bucket of its table: where the next segments' own indices agree, only in the bucket of these."""
+    return (cols["own"][i] != cols["own"][j]) | ((cols["key"][i] & 0xFFF) == cols["own"][i])
 
 
 def _shingle_set(text: str, width: int) -> np.ndarray:
@@ -268,11 +259,11 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, print_width: int = 2, far: int | None = None, block: int = BLOCK) -> DataFrame:
     """One row per document: key (its id), tag (hash of its text), root (one value per group of near duplicates), first.
 
-    ``first`` is true for one row of each group, the one of the smallest id. ``far`` is the most bits of 320 at which a
+    ``first`` is true for one row of each group, the one of the smallest id. ``far`` is the most bits of 192 at which a
     candidate is verified; by default what a similarity of 0.5 would give.
     """
     if far is None:
-        far = round(64 * WIDE_WORDS * float(np.arccos(2 * 0.5 / 1.5)) / np.pi)
+        far = round(64 * CARRIED * float(np.arccos(2 * 0.5 / 1.5)) / np.pi)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,12 +279,14 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, WIDE_WORDS)
-            rows, keys = wide_keys(fps)
+            rows, keys, nexts = wide_keys(fps)
+            short = pa.array([x.tobytes() for x in fps[:, :CARRIED]], pa.binary())
             for at in range(0, len(rows), 1 << 16):
-                some = pa.array(rows[at : at + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 16)]), batch.column(0).take(some), batch.column(1).take(some)], names=["key", "id", "fp"])
+                part = slice(at, at + (1 << 16))
+                some = pa.array(rows[part])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), batch.column(0).take(some), short.take(some), pa.array(nexts[part])], names=["key", "id", "fp", "own"])
 
-    rows = classes.select("uid", "fp").mapInArrow(keyed, "key long, id long, fp binary")
+    rows = classes.select("uid", "fp").mapInArrow(keyed, "key long, id long, fp binary, own smallint")
     candidates = cut(compare(rows, link_solver(far, _wide_owner), {"a": "long", "b": "long"}, block).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

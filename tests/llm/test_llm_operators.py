@@ -181,7 +181,7 @@ def test_similarity_at_the_threshold_links(spark):
     one, two = shared + ["x1", "x2", "x3"], shared + ["y1", "y2", "y3", "y4"]
     a, b = (set(simhash._shingle_set(" ".join(w), 5).tolist()) for w in (one, two))
     assert (len(a & b), len(a | b)) == (28, 35)
-    assert simhash.drop_near_copies(frame(spark, [(1, " ".join(one)), (2, " ".join(two))]), far=320).count() == 1
+    assert simhash.drop_near_copies(frame(spark, [(1, " ".join(one)), (2, " ".join(two))]), far=192).count() == 1
 
 
 # 2 Chat
