@@ -239,8 +239,21 @@ def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _wide_owner(cols: dict[str, np.ndarray], fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether a pair is to be reported in this bucket of its table: where the next segments' own indices agree, only in the bucket of these."""
-    return (cols["own"][i] != cols["own"][j]) | ((cols["key"][i] & 0xFFF) == cols["own"][i])
+    """Whether a pair is to be reported in this bucket.
+
+    Not if it is sure to meet in an earlier table whose segments go with the keys: own indices equal, and two differing bits at most in the
+    next segment. Within a table, where the next segments' own indices agree, only in the bucket of these.
+    """
+    if "segments" not in cols:
+        n = 64 * CARRIED // 23
+        bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : 23 * n].reshape(len(fps), n, 23)
+        cols["segments"] = words = bits @ (np.int64(1) << np.arange(23, dtype=np.int64))
+        cols["indices"] = golay.nearest_index(words)
+    words, indices = cols["segments"], cols["indices"]
+    sure = (indices[i, :-1] == indices[j, :-1]) & (np.bitwise_count(words[i, 1:] ^ words[j, 1:]) <= 2)
+    first = np.where(sure.any(1), sure.argmax(1), WIDE_SEGMENTS)
+    here = (cols["own"][i] != cols["own"][j]) | ((cols["key"][i] & 0xFFF) == cols["own"][i])
+    return (cols["key"][i] >> 24 <= first) & here
 
 
 def _shingle_set(text: str, width: int) -> np.ndarray:
