@@ -11,8 +11,8 @@ each of these one or six indices: 3 to 18 keys of 33 or 34 bits, complete for tw
 candidate in a bucket is verified by its exact distance.
 
 ``near_texts`` links documents whose sets of ``width``-word shingles have a Jaccard similarity of
-``similarity`` or more. Such pairs differ in many of 64 bits, so it takes a fingerprint of 552 bits,
-24 segments of 23, over short shingles (``print_width``), and for each segment the keys (index of the segment's own
+``similarity`` or more. Such pairs differ in many of 64 bits, so it takes a fingerprint of 368 bits,
+16 segments of 23, over short shingles (``print_width``), and for each segment the keys (index of the segment's own
 codeword, each near index of the next segment). Candidates within ``far`` of the first 192 bits are thinned to least spanning forests
 bucket by bucket, which keep what hangs together at any distance, and verified on the whole shingle sets.
 
@@ -42,7 +42,7 @@ SEED = 42
 #: First bit and length of the three segments of a 64-bit fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Segments of the wide fingerprint, its 64-bit words, and how many of these go with each key.
-WIDE_SEGMENTS, WIDE_WORDS, CARRIED = 24, 9, 3
+WIDE_SEGMENTS, WIDE_WORDS, CARRIED = 16, 6, 3
 #: Its odd multiples derive further hashes from the first (2^64 by the golden ratio).
 GOLDEN = 0x9E3779B97F4A7C15
 LANES = np.uint64(0x0101010101010101)
