@@ -11,10 +11,12 @@ each of these one or six indices: 3 to 18 keys of 33 or 34 bits, complete for tw
 candidate in a bucket is verified by its exact distance.
 
 ``near_texts`` links documents whose sets of ``width``-word shingles have a Jaccard similarity of
-``similarity`` or more. Such pairs differ in many of 64 bits, so it takes a fingerprint of 368 bits,
-16 segments of 23, over short shingles (``print_width``), and for each segment the keys (index of the segment's own
-codeword, each near index of the next segment). Candidates within ``far`` of the first 192 bits are thinned to least spanning forests
-bucket by bucket, which keep what hangs together at any distance, and verified on the whole shingle sets.
+``similarity`` or more, by a prefix filter. All shingles have one order (by hash, those common in a sample
+of the documents last). The sets of a pair share ``similarity`` times the larger one's size at least, so their first
+common shingle is among the first ``n - ceil(similarity n) + 1`` of each; these are a document's keys, and a pair is reported in the
+bucket of its first common one. Sizes, places in the order and a sketch (for each of 192 classes of shingles, whether
+their number is odd) bound the shared shingles from above, so they drop no link. Candidates of large buckets are thinned to least
+spanning forests, all are verified on the whole shingle sets.
 
 Defined results: a null text counts as empty; texts without words share the fingerprint zero and
 link with each other; a text with fewer words than a shingle is one shingle; repeated rows and
@@ -35,16 +37,16 @@ from pyspark.sql import functions as F
 
 from labelframe.llm import golay
 from labelframe.llm.buckets import BLOCK, compare, spanning_forest
-from labelframe.llm.common import cut, small, table, text_or_empty
+from labelframe.llm.common import cut, shuffle_partitions, small, table, text_or_empty
 from labelframe.llm.components import components
 
 SEED = 42
 #: First bit and length of the three segments of a 64-bit fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Segments of the wide fingerprint, its 64-bit words, and how many of these go with each key.
-WIDE_SEGMENTS, WIDE_WORDS, CARRIED = 16, 6, 3
-#: Its odd multiples derive further hashes from the first (2^64 by the golden ratio).
-GOLDEN = 0x9E3779B97F4A7C15
+#: Bits of the sketch of a shingle set; first shingles of a document that go with each of its keys.
+SKETCH, HEAD = 192, 4
+#: One of so many documents is looked at for common shingles, how often one must stand there, and how many are told apart at most.
+SAMPLED, COMMON, MOST_COMMON = 16, 8, 100_000
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -75,15 +77,6 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * totals > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def wide_majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """(n, WIDE_WORDS) majority words over hashes derived from ``hashes``."""
-    out = [majority(hashes, sizes)]
-    for k in range(1, WIDE_WORDS):
-        x = (hashes ^ hashes >> np.uint64(31)) * np.uint64(GOLDEN * (2 * k + 1) % 2**64)
-        out.append(majority(x ^ x >> np.uint64(29), sizes))
-    return np.stack(out, axis=1)
-
-
 def _batched(texts: Iterator[str], width: int, fold: Callable, shape: tuple[int, ...], most: int = 1 << 18) -> np.ndarray:
     """Fold the shingle hashes of texts, some hundred thousand shingles at a time; zero for no words."""
     out, held, n = [], [], 0
@@ -219,45 +212,112 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Links by shingle similarity
 
 
-def wide_segments(fps: np.ndarray) -> np.ndarray:
-    """(n, WIDE_SEGMENTS) 23-bit words of wide fingerprints, along the bits."""
-    bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : 23 * WIDE_SEGMENTS].reshape(len(fps), WIDE_SEGMENTS, 23)
-    return bits @ (np.int64(1) << np.arange(23, dtype=np.int64))
+def _shingle_set(text: str, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(words_of(text), width).view(np.int64))
 
 
-def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, key, own index of the next segment): for each segment, its own index with each near index of the next one."""
-    words = wide_segments(fps)
-    rows, keys, nexts = [], [], []
-    for t in range(WIDE_SEGMENTS):
-        own, near = golay.nearest_index(words[:, t]), golay.near_indices(words[:, (t + 1) % WIDE_SEGMENTS])
-        row, col = np.nonzero(near >= 0)
-        rows.append(row)
-        keys.append(np.int64(t) << 24 | own[row] << 12 | near[row, col])
-        nexts.append(near[row, 0])
-    return np.concatenate(rows), np.concatenate(keys), np.concatenate(nexts).astype(np.int16)
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first of the sorted ``hashes``, those in the sorted ``common`` last: any set this similar shares one, the first common one."""
+    if not len(hashes):
+        return hashes
+    if len(common):
+        late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes
+        hashes = np.concatenate([hashes[~late], hashes[late]])
+    return hashes[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-6)) + 1]
 
 
-def _wide_owner(cols: dict[str, np.ndarray], fps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Whether a pair is to be reported in this bucket.
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Sketch of a set: bit k tells whether an odd number of hashes is k modulo ``SKETCH``.
 
-    Not if it is sure to meet in an earlier table whose segments go with the keys: own indices equal, and two differing bits at most in the
-    next segment. Within a table, where the next segments' own indices agree, only in the bucket of these.
+    Two sets differ in as many hashes as their sketches in bits, or more.
     """
-    if "segments" not in cols:
-        n = 64 * CARRIED // 23
-        bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")[:, : 23 * n].reshape(len(fps), n, 23)
-        cols["segments"] = words = bits @ (np.int64(1) << np.arange(23, dtype=np.int64))
-        cols["indices"] = golay.nearest_index(words)
-    words, indices = cols["segments"], cols["indices"]
-    sure = (indices[i, :-1] == indices[j, :-1]) & (np.bitwise_count(words[i, 1:] ^ words[j, 1:]) <= 2)
-    first = np.where(sure.any(1), sure.argmax(1), WIDE_SEGMENTS)
-    here = (cols["own"][i] != cols["own"][j]) | ((cols["key"][i] & 0xFFF) == cols["own"][i])
-    return (cols["key"][i] >> 24 <= first) & here
+    return np.packbits(np.bincount(hashes.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH) & 1 == 1, bitorder="little")
 
 
-def _shingle_set(text: str, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(words_of(text), width).view(np.int64))
+def candidate_solver(similarity: float, far: int = SKETCH) -> Callable:
+    """Solve for ``compare``: pairs that may be as similar as ``similarity`` and have their first common shingle here.
+
+    Groups of up to eight rows give all of them, larger ones those in a least spanning forest.
+    """
+    share = similarity / (1 + similarity)  # of both sizes: what such a pair has in common at least
+
+    def solve(cols: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
+        ids, size, place, n = cols["id"], cols["size"], cols["pos"], len(cols["id"])
+        prints = np.ascontiguousarray(cols["fp"]).view(np.uint64).reshape(n, -1)
+        heads = np.ascontiguousarray(cols["head"]).view(np.int64).reshape(n, HEAD)
+        a, b = [], []
+
+        def bits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """Differing bits of the sketches; more than ``SKETCH`` where the pair can't be a link."""
+            distance = sum(np.bitwise_count(prints[i, w] ^ prints[j, w]) for w in range(prints.shape[1]))
+            both = size[i] + size[j]
+            least = share * both - 1e-6
+            may = (np.minimum(size[i] - place[i], size[j] - place[j]) >= least) & (both - 2 * least >= distance) & (distance <= far)
+            if "block" in cols:  # pairs of one block are the work of that block with itself
+                may &= (cols["b1"][i] == cols["b2"][i]) | (cols["block"][i] != cols["block"][j])
+            return np.where(may, distance, SKETCH + 1)
+
+        def keep(i: np.ndarray, j: np.ndarray) -> None:
+            """Those that have no earlier shingle in common, as far as the heads tell."""
+            before = [np.arange(HEAD) < place[x][:, None] for x in (i, j)]
+            met = (heads[i][:, :, None] == heads[j][:, None, :]) & before[0][:, :, None] & before[1][:, None, :]
+            mine = ~met.any((1, 2))
+            a.append(i[mine])
+            b.append(j[mine])
+
+        sizes = np.diff(np.append(starts, n))
+        for s in range(2, 9):
+            at = starts[sizes == s]
+            for x in range(s if len(at) else 0):
+                for y in range(x):
+                    near = bits(at + y, at + x) <= SKETCH
+                    keep((at + y)[near], (at + x)[near])
+        for k in np.flatnonzero(sizes > 8):
+            rows = starts[k] + np.arange(sizes[k])
+            i, j = spanning_forest(bits(rows[:, None], rows[None, :]), SKETCH)
+            keep(rows[i], rows[j])
+        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return {"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}
+
+    return solve
+
+
+def repeated_keys(rows: DataFrame) -> DataFrame:
+    """``rows`` (key long, id long, pos int) without most of those whose key no other row has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, matched = None, True  # the last row, and whether it stays whatever follows (a partition's first may go on next door)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            whole = pa.Table.from_batches([*([held] if held is not None else []), batch]).combine_chunks()
+            same = np.diff(keys := whole.column(0).to_numpy()) == 0
+            stays = np.zeros(len(keys), bool)
+            stays[0] = matched
+            stays[1:] |= same
+            stays[:-1] |= same
+            if len(keys) > 1:
+                yield from whole.slice(0, len(keys) - 1).filter(pa.array(stays[:-1])).to_batches()
+            held, matched = whole.slice(len(keys) - 1).to_batches()[0], bool(stays[-1])
+        if held is not None:
+            yield held
+
+    order = ["key", "id"]
+    return rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *order).sortWithinPartitions(*order).mapInArrow(run, "key long, id long, pos int")
+
+
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Sorted hashes of the shingles in ``COMMON`` or more of the sampled documents of ``docs`` (key, tag, text); only the search's speed depends on them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                if len(hashes := _shingle_set(text.as_py(), width)):
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes)], names=["h"])
+
+    some = docs.where(F.pmod("tag", F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
+    counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64))
 
 
 NO_ID = -(2**63)
@@ -269,38 +329,42 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, print_width: int = 2, far: int | None = None, block: int = BLOCK) -> DataFrame:
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, far: int = SKETCH, block: int = BLOCK) -> DataFrame:
     """One row per document: key (its id), tag (hash of its text), root (one value per group of near duplicates), first.
 
-    ``first`` is true for one row of each group, the one of the smallest id. ``far`` is the most bits of 192 at which a
-    candidate is verified; by default what a similarity of 0.5 would give.
+    ``first`` is true for one row of each group, the one of the smallest id. ``far`` is the most bits of the sketch's 192 at
+    which a candidate is verified; by default only those are left out that can't be links.
     """
-    if far is None:
-        far = round(64 * CARRIED * float(np.arccos(2 * 0.5 / 1.5)) / np.pi)
+    if not 0 < similarity <= 1:
+        raise ValueError("a similarity is above zero and one at most")
+    named = _named(docs, id_col, text_col)
+    common = common_shingles(named, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = _batched((x.as_py() for x in batch.column(2)), print_width, wide_majority, (WIDE_WORDS,))
-            names = [xxhash.xxh3_128_digest(b" ".join(words_of(x.as_py()))) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array([x.tobytes() for x in fps], pa.binary())], names=["key", "tag", "name", "fp"])
-
-    prints = _named(docs, id_col, text_col).mapInArrow(run, "key long, tag long, name binary, fp binary")
+            rows: tuple[list, ...] = ([], [], [], [])
+            for text in batch.column(2):
+                words = words_of(text.as_py())
+                hashes = np.unique(shingle_hashes(words, width).view(np.int64))
+                for to, v in zip(rows, (xxhash.xxh3_128_digest(b" ".join(words)), len(hashes), parities(hashes).tobytes(), prefix(hashes, common, similarity)), strict=True):
+                    to.append(v)
+            names, sizes, prints, firsts = (pa.array(r, t) for r, t in zip(rows, (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, sizes, prints, firsts], names=["key", "tag", "name", "size", "fp", "firsts"])
+
+    prints = named.mapInArrow(run, "key long, tag long, name binary, size int, fp binary, firsts array<bigint>")
     prints = cut(prints.withColumn("uid", F.monotonically_increasing_id()))
     order = F.struct((F.col("key") == NO_ID).alias("none"), "key", "uid")
-    classes = cut(prints.groupBy("name").agg(F.min_by(F.struct("key", "uid", "tag", "fp"), order).alias("m")).select("name", "m.*"))
+    classes = cut(prints.groupBy("name").agg(F.min_by(F.struct("key", "uid", "tag", "size", "fp", "firsts"), order).alias("m")).select("name", "m.*"))
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(batch.num_rows, WIDE_WORDS)
-            rows, keys, nexts = wide_keys(fps)
-            short = pa.array([x.tobytes() for x in fps[:, :CARRIED]], pa.binary())
-            for at in range(0, len(rows), 1 << 16):
-                part = slice(at, at + (1 << 16))
-                some = pa.array(rows[part])
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part]), batch.column(0).take(some), short.take(some), pa.array(nexts[part])], names=["key", "id", "fp", "own"])
-
-    rows = classes.select("uid", "fp").mapInArrow(keyed, "key long, id long, fp binary, own smallint")
-    candidates = cut(compare(rows, link_solver(far, _wide_owner), {"a": "long", "b": "long"}, block).distinct())
+            heads = [np.resize(np.array(x.as_py(), np.int64), HEAD).tobytes() for x in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(heads, pa.binary())], names=["id", "size", "fp", "head"])
+
+    keyed = classes.select(F.col("uid").alias("id"), F.posexplode("firsts").alias("pos", "key")).select("key", "id", "pos")
+    sketches = classes.select(F.col("uid").alias("id"), "size", "fp", F.slice("firsts", 1, HEAD)).mapInArrow(headed, "id long, size int, fp binary, head binary")
+    repeated = cut(repeated_keys(keyed).join(sketches, "id").select("key", "id", "pos", "size", "fp", "head"))
+    candidates = cut(compare(repeated, candidate_solver(similarity, far), {"a": "long", "b": "long"}, block).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

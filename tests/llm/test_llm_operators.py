@@ -184,6 +184,30 @@ def test_similarity_at_the_threshold_links(spark):
     assert simhash.drop_near_copies(frame(spark, [(1, " ".join(one)), (2, " ".join(two))]), far=192).count() == 1
 
 
+def kept_by_brute_force(texts):
+    """Numbers of the texts that stay: the first of each group linked by 0.8 on sets of five-word shingles."""
+    sets = [set(simhash._shingle_set(t, 5).tolist()) for t in texts]
+    found = [(i, j) for j in range(len(texts)) for i in range(j) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return sorted(set(groups(found, range(len(texts))).values())), found
+
+
+def test_all_pairs_at_the_threshold_are_found(spark):
+    rnd = random.Random(8)
+    texts = []
+    for k in range(120):
+        base = prose(rnd, 300, 10**6).split()
+        other = base[:242]  # about the first 81 %
+        if k % 2:
+            other = list(base)
+            first = rnd.randrange(5, 15)
+            for at in range(first, first + 282, 47):
+                other[at] = f"edit{rnd.random()}"
+        texts += [" ".join(base), " ".join(other)]
+    kept, found = kept_by_brute_force(texts)
+    assert len(found) == 120
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(frame(spark, list(enumerate(texts)))).select("doc_id").collect()) == kept
+
+
 # 2 Chat
 
 
