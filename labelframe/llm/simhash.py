@@ -14,9 +14,10 @@ candidate in a bucket is verified by its exact distance.
 ``similarity`` or more, by a prefix filter. All shingles have one order (by hash, those common in a sample
 of the documents last). The sets of a pair share ``similarity`` times the larger one's size at least, so their first
 common shingle is among the first ``n - ceil(similarity n) + 1`` of each; these are a document's keys, and a pair is reported in the
-bucket of its first common one. Sizes, places in the order and a sketch (for each of 192 classes of shingles, whether
-their number is odd) bound the shared shingles from above, so they drop no link. Candidates of large buckets are thinned to least
-spanning forests, all are verified on the whole shingle sets.
+bucket of its first common one. Sizes, places in the order and a sketch (for each of 512 classes of shingles, whether
+their number is odd) bound the shared shingles from above, so they drop no link. All candidates are verified on the whole shingle sets:
+first those of small buckets and of least spanning forests of large ones, then all that are left in large buckets between documents that
+the verified links have not joined.
 
 Defined results: a null text counts as empty; texts without words share the fingerprint zero and
 link with each other; a text with fewer words than a shingle is one shingle; repeated rows and
@@ -44,7 +45,9 @@ SEED = 42
 #: First bit and length of the three segments of a 64-bit fingerprint.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Bits of the sketch of a shingle set; first shingles of a document that go with each of its keys.
-SKETCH, HEAD = 192, 4
+SKETCH, HEAD = 512, 4
+#: Rows of a bucket up to which all its candidates are verified at once.
+SMALL = 8
 #: One of so many documents is looked at for common shingles, how often one must stand there, and how many are told apart at most.
 SAMPLED, COMMON, MOST_COMMON = 16, 8, 100_000
 LANES = np.uint64(0x0101010101010101)
@@ -237,7 +240,8 @@ def parities(hashes: np.ndarray) -> np.ndarray:
 def candidate_solver(similarity: float, far: int = SKETCH) -> Callable:
     """Solve for ``compare``: pairs that may be as similar as ``similarity`` and have their first common shingle here.
 
-    Groups of up to eight rows give all of them, larger ones those in a least spanning forest.
+    Groups of up to ``SMALL`` rows give all of them, larger ones those in a least spanning forest. With a column ``root`` all
+    groups give all pairs of different roots.
     """
     share = similarity / (1 + similarity)  # of both sizes: what such a pair has in common at least
 
@@ -249,12 +253,14 @@ def candidate_solver(similarity: float, far: int = SKETCH) -> Callable:
 
         def bits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
             """Differing bits of the sketches; more than ``SKETCH`` where the pair can't be a link."""
-            distance = sum(np.bitwise_count(prints[i, w] ^ prints[j, w]) for w in range(prints.shape[1]))
+            distance = sum(np.bitwise_count(prints[i, w] ^ prints[j, w]).astype(np.int16) for w in range(prints.shape[1]))
             both = size[i] + size[j]
             least = share * both - 1e-6
             may = (np.minimum(size[i] - place[i], size[j] - place[j]) >= least) & (both - 2 * least >= distance) & (distance <= far)
             if "block" in cols:  # pairs of one block are the work of that block with itself
                 may &= (cols["b1"][i] == cols["b2"][i]) | (cols["block"][i] != cols["block"][j])
+            if "root" in cols:
+                may &= cols["root"][i] != cols["root"][j]
             return np.where(may, distance, SKETCH + 1)
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
@@ -266,16 +272,18 @@ def candidate_solver(similarity: float, far: int = SKETCH) -> Callable:
             b.append(j[mine])
 
         sizes = np.diff(np.append(starts, n))
-        for s in range(2, 9):
+        for s in range(2, SMALL + 1):
             at = starts[sizes == s]
             for x in range(s if len(at) else 0):
                 for y in range(x):
                     near = bits(at + y, at + x) <= SKETCH
                     keep((at + y)[near], (at + x)[near])
-        for k in np.flatnonzero(sizes > 8):
+        for k in np.flatnonzero(sizes > SMALL):
             rows = starts[k] + np.arange(sizes[k])
-            i, j = spanning_forest(bits(rows[:, None], rows[None, :]), SKETCH)
-            keep(rows[i], rows[j])
+            distance = bits(rows[:, None], rows[None, :])
+            i, j = np.nonzero(np.triu(distance <= SKETCH, 1)) if "root" in cols else spanning_forest(distance, SKETCH)
+            for at in range(0, len(i), 1 << 16):
+                keep(rows[i[at : at + (1 << 16)]], rows[j[at : at + (1 << 16)]])
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
         return {"a": np.minimum(ids[i], ids[j]), "b": np.maximum(ids[i], ids[j])}
 
@@ -332,7 +340,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, far: int = SKETCH, block: int = BLOCK) -> DataFrame:
     """One row per document: key (its id), tag (hash of its text), root (one value per group of near duplicates), first.
 
-    ``first`` is true for one row of each group, the one of the smallest id. ``far`` is the most bits of the sketch's 192 at
+    ``first`` is true for one row of each group, the one of the smallest id. ``far`` is the most bits of the sketch's 512 at
     which a candidate is verified; by default only those are left out that can't be links.
     """
     if not 0 < similarity <= 1:
@@ -364,21 +372,35 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = classes.select(F.col("uid").alias("id"), F.posexplode("firsts").alias("pos", "key")).select("key", "id", "pos")
     sketches = classes.select(F.col("uid").alias("id"), "size", "fp", F.slice("firsts", 1, HEAD)).mapInArrow(headed, "id long, size int, fp binary, head binary")
     repeated = cut(repeated_keys(keyed).join(sketches, "id").select("key", "id", "pos", "size", "fp", "head"))
-    candidates = cut(compare(repeated, candidate_solver(similarity, far), {"a": "long", "b": "long"}, block).distinct())
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = [_shingle_set(x.as_py(), width) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["uid", "hashes"])
 
-    ends = candidates.select(F.col("a").alias("uid")).union(candidates.select("b")).distinct()
-    asked = cut(classes.join(ends, "uid").select("key", "tag", "uid"))
-    fetched = _named(docs, id_col, text_col).join(small(asked), ["key", "tag"])  # a repeated row gives its set again
-    shingles = cut(fetched.select("uid", "text").mapInArrow(sets, "uid long, hashes array<bigint>").dropDuplicates(["uid"]))
-    x, y = shingles.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), shingles.select(F.col("uid").alias("b"), F.col("hashes").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    links = candidates.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
-    roots = components(links)
+    def verified(candidates: DataFrame) -> DataFrame:
+        ends = candidates.select(F.col("a").alias("uid")).union(candidates.select("b")).distinct()
+        asked = cut(classes.join(ends, "uid").select("key", "tag", "uid"))
+        fetched = named.join(small(asked), ["key", "tag"])  # a repeated row gives its set again
+        shingles = cut(fetched.select("uid", "text").mapInArrow(sets, "uid long, hashes array<bigint>").dropDuplicates(["uid"]))
+        x, y = shingles.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), shingles.select(F.col("uid").alias("b"), F.col("hashes").alias("y"))
+        common = F.size(F.array_intersect("x", "y"))
+        return cut(candidates.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return cut(compare(rows, candidate_solver(similarity, far), {"a": "long", "b": "long"}, block).distinct())
+
+    roots = cut(components(verified(pairs(repeated))))
+    rooted = repeated.join(roots, repeated["id"] == roots["node"], "left").select(*repeated.columns, F.coalesce("root", "id").alias("root"))
+    parted = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
+    thinned = cut(parted.where((F.col("rows") > SMALL) & (F.col("least") < F.col("most"))).select("key"))
+    if not thinned.isEmpty():  # the forests may have left out links for candidates that are none
+        more = verified(pairs(rooted.join(small(thinned), "key", "left_semi")))
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+        joined = cut(components(between)).select(F.col("node").alias("was"), F.col("root").alias("now"))
+        alone = joined.join(roots, joined["was"] == roots["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+        roots = roots.join(joined, roots["root"] == joined["was"], "left").select("node", F.coalesce("now", "root").alias("root")).union(alone)
     least = F.struct((F.col("key") == NO_ID).alias("none"), F.col("key"), F.col("uid"))
     placed = classes.join(roots, classes["uid"] == roots["node"], "left").select("name", F.coalesce("root", "uid").alias("root"), least.alias("least"))
     leaders = placed.groupBy("root").agg(F.min("least").alias("lead"))

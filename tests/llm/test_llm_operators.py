@@ -208,6 +208,25 @@ def test_all_pairs_at_the_threshold_are_found(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(frame(spark, list(enumerate(texts)))).select("doc_id").collect()) == kept
 
 
+def test_links_between_candidates_that_fail_are_found(spark):
+    """A family whose sketches tell nothing: few of its pairs are links, and a forest over all of them leaves most of these out."""
+    rnd = random.Random(9)
+    base, texts = prose(rnd, 3000, 10**6).split(), []
+
+    def edited(words, n):
+        words = list(words)
+        for at in rnd.sample(range(len(words)), n):
+            words[at] = f"edit{rnd.random()}"
+        return words
+
+    for _ in range(12):
+        one = edited(base, 90)
+        texts += [" ".join(one), " ".join(edited(one, 50))]
+    kept, found = kept_by_brute_force(texts)
+    assert found == [(k, k + 1) for k in range(0, 24, 2)]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(frame(spark, list(enumerate(texts)))).select("doc_id").collect()) == kept
+
+
 # 2 Chat
 
 
