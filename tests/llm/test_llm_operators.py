@@ -227,6 +227,15 @@ def test_links_between_candidates_that_fail_are_found(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_copies(frame(spark, list(enumerate(texts)))).select("doc_id").collect()) == kept
 
 
+def test_copies_that_differ_in_repeats_are_found(spark):
+    rnd = random.Random(10)
+    bases = [prose(rnd, 200, 10**6) for _ in range(20)]
+    texts = [t for k, b in enumerate(bases) for t in (b, b + f" p{k} q{k} r{k} s{k} t{k}" * 30)]
+    kept, found = kept_by_brute_force(texts)
+    assert found == [(k, k + 1) for k in range(0, 40, 2)]
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(frame(spark, list(enumerate(texts)))).select("doc_id").collect()) == kept
+
+
 # 2 Chat
 
 
