@@ -5,8 +5,8 @@ with a shorter first piece. Full pieces are sequences of their own. The others a
 best-fit decreasing. Dual-feasible functions (Martello and Toth's thresholds, Fekete and Schepers' roundings) turn the lengths of a
 partition into lower bounds on its bins; a partition whose count meets the bound is certified optimal, and final if its bins have less than a bin of free space
 in all. One with a gap keeps its full bins and releases the others; the released documents of all partitions are exchanged and packed anew by half as many
-partitions, until nothing is released, one partition packs the rest, or the last round has come. With ``ROUNDS`` rounds a partition
-packs 2^(ROUNDS - 1) times ``ITEMS`` lengths at most, whatever the input's size.
+partitions, until nothing is released or one partition packs the rest. Rounds grow with the logarithm of the partitions; what the last one packs
+are lengths only, but as many as are still released.
 
 Defined results: a null text counts as empty (the end token alone); repeated rows are packed each by itself; null ids stay null; extra columns are ignored; an
 empty table gives an empty result.
@@ -27,8 +27,8 @@ from labelframe.llm.common import cut, table, text_or_empty
 from labelframe.llm.tokens import default_engine, engine
 
 SIZE, END_ID = 1024, 2
-#: Items that one partition packs, about; rounds of exchange at most.
-ITEMS, ROUNDS = 20_000, 5
+#: Items that one partition packs at first, about.
+ITEMS = 20_000
 
 
 def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
@@ -101,7 +101,7 @@ def pieces(docs: DataFrame, tokenizer: tuple, size: int = SIZE, end_id: int = EN
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS) -> DataFrame:
     """(uid, sequence_id, offset, n_bins, bound) for items (uid long, length long below ``size``); the last two: bins of the partition that packed it, and their certified lower bound."""
 
     def packer(number: int, last: bool):
@@ -120,17 +120,18 @@ def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS, rounds:
 
         return run
 
-    pool, final, n_before = items.select("uid", "length"), [], None
-    n = pool.count()
-    for number in range(1, rounds + 1):
+    pool, final, n_before, number = items.select("uid", "length"), [], None, 0
+    n, last = pool.count(), False
+    while not last:
+        number += 1
         n_partitions = max(1, -(-n // per_partition))
         if n_before is not None and n_partitions > 1:
             n_partitions = min(n_partitions, max(1, n_before // 2))
-        last = n_partitions == 1 or number == rounds
+        last = n_partitions == 1
         done = cut(pool.repartition(n_partitions).mapInArrow(packer(number, last), "uid long, length long, sequence_id long, offset long, n_bins long, bound long, out boolean"))
         final.append(done.where("not out").select("uid", "sequence_id", "offset", "n_bins", "bound"))
         pool, n_before = done.where("out").select("uid", "length"), n_partitions
-        if last or not (n := pool.count()):
+        if not last and not (n := pool.count()):
             break
     whole = final[0]
     for more in final[1:]:

@@ -432,6 +432,19 @@ def test_exchange_lowers_the_count(spark):
     assert len(by) <= packing.lower_bound(lengths) * 1.01 + 2
 
 
+def test_exchange_goes_on_until_one_partition_is_left(spark):
+    lengths = np.random.default_rng(5).integers(300, 700, 1500).tolist()
+    df = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
+    got = packing.pack(df, per_partition=20).collect()
+    assert sorted(r["uid"] for r in got) == list(range(1500))
+    free = defaultdict(dict)  # of the bins of each partition and round
+    for r in got:
+        at = free[r["sequence_id"] >> 34]
+        at[r["sequence_id"]] = at.get(r["sequence_id"], 1024) - lengths[r["uid"]]
+    assert all(f >= 0 for at in free.values() for f in at.values())
+    assert len([at for at in free.values() if any(at.values()) and sum(at.values()) >= 1024]) <= 1
+
+
 def test_packed_documents(spark, engine):
     rows = [(1, "a b c " * 2000), (2, None), (3, ""), (3, ""), (None, "x"), (4, "word " * 1023), (5, "word " * 1022 + "a")]
     got = packing.pack_documents(frame(spark, rows, clashing=True), tokens.default_engine()).collect()
