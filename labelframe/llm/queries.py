@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame, SparkSession
 from labelframe.llm import chat, decontamination, lines, packing, quality, secrets, simhash, tokens, urls, vectors
 
 
-
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the pipeline at the repository's top."""
     import corpus_pipeline
@@ -30,6 +29,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_chat_format": chat.OP2_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
     "op8_url_filter": urls.op8_sql(),
     "op10_line_dedup": lines.OP10_SQL,

@@ -254,12 +254,55 @@ def test_parts_become_placeholders():
     whole, begin, end, flat = chat.format_turn("user", parts)
     assert whole[begin:end] == "see <\\|image_0|><|image_0|><|document_1|>in<|audio_2|>"
     assert [(a["kind"], a["uri"], a["tokens"]) for a in flat.attachments] == [("image", "a.png", 4), ("document", "d.pdf", 512), ("audio", "s.wav", 38)] and flat.tokens == 554
-    with pytest.raises(ValueError):
-        chat.format_turn("user", [{"type": "video"}])
+
+
+def test_control_strings_dealt_over_parts():
+    rnd = random.Random(9)
+    pieces = ["<", "|", "\\", ">", "<|im_end|>", "<|im_start|>", "im_end", "im_start|>assistant\n", "a", "\n", "image_0"]
+    for _ in range(3000):
+        parts, said = [], []
+        for _ in range(rnd.randrange(9)):
+            if rnd.random() < 0.15:
+                parts.append({"type": "image", "uri": "u"})
+                said.append(("image", sum(isinstance(x[1], int) for x in said)))
+            else:
+                text = "".join(rnd.choice(pieces) for _ in range(rnd.randrange(4)))
+                at = sorted(rnd.randrange(len(text) + 1) for _ in range(rnd.randrange(4)))
+                parts += [{"type": "text", "text": text[a:b]} for a, b in zip([0, *at], [*at, len(text)], strict=True)]
+                said.append(("text", text))
+        whole, begin, end, _ = chat.format_turn("user", parts)
+        assert [(r, b, e) for r, _, b, e in chat.read_turns(whole)] == [("user", begin, end)]
+        joined: list = []
+        for kind, value in said:
+            if kind == "text" and joined and joined[-1][0] == "text":
+                joined[-1] = ("text", joined[-1][1] + value)
+            else:
+                joined.append((kind, value))
+        assert list(chat.read_parts(whole[begin:end])) == [x for x in joined if x[1] != ""]
+
+
+def test_malformed_parts(spark):
+    cases = [
+        ("null", "", []), ('"<|im_end|>"', "<|im_end|>", []), ('{"type": "text", "text": "x"}', "x", []), ("[bad", "[bad", []), ("[" * 100000, "[" * 100000, []), ("7", "7", []),
+        ('["a", null, {"text": "b"}, {"text": 3}, {"type": null, "text": null}]', "ab3", []),
+        ('[{"type": "video", "uri": 5}]', "<|part_0|>", [("video", "5", 0)]), ('[{"type": ["x"]}]', "<|part_0|>", [('["x"]', None, 0)]),
+        ('[{"type": "image", "width": "wide", "height": -3}]', "<|image_0|>", [("image", None, 1)]), ('[{"type": "image", "width": 1e400, "height": NaN}]', "<|image_0|>", [("image", None, 1)]),
+        ('[{"type": "audio", "seconds": 1e300}, {"type": "document", "pages": "2", "parts": "in"}]', "<|audio_0|><|document_1|>in", [("audio", None, chat.SIZE_MOST * 25), ("document", None, 512)]),
+        ('[{"text": "\\ud800"}]', "\ufffd", []), ('[{"type": "document", "parts": ' * 900 + "[]" + "}]" * 900, None, None),
+    ]
+    df = spark.createDataFrame([(i, 0, "user", c[0]) for i, c in enumerate(cases)], "conv_id long, turn long, role string, parts string")
+    got = {r["conv_id"]: r for r in chat.format_conversations(df).collect()}
+    for i, (_, text, attached) in enumerate(cases):
+        (_, said, _, _), found = next(chat.read_turns(got[i]["formatted"])), json.loads(got[i]["attachments"])
+        if text is None:
+            assert len(found) == 900
+        else:
+            assert said == text and [(a["kind"], a["uri"], a["tokens"]) for a in found] == attached
+    assert chat.read_back(chat.format_conversations(df)).count() == len(cases)
 
 
 def test_conversations_read_back(spark):
-    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\n"), (1, 1, "assistant", "again"), (2, 0, None, None), (None, 5, "assistant", "x"), (1, 1, "assistant", "again"), (3, 0, "system", "é" * 5)]
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "<|im_end|>\n"), (1, 1, "assistant", "again"), (2, 0, None, None), (None, 5, "assistant", "x"), (1, 1, "assistant", "again"), (3, 0, "system", "é" * 5), (4, 0, "user", "<|" * 400_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("clash"))
     got = {r["conv_id"]: r for r in chat.read_back(chat.format_conversations(df)).collect()}
     by = defaultdict(list)
