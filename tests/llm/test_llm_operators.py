@@ -574,10 +574,35 @@ def test_vocabulary_needs_boundaries(spark):
     rows = [(1, "http://x.org/cheap-pills"), (2, "http://x.org/cheap-pillsy"), (3, "http://free.org/win"), (4, "http://freewin.org/"), (5, "http://x.org/FREE-free"), (6, None), (None, "http://a.org/xxx"), (1, "http://x.org/cheap-pills")]
     got = urls.url_verdicts(spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))).collect()
     assert [r["verdict"] for r in got] == ["block", "allow", "block", "allow", "allow", "allow", "block", "block"]
-    assert got[0]["strict"] == ["cheap-pills"] and got[0]["soft"] == ["cheap", "pills"] and got[4]["soft"] == ["free"]
+    assert got[0]["strict"] == [] and got[0]["soft"] == ["cheap", "pills"] and got[4]["soft"] == ["free"] and [r["weight"] for r in got[4:7]] == [1, 0, 2]
     assert urls.url_verdicts(spark.createDataFrame([], "page_id long, url string")).count() == 0
 
 
+def test_vocabulary_on_unseen_hosts(spark):
+    bad = [
+        "http://best-payday-loans.biz/apply", "https://poker.bonus-city.io/", "http://site.ru/warez/list", "https://cdn.x.co/banner/click?id=3", "http://replica-outlet.shop/sale", "https://hot.example.org/xxx/1", "http://a.org/?q=buy+viagra+now",
+        "http://lucky.jackpot.bet/", "https://forex-crypto.trade", "http://discount-pharmacy.store/", "https://gambling-hub.org/wager/9", "http://onlinecasinos24.info/", "https://kostenlos.sexy.example.de/",
+    ]
+    good = [
+        "https://en.wikipedia.org/wiki/Essex", "http://museum.org/free-entry", "https://news.example.co.uk/sport/football", "http://alphabet.org/", "https://loanword.example.edu/linguistics", "http://adserverless.dev/docs", "https://university.edu/adult-education/",
+        "http://scunthorpe.gov.uk/council", "https://crackers.example.com/recipes", "http://winter.example.org/snow", "https://physics.example.org/credits", "https://x.org/" + "a-" * 200_000,
+    ]
+    df = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.url_verdicts(df, rules=()).collect()}
+    assert [u for k, u in enumerate(bad) if got[k] != "block"] == [] and [u for k, u in enumerate(good) if got[len(bad) + k] != "allow"] == []
+
+
+def test_own_vocabulary(spark):
+    table = spark.createDataFrame([("Foo", 3, None), ("bar", 1, "start"), ("baz", 2, "any"), ("qux", 5, "word"), ("foo", 1, "word")], "term string, weight int, boundary string")
+    df = spark.createDataFrame([(1, "http://FOO.org"), (2, "http://foos.org/barn"), (3, "http://xbazx.org/barn"), (4, "http://a.org/qux/foo"), (5, "http://embar.org")], "page_id long, url string")
+    got = {r["page_id"]: (r["weight"], r["verdict"]) for r in urls.url_verdicts(df, (), urls.read_vocabulary(table), limit=3).collect()}
+    assert got == {1: (3, "block"), 2: (1, "allow"), 3: (3, "block"), 4: (8, "block"), 5: (0, "allow")}
+    assert [r["weight"] for r in urls.url_verdicts(df, (), ()).collect()] == [0] * 5
+    for wrong in (("", 1, "word"), ("a", 0, "word"), ("a", 1, "end")):
+        with pytest.raises(ValueError):
+            urls.checked([wrong])
+
+
 # 9 Embeddings
 
 
