@@ -5,11 +5,15 @@ with a shorter first piece. Full pieces are sequences of their own. The others a
 best-fit decreasing. Dual-feasible functions (Martello and Toth's thresholds, Fekete and Schepers' roundings) turn the lengths of a
 partition into lower bounds on its bins; a partition whose count meets the bound is certified optimal, and final if its bins have less than a bin of free space
 in all. One with a gap keeps its full bins and releases the others; the released documents of all partitions are exchanged and packed anew by half as many
-partitions, until nothing is released or one partition packs the rest. Rounds grow with the logarithm of the partitions; what the last one packs
-are lengths only, but as many as are still released.
+partitions.
 
-Defined results: a null text counts as empty (the end token alone); repeated rows are packed each by itself; null ids stay null; extra columns are ignored; an
-empty table gives an empty result.
+The counts of all lengths give the same bound for the whole table. Rounds end when the number of sequences meets that bound (the packing is optimal as a whole, as with
+documents that no others fit beside), when nothing is released, when a round neither saves nor fills a sequence, or after the one of a single partition. So they grow with the logarithm of the partitions at most, and
+documents are not gathered in one partition to no end. Certificates in the result: ``n_bins`` and ``bound`` for the pieces that a partition of the last round that moved them holds, ``all_bins`` and ``all_bound`` for the
+whole table; their difference is what an optimal packing could save at most.
+
+Defined results: a null text counts as empty (the end token alone); repeated rows are packed each by itself, equal lengths in the order of rows; very long texts
+are cut into as many pieces as they need; null ids stay null; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,9 +37,14 @@ ITEMS = 20_000
 
 def lower_bound(lengths: np.ndarray, size: int = SIZE) -> int:
     """The best of some dual-feasible functions' lower bounds on the bins that ``lengths`` need."""
-    if not len(lengths):
+    return counted_bound(np.bincount(lengths, minlength=size + 1)[: size + 1].astype(np.int64)) if len(lengths) else 0
+
+
+def counted_bound(counts: np.ndarray) -> int:
+    """The same for ``counts`` of the lengths from 0 to the size."""
+    if not counts.any():
         return 0
-    counts = np.bincount(lengths, minlength=size + 1)[: size + 1].astype(np.int64)
+    size = len(counts) - 1
     x = np.arange(size + 1)
     number, total = np.cumsum(counts), np.cumsum(counts * x)
     k = np.arange(0, size // 2 + 1)
@@ -101,10 +110,16 @@ def pieces(docs: DataFrame, tokenizer: tuple, size: int = SIZE, end_id: int = EN
     return docs.select(F.col(id_col), text_or_empty(text_col).alias("text")).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS) -> DataFrame:
-    """(uid, sequence_id, offset, n_bins, bound) for items (uid long, length long below ``size``); the last two: bins of the partition that packed it, and their certified lower bound."""
+PLACED = "uid long, length long, sequence_id long, offset long, out boolean, n_bins long, bound long, n_kept long, bound_kept long"
+
+
+def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS) -> tuple[DataFrame, int, int]:
+    """(placed items, their sequences, a lower bound on these) for items (uid long, length long below ``size``).
+
+    Placed: uid, sequence_id, offset, n_bins, bound; the last two: bins that hold what the partition has kept, and their certified lower bound.
+    """
 
-    def packer(number: int, last: bool):
+    def packer(number: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
             if not held:
@@ -114,38 +129,46 @@ def pack(items: DataFrame, size: int = SIZE, per_partition: int = ITEMS) -> Data
             uid, lengths = uid[order], lengths[order]
             bins, offsets, free = best_fit_decreasing(lengths, size)
             bound = lower_bound(lengths, size)
-            out = np.zeros(len(free), bool) if last else released(free, bound, size)
+            goes = released(free, bound, size)
+            out, kept = goes[bins], lower_bound(lengths[~goes[bins]], size)
             sequence = np.int64(number) << 58 | np.int64(TaskContext.get().partitionId()) << 34 | bins
-            yield pa.RecordBatch.from_arrays([pa.array(uid), pa.array(lengths), pa.array(sequence), pa.array(offsets), pa.array(np.full(len(uid), len(free))), pa.array(np.full(len(uid), bound)), pa.array(out[bins])], names=["uid", "length", "sequence_id", "offset", "n_bins", "bound", "out"])
+            numbers = (np.full(len(uid), n) for n in (len(free), bound, int((~goes).sum()), kept))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (uid, lengths, sequence, offsets, out, *numbers)], names=[f.split()[0] for f in PLACED.split(", ")])
 
         return run
 
-    pool, final, n_before, number = items.select("uid", "length"), [], None, 0
-    n, last = pool.count(), False
-    while not last:
+    pool, final, parts = items.select("uid", "length"), [], None
+    counts = np.zeros(size + 1, np.int64)
+    for length, n in pool.groupBy("length").count().collect():  # ``size`` rows at most
+        counts[length] = n
+    least, n, kept, before, number = counted_bound(counts), int(counts.sum()), 0, None, 0
+    while True:
         number += 1
-        n_partitions = max(1, -(-n // per_partition))
-        if n_before is not None and n_partitions > 1:
-            n_partitions = min(n_partitions, max(1, n_before // 2))
-        last = n_partitions == 1
-        done = cut(pool.repartition(n_partitions).mapInArrow(packer(number, last), "uid long, length long, sequence_id long, offset long, n_bins long, bound long, out boolean"))
-        final.append(done.where("not out").select("uid", "sequence_id", "offset", "n_bins", "bound"))
-        pool, n_before = done.where("out").select("uid", "length"), n_partitions
-        if not last and not (n := pool.count()):
+        parts = max(1, min(-(-n // per_partition), n if parts is None else parts // 2))
+        done = cut(pool.repartition(parts).mapInArrow(packer(number), PLACED))
+        n_bins, n_out, n = (x or 0 for x in done.agg(F.count_if(F.expr("offset = 0")), F.count_if(F.expr("offset = 0 and out")), F.count_if("out")).first())
+        now = kept + n_bins
+        if now == least or not n or parts == 1 or (before is not None and now >= before and n_out == n_bins):
+            final.append(done.select("uid", "sequence_id", "offset", "n_bins", "bound"))
             break
+        final.append(done.where("not out").select("uid", "sequence_id", "offset", F.col("n_kept").alias("n_bins"), F.col("bound_kept").alias("bound")))
+        pool, kept, before = done.where("out").select("uid", "length"), kept + n_bins - n_out, now
     whole = final[0]
     for more in final[1:]:
         whole = whole.unionByName(more)
-    return whole
+    return whole, now, least
 
 
 def pack_documents(docs: DataFrame, tokenizer: tuple, size: int = SIZE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", per_partition: int = ITEMS) -> DataFrame:
-    """id, piece, start, length, ids_crc32, sequence_id, offset: every piece's place in a sequence of ``size`` tokens at most; n_bins and bound as ``pack`` gives them."""
+    """id, piece, start, length, ids_crc32, sequence_id, offset: every piece's place in a sequence of ``size`` tokens at most; the certificates n_bins, bound, all_bins, all_bound."""
     cutup = cut(pieces(docs, tokenizer, size, end_id, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()))
-    placed = pack(cutup.where(F.col("length") < size), size, per_partition)
-    full = cutup.where(F.col("length") == size).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(1).cast("long").alias("n_bins"), F.lit(1).cast("long").alias("bound"))
+    placed, n_bins, bound = pack(cutup.where(F.col("length") < size), size, per_partition)
+    n_full = cutup.where(F.col("length") == size).count()
+    one = F.lit(1).cast("long")
+    full = cutup.where(F.col("length") == size).select("*", F.col("uid").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("n_bins"), one.alias("bound"))
     full = full.withColumn("sequence_id", -1 - F.col("sequence_id"))  # below zero: never an id of a packed one
-    return full.unionByName(cutup.where(F.col("length") < size).join(placed, "uid")).drop("uid")
+    both = full.unionByName(cutup.where(F.col("length") < size).join(placed, "uid")).drop("uid")
+    return both.withColumns({"all_bins": F.lit(n_full + n_bins).cast("long"), "all_bound": F.lit(n_full + bound).cast("long")})
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

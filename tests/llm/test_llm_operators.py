@@ -181,7 +181,7 @@ def test_similarity_at_the_threshold_links(spark):
     one, two = shared + ["x1", "x2", "x3"], shared + ["y1", "y2", "y3", "y4"]
     a, b = (set(simhash._shingle_set(" ".join(w), 5).tolist()) for w in (one, two))
     assert (len(a & b), len(a | b)) == (28, 35)
-    assert simhash.drop_near_copies(frame(spark, [(1, " ".join(one)), (2, " ".join(two))]), far=192).count() == 1
+    assert simhash.drop_near_copies(frame(spark, [(1, " ".join(one)), (2, " ".join(two))])).count() == 1
 
 
 def kept_by_brute_force(texts):
@@ -457,14 +457,11 @@ def test_bounds_hold_and_certify():
     assert len(packing.best_fit_decreasing(perfect)[2]) == packing.lower_bound(perfect) == 50
 
 
-def test_exchange_lowers_the_count(spark):
-    rng = np.random.default_rng(6)
-    lengths = rng.integers(1, 1024, 3000)
-    df = spark.createDataFrame([(k, int(n)) for k, n in enumerate(lengths)], "uid long, length long")
-    got = packing.pack(df, per_partition=200).collect()
-    assert sorted(r["uid"] for r in got) == list(range(3000))
+def packed_bins(rows, lengths):
+    """Free space by sequence; places are checked to be gapless."""
+    assert sorted(r["uid"] for r in rows) == list(range(len(lengths)))
     by = defaultdict(list)
-    for r in got:
+    for r in rows:
         by[r["sequence_id"]].append((r["offset"], int(lengths[r["uid"]])))
     for items in by.values():
         at = 0
@@ -472,20 +469,35 @@ def test_exchange_lowers_the_count(spark):
             assert offset == at
             at += n
         assert at <= 1024
-    assert len(by) <= packing.lower_bound(lengths) * 1.01 + 2
-
-
-def test_exchange_goes_on_until_one_partition_is_left(spark):
-    lengths = np.random.default_rng(5).integers(300, 700, 1500).tolist()
-    df = spark.createDataFrame(list(enumerate(lengths)), "uid long, length long")
-    got = packing.pack(df, per_partition=20).collect()
-    assert sorted(r["uid"] for r in got) == list(range(1500))
-    free = defaultdict(dict)  # of the bins of each partition and round
-    for r in got:
-        at = free[r["sequence_id"] >> 34]
-        at[r["sequence_id"]] = at.get(r["sequence_id"], 1024) - lengths[r["uid"]]
-    assert all(f >= 0 for at in free.values() for f in at.values())
-    assert len([at for at in free.values() if any(at.values()) and sum(at.values()) >= 1024]) <= 1
+    return {k: 1024 - sum(n for _, n in items) for k, items in by.items()}
+
+
+@pytest.mark.parametrize(("low", "high", "n", "per"), [(1, 1024, 3000, 200), (300, 700, 1500, 20), (100, 400, 900, 50)])
+def test_exchange_lowers_the_count(spark, low, high, n, per):
+    lengths = np.random.default_rng(6).integers(low, high, n)
+    df = spark.createDataFrame([(k, int(x)) for k, x in enumerate(lengths)], "uid long, length long")
+    placed, count, bound = packing.pack(df, per_partition=per)
+    rows = placed.collect()
+    bins = packed_bins(rows, lengths)
+    apart = sum(len(packing.best_fit_decreasing(lengths[k : k + per])[2]) for k in range(0, n, per))
+    assert packing.lower_bound(lengths) == bound <= count == len(bins) < apart
+    assert count <= len(packing.best_fit_decreasing(lengths)[2]) * (1.01 if per == 200 else 1.08) + 1
+    parts = defaultdict(set)  # the certificates are those of what stays together
+    for r in rows:
+        parts[r["sequence_id"] >> 34].add((r["n_bins"], r["bound"], r["sequence_id"]))
+    for group in parts.values():
+        (certificate,) = {x[:2] for x in group}
+        own = [lengths[r["uid"]] for r in rows if any(r["sequence_id"] == x[2] for x in group)]
+        assert certificate == (len(group), packing.lower_bound(np.array(own)))
+
+
+def test_what_fits_with_nothing_stays_where_it_is(spark):
+    lengths = np.full(3000, 600)
+    df = spark.createDataFrame([(k, 600) for k in range(3000)], "uid long, length long")
+    placed, count, bound = packing.pack(df, per_partition=100)
+    rows = placed.collect()
+    assert count == bound == 3000 == len(packed_bins(rows, lengths)) and len({r["sequence_id"] >> 34 for r in rows}) == 30  # one round
+    assert packing.pack(df.limit(0))[1:] == (0, 0)
 
 
 def test_packed_documents(spark, engine):
@@ -499,6 +511,7 @@ def test_packed_documents(spark, engine):
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             want[i, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == want
+    assert {(r["all_bins"], r["all_bound"]) for r in got} == {(len({r["sequence_id"] for r in got}),) * 2}
     assert packing.pack_documents(frame(spark, []), tokens.default_engine()).count() == 0
 
 
