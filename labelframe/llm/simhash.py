@@ -27,6 +27,7 @@ their text; extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -50,6 +51,8 @@ SKETCH, HEAD = 512, 4
 SMALL = 8
 #: One of so many documents is looked at for common shingles, how often one must stand there, and how many are told apart at most.
 SAMPLED, COMMON, MOST_COMMON = 16, 8, 100_000
+#: Hashes of shingle sets that a task keeps at hand while it verifies candidates.
+HELD = 1 << 21
 LANES = np.uint64(0x0101010101010101)
 
 
@@ -237,7 +240,7 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(hashes.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH) & 1 == 1, bitorder="little")
 
 
-def candidate_solver(similarity: float, far: int = SKETCH) -> Callable:
+def candidate_solver(similarity: float) -> Callable:
     """Solve for ``compare``: pairs that may be as similar as ``similarity`` and have their first common shingle here.
 
     Groups of up to ``SMALL`` rows give all of them, larger ones those in a least spanning forest. With a column ``root`` all
@@ -256,7 +259,7 @@ def candidate_solver(similarity: float, far: int = SKETCH) -> Callable:
             distance = sum(np.bitwise_count(prints[i, w] ^ prints[j, w]).astype(np.int16) for w in range(prints.shape[1]))
             both = size[i] + size[j]
             least = share * both - 1e-6
-            may = (np.minimum(size[i] - place[i], size[j] - place[j]) >= least) & (both - 2 * least >= distance) & (distance <= far)
+            may = (np.minimum(size[i] - place[i], size[j] - place[j]) >= least) & (both - 2 * least >= distance)
             if "block" in cols:  # pairs of one block are the work of that block with itself
                 may &= (cols["b1"][i] == cols["b2"][i]) | (cols["block"][i] != cols["block"][j])
             if "root" in cols:
@@ -325,7 +328,7 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
 
     some = docs.where(F.pmod("tag", F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
     counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).collect()], np.int64))
+    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()["h"].to_numpy())
 
 
 NO_ID = -(2**63)
@@ -337,11 +340,10 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, far: int = SKETCH, block: int = BLOCK) -> DataFrame:
+def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """One row per document: key (its id), tag (hash of its text), root (one value per group of near duplicates), first.
 
-    ``first`` is true for one row of each group, the one of the smallest id. ``far`` is the most bits of the sketch's 512 at
-    which a candidate is verified; by default only those are left out that can't be links.
+    ``first`` is true for one row of each group, the one of the smallest id.
     """
     if not 0 < similarity <= 1:
         raise ValueError("a similarity is above zero and one at most")
@@ -373,22 +375,42 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = classes.select(F.col("uid").alias("id"), "size", "fp", F.slice("firsts", 1, HEAD)).mapInArrow(headed, "id long, size int, fp binary, head binary")
     repeated = cut(repeated_keys(keyed).join(sketches, "id").select("key", "id", "pos", "size", "fp", "head"))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [_shingle_set(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes, pa.list_(pa.int64()))], names=["uid", "hashes"])
+            texts = [zlib.compress(b" ".join(words_of(x.as_py())), 1) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["uid", "z"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+
+        def shingles(uid: int, z: pa.Scalar) -> np.ndarray:
+            found = held.pop(uid, None)
+            if found is None:
+                found = np.unique(shingle_hashes(zlib.decompress(z.as_buffer()).split(), width))
+            held[uid] = found  # now the last to go
+            while len(held) > 2 and sum(map(len, held.values())) > HELD:
+                held.pop(next(iter(held)))
+            return found
+
+        for batch in batches:
+            links = []
+            for row, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                x, y = shingles(a, batch.column(2)[row]), shingles(b, batch.column(3)[row])
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                links.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(links, pa.bool_()))
 
     def verified(candidates: DataFrame) -> DataFrame:
+        """The candidates that are links. Texts travel as compressed words, once for each document and once for each candidate."""
         ends = candidates.select(F.col("a").alias("uid")).union(candidates.select("b")).distinct()
         asked = cut(classes.join(ends, "uid").select("key", "tag", "uid"))
-        fetched = named.join(small(asked), ["key", "tag"])  # a repeated row gives its set again
-        shingles = cut(fetched.select("uid", "text").mapInArrow(sets, "uid long, hashes array<bigint>").dropDuplicates(["uid"]))
-        x, y = shingles.select(F.col("uid").alias("a"), F.col("hashes").alias("x")), shingles.select(F.col("uid").alias("b"), F.col("hashes").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        return cut(candidates.join(x, "a").join(y, "b").where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b"))
+        fetched = named.join(small(asked), ["key", "tag"]).select("uid", "text").mapInArrow(squeezed, "uid long, z binary")
+        texts = fetched.groupBy("uid").agg(F.first("z").alias("z"))  # a repeated row gives its text again
+        x, y = texts.select(F.col("uid").alias("a"), F.col("z").alias("x")), texts.select(F.col("uid").alias("b"), F.col("z").alias("y"))
+        return cut(candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
     def pairs(rows: DataFrame) -> DataFrame:
-        return cut(compare(rows, candidate_solver(similarity, far), {"a": "long", "b": "long"}, block).distinct())
+        return cut(compare(rows, candidate_solver(similarity), {"a": "long", "b": "long"}, block).distinct())
 
     roots = cut(components(verified(pairs(repeated))))
     rooted = repeated.join(roots, repeated["id"] == roots["node"], "left").select(*repeated.columns, F.coalesce("root", "id").alias("root"))
