@@ -9,7 +9,12 @@ squares. An analysis of variance of these sums estimates how far hosts differ fr
 host's rate shrinks toward the global rate and a path's toward its host's. A sparse site thus keeps its prior, a large one its own record. A document's own p is taken out of its
 sites' sums before they speak about it (leave one out). The document's log odds plus the shift of its path's log odds from the global ones decide.
 
-Defined results: a null text counts as empty; null hosts and paths are sites of their own; rows without labels are scored like any other; labels
+A site is a string like ``host/path/...``, with or without a scheme: the host (A-Z lower-cased) is what stands before the first ``/``, the path the first segment after it. In
+a table whose sites are hosts only, each host has one path, and paths add nothing. A document's language, length or any other column is no site.
+
+Texts are scored once; what is kept of them (id, a hash, site, two probabilities) gives both the sums and the decisions.
+
+Defined results: a null text counts as empty, a very long one is read whole; null sites are one site of their own; rows without labels are scored like any other; labels
 that are null are left out, and of repeated labels the worst counts; without labels of both kinds a model says nothing against a document (p = 0); repeated rows are
 documents of their own; extra columns are ignored; an empty table gives an empty result.
 """
@@ -218,28 +223,48 @@ def site_sums(scored: DataFrame) -> tuple[DataFrame, Prior]:
     return both, Prior(rate, host, path)
 
 
-def judged(docs: DataFrame, labels: DataFrame, host_col: str = "source", path_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
-    """``docs`` with ``_lf_low``, ``_lf_toxic``, ``_lf_p`` (the document alone), ``_lf_site`` (its path's rate without it) and ``_lf_bad`` (both together)."""
-    score = scorer(train(docs, labels, id_col, text_col, sample))
-    scored = docs.withColumn("_lf_s", score(F.coalesce(F.col(text_col), F.lit(""))))
-    p = 1 - (1 - F.col("_lf_s.low")) * (1 - F.col("_lf_s.toxic"))
-    sums, prior = site_sums(scored.select(F.col(host_col).alias("host"), F.col(path_col).alias("path"), p.alias("p")))
-    sums = sums.select(*(F.col(c).alias(f"_lf_{c}") for c in ("host", "path", "n_path", "p_path", "n_host", "p_host")))
-    joined = scored.withColumn("_lf_p", p).join(small(sums), F.col(host_col).eqNullSafe(F.col("_lf_host")) & F.col(path_col).eqNullSafe(F.col("_lf_path")), "left")
-    host = (prior.host * prior.rate + F.col("_lf_p_host") - F.col("_lf_p")) / (prior.host + F.col("_lf_n_host") - 1)
-    site = F.greatest(F.lit(0.0), (prior.path * host + F.col("_lf_p_path") - F.col("_lf_p")) / (prior.path + F.col("_lf_n_path") - 1))
+def site_of(site: Column) -> tuple[Column, Column]:
+    """(host, path) of a site; null for null."""
+    bare = F.regexp_replace(site, "^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    upper, lower = string.ascii_uppercase, string.ascii_lowercase
+    return F.translate(F.split(bare, "/")[0], upper, lower), F.when(bare.isNotNull(), F.coalesce(F.get(F.split(bare, "/"), 1), F.lit("")))
+
+
+def with_posteriors(scored: DataFrame) -> DataFrame:
+    """``scored`` (host, path, p and others) with ``site_rate`` (the path's posterior without the row itself) and ``p_bad`` (both together)."""
+    sums, prior = site_sums(scored.select("host", "path", "p"))
+    sums = sums.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "n_path", "p_path", "n_host", "p_host")
+    joined = scored.join(small(sums), F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")), "left")
+    host = (prior.host * prior.rate + F.col("p_host") - F.col("p")) / (prior.host + F.col("n_host") - 1)
+    site = F.greatest(F.lit(0.0), (prior.path * host + F.col("p_path") - F.col("p")) / (prior.path + F.col("n_path") - 1))
     shift = _logit(site) - _logit(F.lit(prior.rate)) if 0 < prior.rate < 1 else F.lit(0.0)
-    bad = 1 / (1 + F.exp(-(_logit(F.col("_lf_p")) + F.coalesce(shift, F.lit(0.0)))))
-    return joined.select(*docs.columns, F.col("_lf_s.low").alias("_lf_low"), F.col("_lf_s.toxic").alias("_lf_toxic"), "_lf_p", site.alias("_lf_site"), bad.alias("_lf_bad"))
+    bad = 1 / (1 + F.exp(-(_logit(F.col("p")) + shift)))
+    return joined.select(*scored.columns, site.alias("site_rate"), bad.alias("p_bad"))
+
+
+def _tag(site: Column, text: Column) -> Column:
+    """Hash of what decides about a document, besides the other documents."""
+    return F.xxhash64(F.coalesce(text, F.lit("")), site.isNull(), site)
+
+
+def judgements(docs: DataFrame, labels: DataFrame, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
+    """One row for each of ``docs``: id, tag (hash of text and site), host, path, p_low, p_toxic, p (the document alone), site_rate (its path's rate without it) and p_bad (both together)."""
+    score = scorer(train(docs, labels, id_col, text_col, sample))
+    text, (host, path) = F.coalesce(F.col(text_col), F.lit("")), site_of(F.col(site_col))
+    scored = docs.select(F.col(id_col).alias("id"), _tag(F.col(site_col), F.col(text_col)).alias("tag"), host.alias("host"), path.alias("path"), score(text).alias("s"))
+    p = 1 - (1 - F.col("s.low")) * (1 - F.col("s.toxic"))
+    return with_posteriors(cut(scored.select("id", "tag", "host", "path", F.col("s.low").alias("p_low"), F.col("s.toxic").alias("p_toxic"), p.alias("p"))))
 
 
-def drop_rejected(docs: DataFrame, labels: DataFrame, most: float = 0.5, **how) -> DataFrame:
+def drop_rejected(docs: DataFrame, labels: DataFrame, most: float = 0.5, site_col: str = "source", id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without those whose probability of being bad is above ``most``; columns unchanged."""
-    return judged(docs, labels, **how).where(F.col("_lf_bad") <= most).select(*docs.columns)
+    bad = judgements(docs, labels, site_col, id_col, text_col, **how).where(F.col("p_bad") > most).select(F.col("id").alias("of"), F.col("tag").alias("said"))
+    bad = small(cut(bad.distinct()))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["of"]) & (_tag(docs[site_col], docs[text_col]) == bad["said"]), "left_anti")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, p_low, p_toxic, site_rate, p_bad, keep of all documents."""
-    out = judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    r = lambda c: F.round(c, 6)
-    return out.select("doc_id", r("_lf_low").alias("p_low"), r("_lf_toxic").alias("p_toxic"), r("_lf_site").alias("site_rate"), r("_lf_bad").alias("p_bad"), (F.col("_lf_bad") <= 0.5).alias("keep"))
+    out = judgements(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    r = lambda c: F.round(c, 6).alias(c)
+    return out.select(F.col("id").alias("doc_id"), r("p_low"), r("p_toxic"), r("site_rate"), r("p_bad"), (F.col("p_bad") <= 0.5).alias("keep"))
