@@ -7,6 +7,7 @@ any cluster and in any order. Python runs only in ``minimal_span`` (difflib alig
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,9 @@ from pyspark.sql.types import ArrayType, IntegerType
 
 from labelframe.functions import text as T
 from labelframe.functions.numbers import bind, rational, rational_text, rational_tokens
+from labelframe.functions.parsing import expression
 from labelframe.schema import STEP
+from labelframe.sources.staging import staged
 
 LINEAR, ARITH = "一次方程式", "正負の数"
 #: Error types by operator, with severity (fixed values).
@@ -27,8 +30,12 @@ MUTATION = "struct<operator:string,site:string,type:string,severity:int,delta:in
 
 
 def choose(seed: int, key: Column, what: str, n: Column | int) -> Column:
-    """A number from 0 below n by the hash of (seed, key, what)."""
-    return F.pmod(F.xxhash64(F.lit(seed), key, F.lit(what)), F.lit(n) if isinstance(n, int) else n.cast("long")).cast("int")
+    """A number from 0 below n by the SHA-256 of (seed, key, what): the same in any engine."""
+    return F.pmod(F.conv(F.substring(hashed(seed, key, what), 1, 15), 16, 10).cast("long"), F.lit(n) if isinstance(n, int) else n.cast("long")).cast("int")
+
+
+def hashed(seed: int, key: Column, what: str) -> Column:
+    return F.sha2(F.concat(F.lit(f"{seed}|"), key.cast("string"), F.lit(f"|{what}")).cast("binary"), 256)
 
 
 def chance(seed: int, key: Column, what: str, p: float) -> Column:
@@ -161,6 +168,32 @@ def proposed_mutation(expr: Column, value: Column) -> Column:
     return F.when(F.col("domain") == LINEAR, line).otherwise(sums)
 
 
+#: A proposer: (domain, the three parameters) to the text of what a learner with a misconception would write; it may raise.
+Proposer = Callable[[str, int, int, int], str]
+
+
+def with_proposals(rows: DataFrame, proposer: Proposer, retries: int = 2) -> DataFrame:
+    """``rows`` (domain, x, y, z) with ``proposed``: the proposal read as an expression (linear rows) or as a whole number; nulls where the proposer failed each time."""
+
+    @F.pandas_udf("string")
+    def ask(domain: pd.Series, x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
+        out = []
+        for row in zip(domain, x, y, z, strict=True):
+            said = None
+            for _ in range(retries + 1):
+                try:
+                    said = str(proposer(row[0], *map(int, row[1:])))
+                    break
+                except Exception:  # an outside service may fail in any way
+                    continue
+            out.append(said)
+        return pd.Series(out, dtype=object)
+
+    rows = rows.withColumn("_said", ask("domain", "x", "y", "z"))
+    value = F.when(F.trim("_said").rlike(r"^[+-]?[0-9]{1,18}$"), F.trim("_said").try_cast("bigint"))
+    return rows.withColumn("proposed", F.struct(expression("_said").alias("expr"), value.alias("value"))).drop("_said")
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def minimal_span(gold: pd.Series, mutant: pd.Series) -> pd.Series:
     """[lo, hi) of the mutant text around all that an alignment with the gold text changes; one character at least."""
@@ -287,14 +320,18 @@ def records(made: DataFrame, seed: int) -> DataFrame:
     )
 
 
-def generate(spark: SparkSession, n: int, seed: int, control_share: float = 0.3, fractions: bool = True) -> DataFrame:
+def generate(spark: SparkSession, n: int, seed: int, control_share: float = 0.3, fractions: bool = True, proposer: Proposer | None = None) -> DataFrame:
     """About ``n`` records: errors, and control twins (same pair) of those errors whose hashes come first.
 
-    Exactly round(n control_share) twins are drawn without replacement: rows with the least hashes of their index.
+    Exactly round(n control_share) twins are drawn without replacement: rows with the least hashes of their index. A ``proposer`` gives the mutations
+    where its proposals are allowed.
     """
     n_errors = round(n * (1 - control_share))
-    made = problems(spark, n_errors, seed, fractions).withColumn("mutation", chosen_mutation(seed))
-    twins = made.orderBy(F.xxhash64(F.lit(seed), F.lit("twin"), "idx"), "idx").limit(min(n - n_errors, n_errors)).withColumn("mutation", F.lit(None).cast(MUTATION))
+    made = problems(spark, n_errors, seed, fractions)
+    # written, for the programs use a mutation in many places and would carry its whole expression to each
+    made = made.withColumn("mutation", chosen_mutation(seed)) if proposer is None else with_proposals(made, proposer).withColumn("mutation", F.coalesce(proposed_mutation(F.col("proposed.expr"), F.col("proposed.value")), chosen_mutation(seed))).drop("proposed")
+    made = staged(made)
+    twins = made.orderBy(hashed(seed, F.col("idx"), "twin"), "idx").limit(min(n - n_errors, n_errors)).withColumn("mutation", F.lit(None).cast(MUTATION))
     return records(made.unionByName(twins), seed)
 
 

@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,30 +14,9 @@ from labelframe.functions import parsing, seeds
 from labelframe.functions import text as T
 from labelframe.operators import audit, dataset, layout, metrics, probe, programs, relabel, rewards, splits, verbalise
 from labelframe.plans import pipelines
+from labelframe.plans.registry import ORACLES, QUERIES, query as _query, r6, table as _table  # noqa: F401
 from labelframe.sources import fixed, generators, records, staging
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def r6(c):
-    return F.round(c, 6)
-
-
 # Evaluation
 
 
@@ -483,93 +460,6 @@ def rationals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").withColumn("r", N.rational(n, d)).select("l_orderkey", "l_linenumber", "r.num", "r.den")
 
 
-# Generated records: no table holds any, so these make their own, as many as there are suppliers
-
-
-def _records(spark: SparkSession, sf_dir: str, laid_out: bool = True) -> DataFrame:
-    n = _table(spark, sf_dir, "supplier").count()
-    made = staging.staged(programs.generate(spark, n, 20))
-    return layout.laid_out(made.drop("g1_reasons", "g2_reasons")) if laid_out else made
-
-
-_N = "WITH n AS (SELECT count(*) AS n, count(*) - round_even(count(*) * 0.7, 0)::BIGINT AS c FROM supplier)"
-
-
-@_query("generation_stats", _N + " SELECT n AS n_generated, n AS g1_pass, 0::BIGINT AS g1_fail, n AS g2_pass, 0::BIGINT AS g2_fail, round(c / n, 6) AS control_ratio FROM n")
-def generation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return programs.batch_stats(_records(spark, sf_dir, False)).withColumn("control_ratio", r6("control_ratio"))
-
-
-@_query("generated_operators")
-def generated_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return programs.per_operator(_records(spark, sf_dir, False))
-
-
-@_query("mock_evaluation", _N + " SELECT 1.0::DOUBLE AS tpr, 1.0::DOUBLE AS tnr, 1.0::DOUBLE AS bacc, 0.0::DOUBLE AS transcript_cer_mean, 0.0::DOUBLE AS over_correction_rate, 1.0::DOUBLE AS iou_at_0_5, 1.0::DOUBLE AS type_macro_exact_match, 1.0::DOUBLE AS score_exact_match, n - c AS n_error_records, c AS n_control_records, 0::BIGINT AS n_parse_failures FROM n")
-def mock_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions equal to the truth rate perfectly."""
-    out = pipelines.evaluation(staging.staged(_records(spark, sf_dir)), None, pipelines.Options(mock=True))[1]
-    return out.select("tpr", "tnr", "bacc", "transcript_cer_mean", "over_correction_rate", "iou_at_0_5", "type_macro_exact_match", "score_exact_match", "n_error_records", "n_control_records", "n_parse_failures")
-
-
-@_query("tuning_splits", _N + " SELECT n AS records, n - c AS pairs, n - c AS error_records, c AS control_records FROM n")
-def tuning_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dataset build over all splits together."""
-    stats = pipelines.dataset_build(staging.staged(_records(spark, sf_dir)), None, 0.1, 3, test_seed=4, test_n=5).stats
-    return stats.where("split is null").select("records", "pairs", "error_records", "control_records")
-
-
-@_query("generated_relabels")
-def generated_relabels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relabel.relabel_stats(relabel.relabel_map(_records(spark, sf_dir, False)))
-
-
-@_query("box_acceptance", _N + " SELECT least(100, n - c) AS n, least(100, n - c) AS n_boxed, true AS accepted FROM n")
-def box_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.box_acceptance(_records(spark, sf_dir))
-
-
-@_query("style_invariance", _N + " SELECT n - c AS n_pairs, n - c AS n_same FROM n")
-def style_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.style_invariance(_records(spark, sf_dir))
-
-
-@_query("character_boxes")
-def character_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All character boxes with a writer's placement."""
-    rows = layout.laid_out(_records(spark, sf_dir, False).drop("g1_reasons", "g2_reasons"), seeds.DEFAULTS)
-    boxes = rows.select("sample_id", F.explode("render.char_boxes_px").alias("step_id", "chars")).select("sample_id", "step_id", F.explode("chars").alias("c"))
-    return boxes.select("sample_id", "step_id", F.col("c.i").alias("i"), "c.row", "c.char", *(F.round(F.col("c.bbox")[k], 4).alias(f"b{k}") for k in range(4)))
-
-
-@_query("reward_inversions")
-def reward_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = rewards.inversions(staging.staged(_records(spark, sf_dir)), 6)
-    return out.withColumns({"max_gap": r6("max_gap"), "inversion_rate": r6("inversion_rate")})
-
-
-@_query("gate_efficacy")
-def gate_efficacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe.gate_efficacy(spark, _table(spark, sf_dir, "supplier").count(), 8).withColumn("flagged_rate", r6("flagged_rate"))
-
-
-@_query("verbalised_records", _N + " SELECT 'llm' AS verbalizer, n FROM n")
-def verbalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = verbalise.verbalised(_records(spark, sf_dir, False).drop("g1_reasons", "g2_reasons"), verbalise.prefixed)
-    return out.groupBy("provenance.verbalizer").agg(F.count(F.lit(1)).alias("n"))
-
-
-@_query("text_probe")
-def text_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the text alone tells errors from controls: trained on one part of the pairs, rated on the other."""
-    rows = _records(spark, sf_dir, False).select("sample_id", "pair_id", F.when(F.col("control_flag.error_free"), 0).otherwise(1).alias("y"), T.normalize_text(F.col("transcript_gt.text")).alias("t"))
-    placed = staging.staged(splits.split_groups(rows, "pair_id", 0.3, 2))
-    model = probe.fit_bayes(placed.where("split = 'train'"), F.col("t"), "y")
-    held = placed.where("split = 'val'")
-    scored = probe.score_bayes(held, F.col("t"), "sample_id", model).join(held.select("sample_id", "y"), "sample_id")
-    return probe.auc(scored, "score", F.col("y") == 1).withColumn("auc", r6("auc"))
-
-
 @_query("kpi_simulated")
 def kpi_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.kpi_simulated(probe.kpi_grid(spark), 20_000, 7)
@@ -605,3 +495,6 @@ def platform_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("platform_dates", "SELECT year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, count(*) AS n, min(o_orderdate::DATE) AS first_day FROM orders GROUP BY ALL")
 def platform_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date("o_orderdate")).alias("first_day"))
+
+
+from labelframe.plans import generated  # noqa: E402, F401  (registers its queries)
