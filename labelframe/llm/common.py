@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,10 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint_folder(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names, set as the context's checkpoint folder.
 
-    Only a session without that setting and without a checkpoint folder (a local test) gets a temporary one of its own.
+    Only a session on a local master without that setting and without a checkpoint folder (a test) gets a temporary one of its own; on a cluster that is an error.
     """
     named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="labelframe-"))
     return (named or context.getCheckpointDir()).rstrip("/")
 
@@ -30,6 +33,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def reserved(df: DataFrame) -> None:
+    """Refuse columns that could be taken for the operators' own."""
+    if found := [c for c in df.columns if c.lower().startswith("_lf_")]:
+        raise ValueError(f"column names that begin with _lf_ are reserved: {found}")
+
+
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col), F.lit(""))
 
@@ -43,8 +52,8 @@ BROADCAST_ROWS = 400_000
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` of a few fixed-width columns, with a broadcast hint if it is counted at ``most`` rows or fewer."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """``df`` of a few fixed-width columns, best a materialised one, with a broadcast hint if it is counted (by partial sums) at ``most`` rows or fewer."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -10,8 +10,8 @@ undecided of them (the lines of two documents at most) comes out with the run's
 The result is a compressed keep bitmap for each document that loses lines, not text.
 
 Defined results: a null or empty text is one empty line; documents are told apart by id (rows with equal ids count as one
-document, null ids as one below all others); rows repeated with equal texts get equal results; extra columns are ignored; an empty table gives an empty
-result.
+document, null ids as one below all others, which an id of -2^63 is taken for); rows repeated with equal texts get equal results; very long texts are split whole; extra columns are ignored,
+but none may begin with ``_lf_``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelframe.llm.common import cut, shuffle_partitions, small, table, text_or_empty
+from labelframe.llm.common import cut, reserved, shuffle_partitions, small, table, text_or_empty
 
 LEAST_CHARS, LEAST_DOCS = 20, 3
 SPACES = b" \t\n\x0b\x0c\r"
@@ -64,6 +64,7 @@ def keep_lines(text: str, bitmap: bytes | None) -> tuple[str, int, int]:
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    reserved(docs)
     text = text_or_empty(text_col)
     return docs.withColumns({"_lf_key": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_lf_tag": F.xxhash64(text)})
 

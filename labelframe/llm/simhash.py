@@ -10,19 +10,19 @@ the two words have a common index among the Golay codewords within four bits of
 each of these one or six indices: 3 to 18 keys of 33 or 34 bits, complete for two bits. Every
 candidate in a bucket is verified by its exact distance.
 
-``near_texts`` links documents whose sets of ``width``-word shingles have a Jaccard similarity of
-``similarity`` or more, by a prefix filter. All shingles have one order (by hash, those common in a sample
+``near_texts`` links documents whose sets of ``width``-word shingles have a Jaccard similarity of ``similarity`` or more. It takes the candidates that the keys give for the fingerprints of these sets (majority over distinct
+shingles). At 0.8 sets differ in about ten of 64 bits, for which the keys are not complete, so an exact search completes them, a prefix filter. All shingles have one order (by hash, those common in a sample
 of the documents last). The sets of a pair share ``similarity`` times the larger one's size at least, so their first
 common shingle is among the first ``n - ceil(similarity n) + 1`` of each; these are a document's keys, and a pair is reported in the
 bucket of its first common one. Sizes, places in the order and a sketch (for each of 512 classes of shingles, whether
 their number is odd) bound the shared shingles from above, so they drop no link. All candidates are verified on the whole shingle sets:
 first those of small buckets and of least spanning forests of large ones, then all that are left in large buckets between documents that
-the verified links have not joined.
+the verified links have not joined. So no link is lost, whatever the fingerprints say; but documents of a large bucket that are just less similar than ``similarity`` cost a verification for each pair.
 
 Defined results: a null text counts as empty; texts without words share the fingerprint zero and
 link with each other; a text with fewer words than a shingle is one shingle; repeated rows and
 exact copies are links like any other; rows with a null id take part and get the component of
-their text; extra columns are ignored; an empty table gives an empty result.
+their text (an id of -2^63 counts as null); very long texts are taken whole; extra columns are ignored, but none may begin with ``_lf_``; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from labelframe.llm import golay
 from labelframe.llm.buckets import BLOCK, compare, spanning_forest
-from labelframe.llm.common import cut, shuffle_partitions, small, table, text_or_empty
+from labelframe.llm.common import cut, reserved, shuffle_partitions, small, table, text_or_empty
 from labelframe.llm.components import components
 
 SEED = 42
@@ -83,6 +83,11 @@ def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * totals > sizes[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+def majority_of(hashes: np.ndarray) -> np.int64:
+    """The majority word of one group; zero for none."""
+    return majority(hashes.view(np.uint64), np.array([len(hashes)])).view(np.int64)[0] if len(hashes) else np.int64(0)
+
+
 def _batched(texts: Iterator[str], width: int, fold: Callable, shape: tuple[int, ...], most: int = 1 << 18) -> np.ndarray:
     """Fold the shingle hashes of texts, some hundred thousand shingles at a time; zero for no words."""
     out, held, n = [], [], 0
@@ -240,16 +245,16 @@ def parities(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(hashes.view(np.uint64) % np.uint64(SKETCH), minlength=SKETCH) & 1 == 1, bitorder="little")
 
 
-def candidate_solver(similarity: float) -> Callable:
-    """Solve for ``compare``: pairs that may be as similar as ``similarity`` and have their first common shingle here.
+def candidate_solver(similarity: float, every: bool = False) -> Callable:
+    """Solve for ``compare``: pairs (of different ``root``, if there is such a column) that may be as similar as ``similarity`` and have their first common shingle here.
 
-    Groups of up to ``SMALL`` rows give all of them, larger ones those in a least spanning forest. With a column ``root`` all
-    groups give all pairs of different roots.
+    Groups of up to ``SMALL`` rows give all of them, larger ones those in a least spanning forest (rows of one root hang together already), or all if ``every``.
     """
     share = similarity / (1 + similarity)  # of both sizes: what such a pair has in common at least
 
     def solve(cols: dict[str, np.ndarray], starts: np.ndarray) -> dict[str, np.ndarray]:
         ids, size, place, n = cols["id"], cols["size"], cols["pos"], len(cols["id"])
+        roots = cols.get("root", ids)
         prints = np.ascontiguousarray(cols["fp"]).view(np.uint64).reshape(n, -1)
         heads = np.ascontiguousarray(cols["head"]).view(np.int64).reshape(n, HEAD)
         a, b = [], []
@@ -262,9 +267,8 @@ def candidate_solver(similarity: float) -> Callable:
             may = (np.minimum(size[i] - place[i], size[j] - place[j]) >= least) & (both - 2 * least >= distance)
             if "block" in cols:  # pairs of one block are the work of that block with itself
                 may &= (cols["b1"][i] == cols["b2"][i]) | (cols["block"][i] != cols["block"][j])
-            if "root" in cols:
-                may &= cols["root"][i] != cols["root"][j]
-            return np.where(may, distance, SKETCH + 1)
+            apart = roots[i] != roots[j]
+            return np.where(may & apart, distance, np.where(apart | every, SKETCH + 1, 0))
 
         def keep(i: np.ndarray, j: np.ndarray) -> None:
             """Those that have no earlier shingle in common, as far as the heads tell."""
@@ -279,12 +283,14 @@ def candidate_solver(similarity: float) -> Callable:
             at = starts[sizes == s]
             for x in range(s if len(at) else 0):
                 for y in range(x):
-                    near = bits(at + y, at + x) <= SKETCH
+                    near = (bits(at + y, at + x) <= SKETCH) & (roots[at + y] != roots[at + x])
                     keep((at + y)[near], (at + x)[near])
         for k in np.flatnonzero(sizes > SMALL):
             rows = starts[k] + np.arange(sizes[k])
             distance = bits(rows[:, None], rows[None, :])
-            i, j = np.nonzero(np.triu(distance <= SKETCH, 1)) if "root" in cols else spanning_forest(distance, SKETCH)
+            i, j = np.nonzero(np.triu(distance <= SKETCH, 1)) if every else spanning_forest(distance, SKETCH)
+            apart = roots[rows[i]] != roots[rows[j]]
+            i, j = i[apart], j[apart]
             for at in range(0, len(i), 1 << 16):
                 keep(rows[i[at : at + (1 << 16)]], rows[j[at : at + (1 << 16)]])
         i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -340,6 +346,15 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after the ``links`` (a, b) between nodes; nodes without a row are roots of their own."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    between = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
+    joined = cut(components(between)).select(F.col("node").alias("was"), F.col("root").alias("now"))
+    alone = joined.join(roots, joined["was"] == roots["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
+    return cut(roots.join(joined, roots["root"] == joined["was"], "left").select("node", F.coalesce("now", "root").alias("root")).union(alone))
+
+
 def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """One row per document: key (its id), tag (hash of its text), root (one value per group of near duplicates), first.
 
@@ -352,29 +367,25 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [])
             for text in batch.column(2):
                 words = words_of(text.as_py())
                 hashes = np.unique(shingle_hashes(words, width).view(np.int64))
-                for to, v in zip(rows, (xxhash.xxh3_128_digest(b" ".join(words)), len(hashes), parities(hashes).tobytes(), prefix(hashes, common, similarity)), strict=True):
+                for to, v in zip(rows, (xxhash.xxh3_128_digest(b" ".join(words)), len(hashes), parities(hashes).tobytes(), int(majority_of(hashes)), prefix(hashes, common, similarity)), strict=True):
                     to.append(v)
-            names, sizes, prints, firsts = (pa.array(r, t) for r, t in zip(rows, (pa.binary(), pa.int32(), pa.binary(), pa.list_(pa.int64())), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), names, sizes, prints, firsts], names=["key", "tag", "name", "size", "fp", "firsts"])
+            found = (pa.array(r, t) for r, t in zip(rows, (pa.binary(), pa.int32(), pa.binary(), pa.int64(), pa.list_(pa.int64())), strict=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["key", "tag", "name", "size", "fp", "print", "firsts"])
 
-    prints = named.mapInArrow(run, "key long, tag long, name binary, size int, fp binary, firsts array<bigint>")
+    prints = named.mapInArrow(run, "key long, tag long, name binary, size int, fp binary, print long, firsts array<bigint>")
     prints = cut(prints.withColumn("uid", F.monotonically_increasing_id()))
     order = F.struct((F.col("key") == NO_ID).alias("none"), "key", "uid")
-    classes = cut(prints.groupBy("name").agg(F.min_by(F.struct("key", "uid", "tag", "size", "fp", "firsts"), order).alias("m")).select("name", "m.*"))
+    classes = cut(prints.groupBy("name").agg(F.min_by(F.struct("key", "uid", "tag", "size", "fp", "print", "firsts"), order).alias("m")).select("name", "m.*"))
 
     def headed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             heads = [np.resize(np.array(x.as_py(), np.int64), HEAD).tobytes() for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(heads, pa.binary())], names=["id", "size", "fp", "head"])
 
-    keyed = classes.select(F.col("uid").alias("id"), F.posexplode("firsts").alias("pos", "key")).select("key", "id", "pos")
-    sketches = classes.select(F.col("uid").alias("id"), "size", "fp", F.slice("firsts", 1, HEAD)).mapInArrow(headed, "id long, size int, fp binary, head binary")
-    repeated = cut(repeated_keys(keyed).join(sketches, "id").select("key", "id", "pos", "size", "fp", "head"))
-
     def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [zlib.compress(b" ".join(words_of(x.as_py())), 1) for x in batch.column(1)]
@@ -409,20 +420,25 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         x, y = texts.select(F.col("uid").alias("a"), F.col("z").alias("x")), texts.select(F.col("uid").alias("b"), F.col("z").alias("y"))
         return cut(candidates.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long"))
 
-    def pairs(rows: DataFrame) -> DataFrame:
-        return cut(compare(rows, candidate_solver(similarity), {"a": "long", "b": "long"}, block).distinct())
+    def pairs(rows: DataFrame, every: bool = False) -> DataFrame:
+        return compare(rows, candidate_solver(similarity, every), {"a": "long", "b": "long"}, block).distinct()
+
+    # candidates of the fingerprints, and of the prefix filter
+    of_print = classes.groupBy("print").agg(F.min("uid").alias("first"))
+    end = lambda c: of_print.select(F.col("print").alias(c), F.col("first").alias(f"{c}_first"))
+    between = fingerprint_links(classes.select(F.col("print").alias("fp")), 2, block).join(end("a"), "a").join(end("b"), "b").select(F.least("a_first", "b_first").alias("a"), F.greatest("a_first", "b_first").alias("b"))
+    within = classes.select("print", "uid").join(of_print, "print").where(F.col("uid") != F.col("first")).select(F.col("first").alias("a"), F.col("uid").alias("b"))
+    keyed = classes.select(F.col("uid").alias("id"), F.posexplode("firsts").alias("pos", "key")).select("key", "id", "pos")
+    sketches = classes.select(F.col("uid").alias("id"), "size", "fp", F.slice("firsts", 1, HEAD)).mapInArrow(headed, "id long, size int, fp binary, head binary")
+    repeated = cut(repeated_keys(keyed).join(sketches, "id").select("key", "id", "pos", "size", "fp", "head"))
+    roots = cut(components(verified(cut(pairs(repeated).union(between).union(within).distinct()))))
 
-    roots = cut(components(verified(pairs(repeated))))
-    rooted = repeated.join(roots, repeated["id"] == roots["node"], "left").select(*repeated.columns, F.coalesce("root", "id").alias("root"))
-    parted = rooted.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
+    # what large buckets have left out, between documents of different roots
+    again = repeated.join(roots, repeated["id"] == roots["node"], "left").select(*repeated.columns, F.coalesce("root", "id").alias("root"))
+    parted = again.groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.min("root").alias("least"), F.max("root").alias("most"))
     thinned = cut(parted.where((F.col("rows") > SMALL) & (F.col("least") < F.col("most"))).select("key"))
     if not thinned.isEmpty():  # the forests may have left out links for candidates that are none
-        more = verified(pairs(rooted.join(small(thinned), "key", "left_semi")))
-        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
-        between = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-        joined = cut(components(between)).select(F.col("node").alias("was"), F.col("root").alias("now"))
-        alone = joined.join(roots, joined["was"] == roots["node"], "left_anti").select(F.col("was").alias("node"), F.col("now").alias("root"))
-        roots = roots.join(joined, roots["root"] == joined["was"], "left").select("node", F.coalesce("now", "root").alias("root")).union(alone)
+        roots = joined_roots(roots, verified(cut(pairs(again.join(small(thinned), "key", "left_semi"), every=True))))
     least = F.struct((F.col("key") == NO_ID).alias("none"), F.col("key"), F.col("uid"))
     placed = classes.join(roots, classes["uid"] == roots["node"], "left").select("name", F.coalesce("root", "uid").alias("root"), least.alias("least"))
     leaders = placed.groupBy("root").agg(F.min("least").alias("lead"))
@@ -432,6 +448,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one document, the one of the smallest id, of each group of ``near_texts``; columns unchanged."""
+    reserved(docs)
     groups = cut(near_texts(docs, id_col, text_col, **how).groupBy("key", "tag").agg(F.max("first").alias("first"), F.count(F.lit(1)).alias("n")))
     tagged = docs.withColumns({"_lf_key": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_lf_tag": F.xxhash64(text_or_empty(text_col))})
     named = lambda df: df.select(F.col("key").alias("_lf_key"), F.col("tag").alias("_lf_tag"))
