@@ -1,15 +1,16 @@
 """Operator 3: token counts of whole texts, huge ones by overlapping chunks that are spliced where both agree.
 
 ``Engine`` gives the ids of a byte-level BPE tokenizer file exactly as the library ``tokenizers`` does. Texts within
-Latin-1 without overlong words go through the same vocabulary in ``tiktoken``, which is some times faster; for other
-texts, where the two libraries' Unicode tables could differ, and very long words, the library itself runs.
+Latin-1 go through the same vocabulary in ``tiktoken``, which is some times faster and gives equal ids there: within Latin-1 both libraries' Unicode tables
+agree. Other texts go to the library itself, as do texts with words of more than ``LONGEST_WORD`` characters (merging takes time by the square of a word's length in ``tiktoken``) or
+runs of a thousand white spaces (its pattern looks ahead from each of them, down to the end of its stack).
 
-``Engine.encode_long`` never hands more than a chunk to the library. Neighbouring chunks overlap, and offsets (the running
-sums of the tokens' byte lengths) place their tokens. They are spliced at a position p between a letter, digit or ASCII punctuation mark and an
-ASCII white-space character. There p is stable: no alternative of the pre-tokenizer's pattern matches a
-non-space followed by a space, so p ends a pre-token whatever stands around it, merges never cross pre-tokens, and
-special tokens hold no white space; hence the ids of the whole are those before p and those after it. If the overlap holds no
-such position that is a token boundary of both chunks, it is widened, at last to the whole chunk, and then the chunk grows.
+``Engine.encode_long`` hands chunks to the library. Neighbouring chunks overlap, and offsets (the running
+sums of the tokens' byte lengths) place their tokens. They are spliced at a position p between two characters of different kinds: letter, digit, mark, ASCII white space, but for white space before another kind
+and an apostrophe before a letter. There p is stable: each alternative of the pre-tokenizer's pattern takes characters of one kind, after one space or apostrophe at most, so p ends a
+pre-token whatever stands around it, and merges never cross pre-tokens; positions inside a special token's string are left out; hence the ids of the whole are those before p and those after
+it. Letters and marks are those of ranges that all Unicode tables know. If the overlap holds no such position that is a token boundary of both chunks, it is widened, at last to the whole chunk, and then the chunk
+grows: only a run without any such position (a word of tens of thousands of letters, one pre-token) goes to the library whole, since its merges depend on all of it.
 
 Defined results: a null text counts as empty (no bytes, no tokens); every row is counted by itself, repeated ones and those with a null id too; extra columns are
 ignored; an empty table gives an empty result.
@@ -78,8 +79,14 @@ class Engine:
                     return self.fast.encode_to_numpy(text, allowed_special=self.special, disallowed_special=())
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
+    def stable(self, text: str, start: int, end: int) -> Iterator[int]:
+        """Stable positions with ``start`` < p < ``end``, the last first."""
+        for p in [m.start() for m in _STABLE.finditer(text, start + 1, end)][::-1]:
+            if not any(t in text[max(0, p - len(t) + 1) : p + len(t) - 1] for t in self.special):
+                yield p
+
     def encode_long(self, text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> np.ndarray:
-        """Ids of ``text``, no more than about a chunk of it encoded at once."""
+        """Ids of ``text``, no more than about a chunk of it encoded at once where it has stable positions."""
         out, begin, size = [], 0, chunk
         ids = self.encode(text[:size])  # of text[begin:end], or spliced from the chunk before
         end = min(len(text), size)
@@ -93,7 +100,7 @@ class Engine:
                     nxt_end = min(len(text), end + size)
                 nxt = self.encode(text[start:nxt_end])
                 nxt_starts = np.cumsum(self.n_bytes[nxt]) - self.n_bytes[nxt]
-                for p in stable(text, start, end):
+                for p in self.stable(text, start, end):
                     left, right = len(text[begin:p].encode()), len(text[start:p].encode())
                     i, j = np.searchsorted(ends, left), np.searchsorted(nxt_starts, right)
                     if i < len(ends) and ends[i] == left and j < len(nxt) and nxt_starts[j] == right:
@@ -116,12 +123,10 @@ class Engine:
 
 
 _GAP = re.compile(r"\s{1000}")
-_STABLE = re.compile(rf"[A-Za-z0-9{re.escape(string.punctuation)}À-ÖØ-öø-ɏ](?=[ \t\n\r])")
-
-
-def stable(text: str, start: int, end: int) -> list[int]:
-    """Stable positions with ``start`` < p < ``end``, the last first."""
-    return [m.end() for m in _STABLE.finditer(text, start, end)][::-1]
+#: Letters, and marks but the apostrophe, as ranges of characters that are such in every Unicode table.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-Ωα-ωА-Яа-яא-תء-غक-हก-ฮぁ-ゖァ-ヺ一-龥가-힣"
+MARKS = re.escape(string.punctuation.replace("'", "")) + "、。，！？；：「」『』（）《》…—–“”«»"
+_STABLE = re.compile(rf"(?<=[{LETTERS}])(?=[0-9'{MARKS} \t\n\r])|(?<=[0-9])(?=[{LETTERS}'{MARKS} \t\n\r])|(?<=['{MARKS}])(?=[0-9 \t\n\r])|(?<=[{MARKS}])(?=[{LETTERS}])")
 
 
 @lru_cache(maxsize=4)
