@@ -72,3 +72,13 @@ def keep_first(rows: DataFrame, key: str, priority: list[Column], n: int | None
 def every_nth(rows: DataFrame, ordinal: str, n: int) -> DataFrame:
     """Rows whose global ordinal is a multiple of ``n``."""
     return rows.where(F.pmod(F.col(ordinal), F.lit(n)) == 0)
+
+
+def head(rows: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first ``n`` rows in an explicit order (a distributed top n: no shuffle of the rest)."""
+    return rows.orderBy(*order).limit(n)
+
+
+def first_ordinals(rows: DataFrame, n: int, ordinal: str = "ordinal") -> DataFrame:
+    """A limit over all chunks: rows whose global ordinal is below ``n``."""
+    return rows.where(F.col(ordinal) < n)

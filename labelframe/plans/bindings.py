@@ -460,11 +460,6 @@ def rationals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "lineitem").withColumn("r", N.rational(n, d)).select("l_orderkey", "l_linenumber", "r.num", "r.den")
 
 
-@_query("kpi_simulated")
-def kpi_simulated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe.kpi_simulated(probe.kpi_grid(spark), 20_000, 7)
-
-
 # What the platform gives beyond the operators above
 
 
@@ -497,4 +492,4 @@ def platform_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y"), F.quarter("o_orderdate").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.min(F.to_date("o_orderdate")).alias("first_day"))
 
 
-from labelframe.plans import generated  # noqa: E402, F401  (registers its queries)
+from labelframe.plans import cases, generated, scans  # noqa: E402, F401  (they register their queries)

@@ -240,3 +240,58 @@ tried AS ({' UNION ALL '.join([*(_tried(k, v, 'NOT control' if k != 'perfect' el
 {_measured('tried', 'read')}, ans AS (SELECT *, true AS ok, true AS step_ok, (CASE WHEN n_said = 0 OR control THEN [] ELSE [type] END)::VARCHAR[] AS kinds FROM over), {_rewards('ans', False)},
 gap AS (SELECT b.family, b.total - v.total AS gap FROM rew b JOIN rew v ON v.sample_id = b.sample_id AND v.family = 'perfect' WHERE b.family <> 'perfect')
 SELECT family, count(*) AS n, count(*) FILTER (WHERE gap > 1e-12) AS n_inversions, round(max(gap), 6) AS max_gap, round(count(*) FILTER (WHERE gap > 1e-12) / count(*), 6) AS inversion_rate FROM gap GROUP BY GROUPING SETS ((family), ())"""
+
+# Dataset build
+
+_COORDINATES = "座標は左上原点の 0〜1000 の相対座標 [x0,y0,x1,y1] で答えてください。"
+_rel = lambda v, size: f"greatest(0, least(1000, round_even(({v}) * 1000.0 / {size}, 0)))::INT"
+_json = lambda t: f"replace({t}, chr(10), '\\n')"
+_USER = f"""concat(problem, chr(10), chr(10), '模範解答:', chr(10), concat_ws(chr(10), '- s1: ' || gold[1], '- s2: ' || gold[2], '- s3: ' || gold[3], '- s4: ' || gold[4]), chr(10), chr(10),
+  '採点基準:立式 ', w0, ' 点、', CASE WHEN linear THEN '変形過程' ELSE '途中の計算' END, ' ', w1, ' 点、最終解 ', w2, ' 点(計 10 点)', chr(10), chr(10), '{_COORDINATES}')"""
+_TEACHER = f"""concat('{{"transcript":"', {_json('transcript')}, '","errors":[', CASE WHEN control THEN '' ELSE concat('{{"step_id":"', site, '","bbox":[', {_rel('bx', 1240)}, ',', {_rel('"by"', 1754)}, ',', {_rel('bx + 120', 1240)}, ',', {_rel('"by" + 44', 1754)}, '],"type":"', type, '"}}') END, '],"score":', awarded, '}}')"""
+_PLACED = "b0 AS (SELECT *, idx AS k, 100 + idx % 300 AS bx, 200 + idx % 200 AS \"by\" FROM rec)"
+#: Which split a pair goes to: those of five test records, a tenth of the others to val.
+_SPLIT = f"""tp AS (SELECT DISTINCT pair_id FROM (SELECT sample_id, pair_id FROM rec ORDER BY sha256('4|' || sample_id), sample_id LIMIT 5)),
+rp AS (SELECT pair_id, row_number() OVER (ORDER BY sha256('3|' || pair_id), pair_id) AS place, count(*) OVER () AS rest FROM (SELECT DISTINCT pair_id FROM rec) WHERE pair_id NOT IN (SELECT pair_id FROM tp)),
+sp AS (SELECT r.sample_id, CASE WHEN rp.pair_id IS NULL THEN 'test' WHEN place <= round_even(rest * 0.1, 0) THEN 'val' ELSE 'train' END AS split FROM rec r LEFT JOIN rp ON rp.pair_id = r.pair_id)"""
+TUNING = f"""WITH {generated()}, {_PLACED}, {_SPLIT} SELECT sample_id AS id, 'images/' || sample_id || '.png' AS image, {_USER} AS asked, {_TEACHER} AS answered, pair_id, CASE WHEN linear THEN '{P.LINEAR}' ELSE '{P.ARITH}' END AS domain, CASE WHEN NOT control THEN op END AS operator, control AS error_free, split FROM b0 JOIN sp USING (sample_id)"""
+SPLITS = f"""WITH {generated()}, {_SPLIT} SELECT split, count(*) AS records, count(DISTINCT pair_id) AS pairs, count(*) FILTER (WHERE NOT control) AS error_records, count(*) FILTER (WHERE control) AS control_records, round(count(*) FILTER (WHERE NOT control) / nullif(count(*) FILTER (WHERE control), 0), 6) AS error_to_control_ratio FROM rec JOIN sp USING (sample_id) GROUP BY GROUPING SETS ((split), ())"""
+#: What is wrong with each of a batch of spoilt records, by the index.
+REJECTS = f"""WITH {generated()} SELECT pair_id || CASE WHEN control THEN '-e0' ELSE '-e1' END AS was, array_to_string(list_filter([CASE WHEN idx % 10 = 0 THEN 'empty sample_id' END, CASE WHEN idx % 10 = 1 THEN 'empty pair_id' END, CASE WHEN idx % 10 = 2 THEN 'bad page size' END, CASE WHEN idx % 10 = 3 THEN 'no span boxes' END,
+  CASE WHEN idx % 10 = 4 AND NOT control THEN 'bad box' END, CASE WHEN idx % 10 IN (3, 4, 5) AND NOT control THEN 'error without a box' END, CASE WHEN idx % 10 = 6 THEN 'no transcript' END, CASE WHEN idx % 10 = 7 AND NOT control THEN 'error_free with errors' END, CASE WHEN idx % 10 = 7 AND control THEN 'errors expected' END,
+  CASE WHEN idx % 10 = 0 OR idx % 10 = 8 THEN 'duplicate sample_id' END], lambda r: r IS NOT NULL), ',') AS reasons FROM rec, (SELECT unnest(range(2)) AS copy) WHERE copy = 0 OR idx % 10 = 8"""
+STYLES = f"WITH {generated()}, s1 AS (SELECT pair_id, count(DISTINCT CASE WHEN control AND idx % 7 = 0 THEN 'style-other' ELSE 'style-' || substr(sha256(pair_id), 1, 8) END) AS k FROM rec GROUP BY pair_id) SELECT count(*) AS n_pairs, count(*) FILTER (WHERE k = 1) AS n_same FROM s1"
+ACCEPTANCE = f"WITH {generated()}, f0 AS (SELECT idx FROM rec WHERE NOT control ORDER BY sample_id LIMIT 100) SELECT count(*) AS n, count(*) FILTER (WHERE idx % 9 > 0) AS n_boxed, bool_and(idx % 9 > 0) AS accepted FROM f0"
+
+#: Wording by a verbaliser that fails on steps whose first number is a multiple of three.
+_first = lambda t: f"regexp_extract({t}, '-?\\d+')"
+_worded = lambda t: f"CASE WHEN {_first(t)}::BIGINT % 3 = 0 THEN {t} ELSE concat('つまり ', {_first(t)}, ' を使うと、', {t}) END"
+_fell = lambda steps, keep: f"array_to_string([['s1', 's2', 's3', 's4'][q] FOR q IN range(1, 5) IF {_first(f'{steps}[q]')}::BIGINT % 3 = 0 AND {keep}], ',')"
+VERBALISED = f"""WITH {generated()}, w1 AS (SELECT *, [{', '.join(_worded(f'gold[{q}]') for q in range(1, 5))}] AS gs, [{', '.join(f"CASE WHEN site = 's{q}' OR list_contains(affected, 's{q}') THEN {_worded(f'mutant[{q}]')} ELSE {_worded(f'gold[{q}]')} END" for q in range(1, 5))}] AS ms,
+  {_fell('gold', 'true')} AS gf, CASE WHEN control THEN '' ELSE {_fell('mutant', "(site = ['s1', 's2', 's3', 's4'][q] OR list_contains(affected, ['s1', 's2', 's3', 's4'][q]))")} END AS mf FROM rec)
+SELECT sample_id, array_to_string(gs, ' | ') AS gold, CASE WHEN control THEN '' ELSE array_to_string(ms, ' | ') END AS mutant, concat(problem, chr(10), array_to_string(CASE WHEN control THEN gs ELSE ms END, chr(10))) AS transcript,
+  CASE WHEN gf = '' AND mf = '' THEN 'llm' ELSE concat('llm+fallback(', array_to_string(list_filter([CASE WHEN gf <> '' THEN 'gold:' || gf END, CASE WHEN mf <> '' THEN 'mut:' || mf END], lambda v: v IS NOT NULL), '|'), ')') END AS verbalizer FROM w1"""
+
+#: Boxes of all characters, cells by the alignment along the span between the common beginning and end of gold and mutant.
+CHARACTERS = f"""WITH {generated()},
+y0 AS (SELECT sample_id, pair_id, control, site, gold, [problem] || CASE WHEN control THEN gold ELSE mutant END AS lines FROM rec),
+y1 AS (SELECT *, unnest(lines) AS t, generate_subscripts(lines, 1) AS ln FROM y0),
+y2 AS (SELECT *, CASE WHEN NOT control AND ln > 1 AND site = 's' || (ln - 1) THEN gold[ln - 1] END AS g, CASE WHEN ln = 1 THEN 20 ELSE 19 END AS per, CASE WHEN ln = 1 THEN 150 ELSE 210 END AS x0, length(t) AS len FROM y1),
+y3 AS (SELECT *, length(g) AS glen, CASE WHEN g IS NOT NULL THEN list_max([q FOR q IN range(0, least(len, length(g)) + 1) IF substr(t, 1, q) = substr(g, 1, q)]) END AS head FROM y2),
+y4 AS (SELECT *, CASE WHEN g IS NOT NULL THEN list_max([q FOR q IN range(0, least(len, glen) - head + 1) IF substr(t, len - q + 1) = substr(g, glen - q + 1)]) END AS tail FROM y3),
+y5 AS (SELECT *, least(head, len - 1) AS lo, greatest(len - tail, least(head, len - 1) + 1) AS hi FROM y4),
+y6 AS (SELECT *, unnest(range(len)) AS i FROM y5),
+y7 AS (SELECT *, CASE WHEN g IS NULL OR i < lo THEN i WHEN i >= hi THEN i - (len - glen) ELSE lo + least(i - lo, greatest(0, glen - (len - hi) - lo - 1)) END AS cell FROM y6),
+y8 AS (SELECT sample_id, ln, max(cell // per) + 1 AS tall FROM y7 GROUP BY ALL),
+y9 AS (SELECT sample_id, ln, coalesce(sum(tall) OVER (PARTITION BY sample_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM y8)
+SELECT sample_id, 's' || (ln - 1) AS step_id, i::INT AS i, (cell // per)::INT AS row_no, substr(t, i + 1, 1) AS char, round((x0 + cell % per * 46.2)::DOUBLE, 4) AS b0, round((140 + 96 * (above + cell // per))::DOUBLE, 4) AS b1, round((x0 + cell % per * 46.2 + 44)::DOUBLE, 4) AS b2, round((140 + 96 * (above + cell // per) + 44)::DOUBLE, 4) AS b3
+FROM y7 JOIN y9 USING (sample_id, ln) WHERE ln > 1 AND substr(t, i + 1, 1) <> ' '"""
+
+#: Does the text alone tell errors from controls: trained on one part of the pairs, rated on the other.
+PROBE = f"""WITH {generated()}, x0 AS (SELECT sample_id, pair_id, NOT control AS y, regexp_replace(transcript, '\\s', '', 'g') AS t FROM rec),
+xp AS (SELECT pair_id, row_number() OVER (ORDER BY sha256('2|' || pair_id), pair_id) <= round_even(count(*) OVER () * 0.3, 0) AS held FROM (SELECT DISTINCT pair_id FROM rec)),
+x1 AS (SELECT x0.*, held FROM x0 JOIN xp USING (pair_id)), x2 AS (SELECT sample_id, y, held, unnest([substr(t, q, 2) FOR q IN range(1, length(t))]) AS b FROM x1),
+xc AS (SELECT b, count(*) FILTER (WHERE y) AS c1, count(*) FILTER (WHERE NOT y) AS c0 FROM x2 WHERE NOT held GROUP BY b), xt AS (SELECT sum(c1) AS t1, sum(c0) AS t0, count(*) + 1 AS v FROM xc),
+xs AS (SELECT sample_id, any_value(y) AS y, sum(ln((coalesce(c1, 0) + 1) / (t1 + v)) - ln((coalesce(c0, 0) + 1) / (t0 + v))) AS s FROM x2 LEFT JOIN xc USING (b), xt WHERE held GROUP BY sample_id),
+xr AS (SELECT y, round(s, 9) AS s FROM xs), xk AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM xr)
+SELECT round((sum(r) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2) / (count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y)), 6) AS auc, count(*) FILTER (WHERE y) AS n_pos, count(*) FILTER (WHERE NOT y) AS n_neg FROM xk"""

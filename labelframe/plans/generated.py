@@ -167,3 +167,98 @@ def record_rewards_identifiable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reward_inversions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rewards.inversions(_boxed(_records(spark, sf_dir)), 6)
     return out.withColumns({"max_gap": r6("max_gap"), "inversion_rate": r6("inversion_rate")})
+
+
+# Dataset build, layout, wording, probe
+
+
+@query("tuning_rows", E.TUNING)
+def tuning_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the dataset build with the split of each record."""
+    rows = pipelines.dataset_build(_boxed(_records(spark, sf_dir)), None, 0.1, 3, test_seed=4, test_n=5).rows
+    said = lambda message, part: F.get(F.get("messages", message)["content"], part)["text"]
+    return rows.select("id", "image", said(0, 1).alias("asked"), said(1, 0).alias("answered"), "meta.pair_id", "meta.domain", "meta.operator", "meta.error_free", "split")
+
+
+@query("tuning_splits", E.SPLITS)
+def tuning_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = pipelines.dataset_build(_boxed(_records(spark, sf_dir)), None, 0.1, 3, test_seed=4, test_n=5).stats
+    return stats.withColumn("error_to_control_ratio", r6("error_to_control_ratio"))
+
+
+@query("rejected_records", E.REJECTS)
+def rejected_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the build says of records that are spoilt in ten ways."""
+    from labelframe.operators import dataset
+
+    rows = _boxed(_records(spark, sf_dir)).withColumn("k", _k() % 10).withColumn("was", F.col("sample_id"))
+    rows = rows.unionByName(rows.where("k = 8"))
+    page, spans = F.col("render.page"), F.col("render.error_span_boxes_px")
+    spans = F.when(F.col("k") == 3, None).when(F.col("k") == 4, F.transform(spans, lambda s: s.withField("boxes", F.array(F.array(F.lit(1.0)))))).when(F.col("k") == 5, F.slice(spans, 1, 0)).otherwise(spans)
+    rows = rows.withColumn("render", F.struct(page.withField("w", F.when(F.col("k") == 2, 0).otherwise(page["w"])).alias("page"), spans.alias("error_span_boxes_px")))
+    rows = rows.withColumns({"sample_id": F.when(F.col("k") == 0, "").otherwise(F.col("sample_id")), "pair_id": F.when(F.col("k") != 1, F.col("pair_id"))})
+    rows = rows.withColumn("transcript_gt", F.col("transcript_gt").withField("text", F.when(F.col("k") != 6, F.col("transcript_gt.text"))))
+    rows = rows.withColumn("control_flag", F.struct((F.col("control_flag.error_free") != (F.col("k") == 7)).alias("error_free")))
+    return dataset.validated(rows).select("was", F.array_join("reject_reasons", ",").alias("reasons"))
+
+
+@query("style_invariance", E.STYLES)
+def style_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Styles of pairs, some of whose controls have been given another one."""
+    other = F.col("control_flag.error_free") & (_k() % 7 == 0)
+    rows = _records(spark, sf_dir).withColumn("render", F.struct(F.when(other, "style-other").otherwise(seeds.style_id(F.col("pair_id"))).alias("style_id")))
+    return layout.style_invariance(rows)
+
+
+@query("box_acceptance", E.ACCEPTANCE)
+def box_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of which some lie off the page."""
+    rows = _boxed(_records(spark, sf_dir))
+    far = F.transform("render.error_span_boxes_px", lambda s: s.withField("boxes", F.transform(s["boxes"], lambda b: F.transform(b, lambda v: v + F.when(_k() % 9 == 0, 2000.0).otherwise(0.0)))))
+    return layout.box_acceptance(rows.withColumn("render", F.struct(far.alias("error_span_boxes_px"))))
+
+
+def _fails_on_threes(problem: str, steps: list[dict]) -> list[str]:
+    """A verbaliser that leaves the expression out where the first number is a multiple of three."""
+    return ["つまり" if int(s["numbers"][0]) % 3 == 0 else t for s, t in zip(steps, verbalise.prefixed(problem, steps), strict=True)]
+
+
+@query("verbalised_records", E.VERBALISED)
+def verbalised_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = lambda steps: F.array_join(F.transform(steps, lambda s: s["text"]), " | ")
+    out = verbalise.verbalised(_records(spark, sf_dir), _fails_on_threes)
+    return out.select("sample_id", texts("gold_solution").alias("gold"), texts("mutant_solution").alias("mutant"), F.col("transcript_gt.text").alias("transcript"), "provenance.verbalizer")
+
+
+@query("character_boxes", E.CHARACTERS)
+def character_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All character boxes of pages; spans are those between the common beginning and end of gold and mutant."""
+    rows = _records(spark, sf_dir)
+    site = F.get("injected_errors", 0)["mutation_site"]
+    rows = rows.withColumns({"_g": programs.step_text(F.col("gold_solution"), site), "_m": programs.step_text(F.col("mutant_solution"), site)})
+    n, k = F.length("_g"), F.length("_m")
+    alike = lambda most, same: F.array_max(F.filter(F.sequence(F.lit(0), most), same))
+    part = lambda c, at, size: F.substring(F.col(c), at, size)
+    rows = rows.withColumn("_head", alike(F.least(n, k), lambda q: part("_g", F.lit(1), q) == part("_m", F.lit(1), q)))
+    rows = rows.withColumn("_tail", alike(F.least(n, k) - F.col("_head"), lambda q: part("_g", n - q + 1, q) == part("_m", k - q + 1, q)))
+    lo = F.least(F.col("_head"), k - 1)
+    span = F.array(lo, F.greatest(k - F.col("_tail"), lo + 1))
+    rows = staging.staged(rows.withColumn("injected_errors", F.transform("injected_errors", lambda e: e.withField("span", span))).drop("_g", "_m", "_head", "_tail"))
+    boxes = layout.laid_out(rows).select("sample_id", F.explode("render.char_boxes_px").alias("step_id", "chars")).select("sample_id", "step_id", F.explode("chars").alias("c"))
+    return boxes.select("sample_id", "step_id", F.col("c.i").alias("i"), F.col("c.row").alias("row_no"), "c.char", *(F.round(F.col("c.bbox")[q], 4).alias(f"b{q}") for q in range(4)))
+
+
+@query("text_probe", E.PROBE)
+def text_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the text alone tells errors from controls: trained on one part of the pairs, rated on the other."""
+    rows = _records(spark, sf_dir).select("sample_id", "pair_id", F.when(F.col("control_flag.error_free"), 0).otherwise(1).alias("y"), T.normalize_text(F.col("transcript_gt.text")).alias("t"))
+    placed = staging.staged(splits.split_groups(rows, "pair_id", 0.3, 2))
+    model = probe.fit_bayes(placed.where("split = 'train'"), F.col("t"), "y")
+    held = placed.where("split = 'val'")
+    scored = probe.score_bayes(held, F.col("t"), "sample_id", model).withColumn("score", F.round("score", 9)).join(held.select("sample_id", "y"), "sample_id")
+    return probe.auc(scored, "score", F.col("y") == 1).withColumn("auc", r6("auc"))
+
+
+@query("gate_efficacy")
+def gate_efficacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probe.gate_efficacy(spark, table(spark, sf_dir, E.TABLE).count(), 8).withColumn("flagged_rate", r6("flagged_rate"))
