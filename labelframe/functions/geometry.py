@@ -29,7 +29,6 @@ def best_iou(predicted: Column, truth: Column) -> Column:
 def union(boxes: Column, strict: bool = False) -> Column:
     """The box around all boxes of four numbers; null for none. ``strict``: null if any box is malformed."""
 
-
     def around(good: Column) -> Column:
         edge = lambda pick, i: pick(F.transform(good, lambda b: b[i]))
         return F.when(F.size(good) > 0, F.array(edge(F.array_min, 0), edge(F.array_min, 1), edge(F.array_max, 2), edge(F.array_max, 3)))
@@ -39,6 +38,13 @@ def union(boxes: Column, strict: bool = False) -> Column:
     return F.when(F.forall(boxes, whole), out) if strict else out
 
 
+def union_of(box: Column) -> Column:
+    """Aggregate: the box around the boxes of four numbers; null for none. Partial sums of four numbers, no list."""
+    fine = F.when(F.size(box) == 4, box)
+    edges = [F.min(fine[0]), F.min(fine[1]), F.max(fine[2]), F.max(fine[3])]
+    return F.when(edges[0].isNotNull(), F.array(*edges))
+
+
 def outward(box: Column) -> Column:
     """The box rounded outward to whole numbers."""
     return bind(box, lambda b: F.when(b.isNotNull(), F.array(F.floor(b[0]), F.floor(b[1]), F.ceil(b[2]), F.ceil(b[3]))))

@@ -101,25 +101,20 @@ def writer_scaled(identity: Column, name: str, configured: float, low: float = 0
     return F.lit(0.0) if configured == 0 else configured * (low + (1.0 - low) * share)
 
 
+#: Least and largest value of each setting.
+BOUNDS = {name: (0.0, LIMITS.get(name, math.inf)) for name in DEFAULTS} | {"elastic_grid_size": (LIMITS["elastic_grid_size"],) * 2, "baseline_wavelength_px": (LIMITS["baseline_min_wavelength_px"], math.inf)}
+
+
 def validate_settings(settings: dict | None) -> dict | None:
-    """Defaults with ``settings``; None if they are off. Unknown names, numbers that are no finite numbers or out of bounds raise."""
+    """Defaults with ``settings``; None if they are off. Names without bounds, and values that are no finite numbers within them, raise."""
     if settings is None or settings.get("enabled") is False:
         return None
-    if unknown := set(settings) - set(DEFAULTS) - {"enabled"}:
-        raise ValueError(f"unknown settings: {sorted(unknown)}")
-    out = DEFAULTS | {k: v for k, v in settings.items() if k != "enabled"}
-    for name, value in out.items():
-        if isinstance(value, bool) or not isinstance(value, (int, float)) or not math.isfinite(value) or value < 0:
-            raise ValueError(f"{name} must be a finite number, zero or more")
-        if name == "baseline_wavelength_px":
-            if value < LIMITS["baseline_min_wavelength_px"]:
-                raise ValueError(f"{name} is below {LIMITS['baseline_min_wavelength_px']}")
-        elif name == "elastic_grid_size":
-            if value != LIMITS[name]:
-                raise ValueError(f"{name} must be {LIMITS[name]}")
-        elif value > LIMITS[name]:
-            raise ValueError(f"{name} is above {LIMITS[name]}")
-    return out
+    given = {k: v for k, v in settings.items() if k != "enabled"}
+    wrong = sorted(str(k) for k in given if k not in BOUNDS)
+    wrong += [f"{k}={v!r} (from {BOUNDS[k][0]} to {BOUNDS[k][1]})" for k, v in given.items() if k in BOUNDS and (type(v) not in (int, float) or not math.isfinite(v) or not BOUNDS[k][0] <= v <= BOUNDS[k][1])]
+    if wrong:
+        raise ValueError(f"bad settings: {', '.join(wrong)}")
+    return DEFAULTS | given
 
 
 def placement(settings: dict, identity: Column, key: Column, char_id: Column, row: Column, x: Column, pitch: Column, grid: bool = True) -> Column:

@@ -83,11 +83,19 @@ def is_subsequence(expected: Column, actual: Column) -> Column:
 
 
 def first_excess(tokens: Column, known: Column) -> Column:
-    """Position from 0 of the first token that comes more often, so far, than in ``known``; null for none."""
-    times = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    places = F.when(F.size(tokens) > 0, F.sequence(F.lit(0), F.size(tokens) - 1))
-    over = F.filter(places, lambda i: times(F.slice(tokens, F.lit(1), i + 1), F.get(tokens, i)) > times(known, F.get(tokens, i)))
-    return F.get(over, 0)
+    """Position from 0 of the first token that comes more often, so far, than in ``known``; null for none.
+
+    Both lists are sorted together, known ones first, and read once: of each token as many are allowed as are known.
+    """
+    entry = lambda x, i: F.struct(x.alias("t"), i.cast("int").alias("i"))
+    merged = F.array_sort(F.concat(F.transform(known, lambda x: entry(x, F.lit(-1))), F.transform(tokens, lambda x, i: entry(x, i))))
+    state = lambda t, left, found: F.struct(t.cast("string").alias("t"), left.cast("int").alias("left"), found.cast("int").alias("found"))
+
+    def read(s: Column, e: Column) -> Column:
+        left = F.when(s["t"].eqNullSafe(e["t"]), s["left"]).otherwise(0)
+        return F.when(e["i"] < 0, state(e["t"], left + 1, s["found"])).when(left > 0, state(e["t"], left - 1, s["found"])).otherwise(state(e["t"], left, F.least(s["found"], e["i"])))
+
+    return F.aggregate(merged, state(F.lit(None), F.lit(0), F.lit(None)), read, lambda s: s["found"])
 
 
 def compose_step(explanation: Column, template: Column) -> Column:

@@ -74,9 +74,18 @@ def matched_samples(left: DataFrame, right: DataFrame, item: str, sheet: str, or
 
 
 def glyph_index(rows: DataFrame) -> DataFrame:
-    """Long form of the index: (char, slot, family, path, record_index, writer), slots from 0 in order of family, path and place."""
-    order = Window.partitionBy("char").orderBy("family", "path", "record_index")
-    return rows.where(F.col("char").isNotNull()).select("char", (F.row_number().over(order) - 1).alias("slot"), "family", "path", "record_index", "writer")
+    """Long form of the index: (char, slot, family, path, record_index, writer), slots from 0 in order of family, path and place.
+
+    A slot is the place within a file plus the character's glyphs in the files before, so a character of very many glyphs is numbered file by file.
+    """
+    own = rows.where(F.col("char").isNotNull()).select("char", "family", "path", "record_index", "writer")
+    files = ["char", "family", "path"]
+    sizes = own.groupBy(*files).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("char").orderBy("family", "path").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = own.withColumn("_at", F.row_number().over(Window.partitionBy(*files).orderBy("record_index")))
+    same = [F.col(f"o.{c}").eqNullSafe(F.col(f"f.{c}")) for c in files]
+    both = placed.alias("o").join(sizes.select(*files, before.alias("_before")).alias("f"), same)
+    return both.select("o.char", (F.col("_before") + F.col("_at") - 1).alias("slot"), "o.family", "o.path", "record_index", "writer")
 
 
 def glyph_summary(index: DataFrame) -> DataFrame:

@@ -64,7 +64,11 @@ def assert_disjoint(rows: DataFrame, key: str, across: str) -> DataFrame:
 
 
 def keep_first(rows: DataFrame, key: str, priority: list[Column], n: int | None = None) -> DataFrame:
-    """One row per key, the first by ``priority``; then the first ``n`` rows of all."""
+    """One row per key, the first by ``priority``; then the first ``n`` rows of all.
+
+    Spark limits each key to its first row within a partition before the shuffle (WindowGroupLimit), so of a key with very many rows one a partition travels. Long keys are
+    best given as hashes.
+    """
     first = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(key).orderBy(*priority))).where("_rank = 1").drop("_rank")
     return first if n is None else first.orderBy(*priority).limit(n)
 

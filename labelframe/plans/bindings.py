@@ -98,13 +98,12 @@ def relabel_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relabel.missing(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "doc_id")
 
 
-@_query("observational_equivalence", r"WITH p AS (SELECT source, text AS a, lag(text) OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS b FROM documents) SELECT source, count(*) AS n, count(*) FILTER (WHERE regexp_replace(a, '\s', '', 'g') = regexp_replace(b, '\s', '', 'g')) AS n_equal, round(avg(coalesce((regexp_replace(a, '\s', '', 'g') = regexp_replace(b, '\s', '', 'g'))::INT, 0)), 6) AS rho FROM p GROUP BY source")
+@_query("observational_equivalence", r"WITH p AS (SELECT d.source, d.text AS a, e.text AS b FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id - 1) SELECT source, count(*) AS n, count(*) FILTER (WHERE regexp_replace(a, '\s', '', 'g') = regexp_replace(b, '\s', '', 'g')) AS n_equal, round(avg(coalesce((regexp_replace(a, '\s', '', 'g') = regexp_replace(b, '\s', '', 'g'))::INT, 0)), 6) AS rho FROM p GROUP BY source")
 def observational_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = F.lag("text").over(Window.partitionBy("source").orderBy("n_chars", "doc_id"))
-    rows = _table(spark, sf_dir, "documents").select("source", F.col("text").alias("a"), before.alias("b"))
-    return relabel.equivalence_rate(rows, "source", F.col("a"), F.col("b")).withColumn("rho", r6("rho"))
+    """Documents against those of the id before; digests of the surfaces travel instead of texts."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2(T.without_spaces(F.col("text")).cast("binary"), 256).alias("a"))
+    before = rows.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b"))
+    return relabel.equivalence_rate(rows.join(before, "doc_id", "left"), "source", F.col("a"), F.col("b")).withColumn("rho", r6("rho"))
 
 
 # Text
@@ -203,9 +202,8 @@ def relative_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("box_unions", f"WITH b AS (SELECT l_orderkey, {_BOX} FROM lineitem) SELECT l_orderkey, min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM b GROUP BY l_orderkey")
 def box_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _boxes(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list("box").alias("bs"))
-    u = G.union(F.col("bs"))
-    return rows.select("l_orderkey", *(u[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+    rows = _boxes(spark, sf_dir).groupBy("l_orderkey").agg(G.union_of(F.col("box")).alias("u"))
+    return rows.select("l_orderkey", *(F.col("u")[i].alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
 
 
 @_query("clamped_boxes", f"WITH b AS (SELECT l_orderkey, l_linenumber, {_BOX} FROM lineitem), c AS (SELECT *, least(400, x0) AS a0, least(200, y0) AS a1, least(400, x1) AS a2, least(200, y1) AS a3 FROM b) SELECT l_orderkey, l_linenumber, CASE WHEN a2 > a0 AND a3 > a1 THEN a0 END::DOUBLE AS c0, CASE WHEN a2 > a0 AND a3 > a1 THEN a1 END::DOUBLE AS c1, CASE WHEN a2 > a0 AND a3 > a1 THEN a2 END::DOUBLE AS c2, CASE WHEN a2 > a0 AND a3 > a1 THEN a3 END::DOUBLE AS c3 FROM c")
@@ -343,8 +341,9 @@ def messages_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("dedup_priority", "WITH r AS (SELECT d.doc_id, d.source, d.n_chars, row_number() OVER (PARTITION BY text ORDER BY l.quality DESC NULLS LAST, d.doc_id) AS k FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT doc_id, source, n_chars FROM r WHERE k = 1")
 def dedup_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
-    return splits.keep_first(rows, "text", [F.desc_nulls_last("quality"), F.col("doc_id")]).select("doc_id", "source", "n_chars")
+    text = F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b"))  # 128 bits name a text
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars", text.alias("name"))
+    return splits.keep_first(docs.join(_table(spark, sf_dir, "labels"), "doc_id", "left"), "name", [F.desc_nulls_last("quality"), F.col("doc_id")]).select("doc_id", "source", "n_chars")
 
 
 @_query("run_occurrences", "WITH l AS (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS NOT DISTINCT FROM event_type THEN 0 ELSE 1 END AS new FROM events) SELECT event_id, sum(new) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS occurrence FROM l")
