@@ -51,6 +51,7 @@ def _pick(cols: dict[str, np.ndarray], rows) -> dict[str, np.ndarray]:
     return {c: v[rows] for c, v in cols.items()}
 
 
+ARROW = {"bigint": pa.int64(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "smallint": pa.int16()}
 Solve = Callable[[dict[str, np.ndarray], np.ndarray], dict[str, np.ndarray]]
 
 
@@ -66,8 +67,7 @@ def compare(rows: DataFrame, solve: Solve, result: dict[str, str], block: int =
     fields = [(f.name, f.dataType.simpleString()) for f in rows.schema.fields]
     names = [n for n, _ in fields]
     schema = ", ".join([*(f"r_{n} {t}" for n, t in result.items()), *(f"{n} {t}" for n, t in fields), "found boolean"])
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "double": pa.float64(), "smallint": pa.int16()}
-    types = [arrow[t] for t in result.values()], [arrow[t] for _, t in fields]
+    types = [ARROW[t] for t in result.values()], [ARROW[t] for _, t in fields]
 
     def out(found: dict[str, np.ndarray] | None, opened: dict[str, np.ndarray] | None) -> pa.RecordBatch:
         n = len(next(iter((found or opened).values())))
@@ -147,9 +147,18 @@ def compare(rows: DataFrame, solve: Solve, result: dict[str, str], block: int =
     cutup = opened.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
     pairs = cutup.withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
     pairs = pairs.select(*names, "block", F.least("block", "other").cast("int").alias("b1"), F.greatest("block", "other").cast("int").alias("b2"))
-    group = ("key", "b1", "b2")
+    return once.where("found").select(*(F.col(f"r_{n}").alias(n) for n in result)).unionByName(grouped(pairs, ("key", "b1", "b2"), solve, result))
 
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def grouped(rows: DataFrame, group: tuple[str, ...], solve: Solve, result: dict[str, str]) -> DataFrame:
+    """Apply ``solve`` to all rows of each ``group``, streamed in order; for groups whose size is bounded."""
+    types = [ARROW[t] for t in result.values()]
+
+    def batch_of(found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if len(found[next(iter(result))]):
+            yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in zip(result, types, strict=True)], names=list(result))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: dict[str, np.ndarray] | None = None
         for batch in batches:
             if not batch.num_rows:
@@ -159,17 +168,13 @@ def compare(rows: DataFrame, solve: Solve, result: dict[str, str], block: int =
                 cols = _join([rest, cols])
             starts = _runs(cols, group)
             if len(starts) > 1:
-                found = solve(_pick(cols, slice(0, starts[-1])), starts[:-1])
-                if len(found[next(iter(result))]):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in zip(result, types[0], strict=True)], names=list(result))
+                yield from batch_of(solve(_pick(cols, slice(0, starts[-1])), starts[:-1]))
             rest = _pick(cols, slice(starts[-1], None))
         if rest is not None:
-            found = solve(rest, np.array([0]))
-            if len(found[next(iter(result))]):
-                yield pa.RecordBatch.from_arrays([pa.array(found[c], t) for c, t in zip(result, types[0], strict=True)], names=list(result))
+            yield from batch_of(solve(rest, np.array([0])))
 
-    rest = pairs.repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "id").mapInArrow(second, ", ".join(f"{n} {t}" for n, t in result.items()))
-    return once.where("found").select(*(F.col(f"r_{n}").alias(n) for n in result)).unionByName(rest)
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), *group).sortWithinPartitions(*group, "id")
+    return dealt.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in result.items()))
 
 
 def spanning_forest(distance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:

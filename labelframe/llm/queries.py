@@ -32,5 +32,6 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": chat.OP2_SQL,
     "op5_decontamination": decontamination.OP5_SQL,
     "op8_url_filter": urls.op8_sql(),
+    "op9_embedding_dedup": vectors.OP9_SQL,
     "op10_line_dedup": lines.OP10_SQL,
 }
