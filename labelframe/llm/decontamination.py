@@ -11,7 +11,7 @@ Sketches and item shingles are broadcast only behind a count of their rows (``sm
 
 Defined results: items or documents without words (null or empty texts) contain nothing and are in nothing; an item of fewer words than ``width`` has one shingle, its
 whole word sequence, looked for in documents as such; repeated rows (same id and text) give one result, equal ids with other texts are documents or
-items of their own; null ids stay null; extra columns are ignored; empty tables give an empty result.
+items of their own; null ids stay null; very long texts are searched whole; extra columns are ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -100,11 +100,13 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+#: Shingles of items and of documents by width: items of fewer than five words are looked for by all their words.
 OP5_SQL = f"""
 WITH iw AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 i AS (SELECT DISTINCT item_id, least(len(w), 5) AS n, unnest([array_to_string(w[k:k + least(len(w), 5) - 1], ' ') FOR k IN range(1, len(w) - least(len(w), 5) + 2)]) AS s FROM iw WHERE len(w) > 0),
 q AS (SELECT item_id, count(*) AS q FROM i GROUP BY item_id),
+widths AS (SELECT DISTINCT n FROM i),
 dw AS (SELECT doc_id, {_WORDS} AS w FROM documents),
-d AS (SELECT DISTINCT doc_id, unnest([array_to_string(w[k:k + 4], ' ') FOR k IN range(1, len(w) - 3)]) AS s FROM dw WHERE len(w) > 4)
+d AS (SELECT DISTINCT doc_id, n, unnest([array_to_string(w[k:k + n - 1], ' ') FOR k IN range(1, len(w) - n + 2)]) AS s FROM dw, widths WHERE len(w) >= n)
 SELECT doc_id, item_id, count(*)::BIGINT AS n_shared, any_value(q)::BIGINT AS n_shingles, round(count(*) / any_value(q), 6) AS containment
-FROM d JOIN i USING (s) JOIN q USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {SHARE} * any_value(q) - 1e-9"""
+FROM d JOIN i USING (n, s) JOIN q USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= {SHARE} * any_value(q) - 1e-9"""

@@ -567,9 +567,52 @@ def test_containment_of_empty_tables(spark):
     assert decontamination.contained(frame(spark, []), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")).count() == 0
 
 
-def test_main_path_is_native(spark):
-    plan = decontamination.contained(frame(spark, [(1, "a b c d e f")]), spark.createDataFrame([(1, "a b c d e")], "item_id long, text string"))._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+def test_short_items_by_sql(spark, tmp_path):
+    """The query's SQL on items of one to six words, against documents that hold them, reordered, in part or not at all."""
+    import duckdb
+
+    items = [(1, "Alpha"), (2, "alpha beta"), (3, "gamma, delta! epsilon"), (4, "one two three four"), (5, "one two three four five six"), (6, "..."), (7, None), (8, "zeta")]
+    docs = [(1, "so ALPHA, beta and gamma delta epsilon"), (2, "beta alpha"), (3, "zero one two three four five six seven"), (4, "one two three"), (5, ""), (6, None), (7, "Alpha " * 2_000 + "zeta"), (8, "epsilon delta gamma")]
+    frame(spark, docs).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(f"SELECT doc_id, item_id, n_shared, n_shingles FROM ({decontamination.OP5_SQL})").fetchall())
+    got = sorted((r["doc_id"], r["item_id"], r["n_shared"], r["n_shingles"]) for r in decontamination.op5_decontamination(spark, str(tmp_path)).collect())
+    assert got == want == [(1, 1, 1, 1), (1, 2, 1, 1), (1, 3, 1, 1), (2, 1, 1, 1), (3, 4, 1, 1), (3, 5, 2, 2), (7, 1, 1, 1), (7, 8, 1, 1)]
+
+
+def test_main_path_is_native(spark, monkeypatch):
+    """Nothing in the whole run hands rows to Python."""
+    from pyspark.sql.classic.dataframe import DataFrame as Classic
+
+    def refused(*args, **kwargs):
+        raise AssertionError("rows for Python")
+
+    for name in ("mapInArrow", "mapInPandas", "toPandas", "toArrow", "foreach", "foreachPartition"):
+        monkeypatch.setattr(Classic, name, refused)
+    for name in ("udf", "pandas_udf", "arrow_udf", "udtf"):
+        monkeypatch.setattr(F, name, refused, raising=False)
+    monkeypatch.setattr(Classic, "rdd", property(refused))
+    items = spark.createDataFrame([(1, "a b c d e f"), (2, "x y")], "item_id long, text string")
+    found = decontamination.contained(frame(spark, [(1, "z a b c d e f g"), (2, "x y")]), items)
+    plan = found._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and found.count() == 2
+    assert decontamination.drop_contaminated(frame(spark, [(1, "z a b c d e f g"), (3, "x")]), items).count() == 1
+
+
+def test_very_long_texts(spark):
+    """Texts of two million characters next to short ones: whole results from each operator."""
+    long = "lorem ipsum dolor sit amet\n" * 80_000
+    docs = frame(spark, [(1, long), (2, long + "end"), (3, "short"), (4, long)])
+    groups_ = {r["id"]: (r["fp"], r["component"]) for r in simhash.near_fingerprints(docs).collect()}
+    assert groups_[1] == groups_[4] and groups_[1][1] == 1 and groups_[2][1] == 1 and groups_[3][1] == 3
+    assert sorted(r["doc_id"] for r in simhash.drop_near_copies(docs).select("doc_id").collect()) == [1, 3]
+    kept = {r["doc_id"]: r["text"] for r in lines.drop_lines(docs).collect()}
+    assert kept == {1: "", 2: "end", 3: "short", 4: long}
+    items = spark.createDataFrame([(9, "ipsum dolor sit amet lorem ipsum dolor")], "item_id long, text string")
+    assert sorted(r["doc"] for r in decontamination.contained(docs, items).collect()) == [1, 2, 4]
 
 
 # 6 Packing
