@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import difflib
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,22 +47,51 @@ def _one_of(values: list[int], at: Column) -> Column:
     return F.get(F.array(*map(F.lit, values)), at)
 
 
-def problems(spark: SparkSession, n: int, seed: int, fractions: bool = True) -> DataFrame:
-    """``n`` rows: idx, domain, a, b, c or p, q, r as x, y, z, text and number tokens, answer key.
+@dataclass(frozen=True)
+class Domain:
+    """A kind of problem with three whole parameters x, y, z, and its program of four steps s1 to s4. All but the names are functions that give columns.
 
-    Linear: a x + b = c with a whole root from -9 to 9, or (for two of five) one that is not whole. Arithmetic: p + q × r.
+    ``parameters(seed, fractions)``: x, y, z of an index. ``texts()``: problem text, number tokens, answer key. ``program(m)``: the steps and the answer (num, den) under a mutation struct, whose
+    fields are null for the gold program. ``candidates(seed)``: the mutations that fit a row, in a fixed order. ``idle(m)``: whether a mutation changes nothing. ``proposed(expr, value)``: a
+    proposal as a mutation, null unless it is allowed. ``solves(answer)``: whether an answer is right.
     """
-    k = F.col("idx")
-    pick = lambda what, m: choose(seed, k, what, m)
-    nonzero = [v for v in range(-9, 10) if v]
-    rows = spark.range(n).select(F.col("id").alias("idx"), F.when(choose(seed, F.col("id"), "domain", 2) == 0, LINEAR).otherwise(ARITH).alias("domain"))
-    a, b = _one_of([2, 3, 4, 5, -2, -3], pick("a", 6)), _one_of(nonzero, pick("b", 18))
-    free = pick("c", 41) - 20
-    forced = free + F.when((free - b) % F.abs(a) == 0, 1).otherwise(0)
-    c = F.when(chance(seed, k, "fraction", 0.4 if fractions else 0.0), forced).otherwise(a * (pick("root", 19) - 9) + b)
-    linear = F.col("domain") == LINEAR
-    rows = rows.select("idx", "domain", F.when(linear, a).otherwise(_one_of(nonzero, pick("p", 18))).alias("x"), F.when(linear, b).otherwise(_one_of(nonzero, pick("q", 18))).alias("y"), F.when(linear, c).otherwise(_one_of(nonzero, pick("r", 18))).alias("z"))
-    return with_texts(rows)
+
+    tag: str
+    generator: str
+    working: str
+    parameters: Callable[[int, bool], tuple[Column, Column, Column]]
+    texts: Callable[[], tuple[Column, Column, Column]]
+    program: Callable[[Column], tuple[list[Column], Column]]
+    candidates: Callable[[int], Column]
+    idle: Callable[[Column], Column]
+    proposed: Callable[[Column, Column], Column]
+    solves: Callable[[Column], Column]
+
+
+#: Domains by name, in the order in which problems choose among them.
+DOMAINS: dict[str, Domain] = {}
+
+
+def register(name: str, domain: Domain) -> None:
+    """Add a domain; a name or tag that is taken is an error."""
+    if name in DOMAINS or domain.tag in {d.tag for d in DOMAINS.values()}:
+        raise ValueError(f"domain {name!r} or tag {domain.tag!r} is registered already")
+    DOMAINS[name] = domain
+
+
+def by_domain(value: Callable[[Domain], Column], domain: Column | None = None) -> Column:
+    """What ``value`` gives for a row's domain; null for one that is not registered."""
+    name, out = F.col("domain") if domain is None else domain, None
+    for known, d in DOMAINS.items():
+        out = F.when(name == known, value(d)) if out is None else out.when(name == known, value(d))
+    return out
+
+
+def problems(spark: SparkSession, n: int, seed: int, fractions: bool = True) -> DataFrame:
+    """``n`` rows: idx, domain, x, y, z, text and number tokens, answer key."""
+    names = F.array(*map(F.lit, DOMAINS))
+    rows = spark.range(n).select(F.col("id").alias("idx"), F.get(names, choose(seed, F.col("id"), "domain", len(DOMAINS))).alias("domain"))
+    return with_texts(rows.select("idx", "domain", *(by_domain(lambda d, k=k: d.parameters(seed, fractions)[k]).alias(c) for k, c in enumerate("xyz"))))
 
 
 def _paren(shown: Column) -> Column:
@@ -70,13 +100,7 @@ def _paren(shown: Column) -> Column:
 
 def with_texts(rows: DataFrame) -> DataFrame:
     """Problem text, number tokens and answer key of (domain, x, y, z)."""
-    x, y, z = (F.col(c).cast("string") for c in "xyz")
-    linear = F.col("domain") == LINEAR
-    size = F.abs("y").cast("string")
-    equation = F.concat(F.lit("次の方程式を解きなさい。 "), x, F.lit("x "), F.when(F.col("y") > 0, "+").otherwise("-"), F.lit(" "), size, F.lit(" = "), z)
-    sum_ = F.concat(F.lit("次の計算をしなさい。 "), x, F.lit(" + "), _paren(y), F.lit(" × "), _paren(z))
-    key = F.when(linear, rational_text(rational((F.col("z") - F.col("y")).cast("long"), F.col("x").cast("long")))).otherwise((F.col("x") + F.col("y") * F.col("z")).cast("string"))
-    return rows.select("*", F.when(linear, equation).otherwise(sum_).alias("problem_text"), F.when(linear, F.array(x, size, z)).otherwise(F.array(x, y, z)).alias("problem_numbers"), key.alias("answer_key"))
+    return rows.select("*", *(by_domain(lambda d, k=k: d.texts()[k]).alias(c) for k, c in enumerate(("problem_text", "problem_numbers", "answer_key"))))
 
 
 def _step(step_id: str, op: str | Column, text: Column, numbers: Column) -> Column:
@@ -87,42 +111,11 @@ def _step(step_id: str, op: str | Column, text: Column, numbers: Column) -> Colu
 def execute(mutation: Column | None = None, domain: Column | None = None) -> tuple[Column, Column]:
     """(steps, answer) of the program over x, y, z under a mutation struct (null: gold); the answer is a rational."""
     m = mutation if mutation is not None else F.lit(None).cast(MUTATION)
-    is_ = lambda op, site: F.coalesce((m["operator"] == op) & (m["site"] == site), F.lit(False))
-    x, y, z = (F.col(c).cast("long") for c in "xyz")
-    s = lambda c: c.cast("string")
-    one = F.lit(1).cast("long")
-
-    # a x + b = c
-    size = F.abs(y)
-    setup = _step("s1", "setup", F.concat(s(x), F.lit("x "), F.when(y > 0, "+").otherwise("-"), F.lit(" "), s(size), F.lit(" = "), s(z)), F.array(s(x), s(size), s(z)))
-    told = is_("op-llm-transpose-misconception", "s2")
-    minus = (y > 0) != is_("op-transpose-sign", "s2")
-    moved = F.when(told, m["value"]).when(minus, z - size).otherwise(z + size)
-    right = F.when(told, m["canonical"]).otherwise(F.concat(s(z), F.when(minus, " - ").otherwise(" + "), s(size)))
-    used = F.when(told, F.concat(F.array(s(x)), F.transform(m["tokens"], lambda t: t.cast("string")))).otherwise(F.array(s(x), s(z), s(size)))
-    transpose = _step("s2", "transpose", F.concat(s(x), F.lit("x = "), right), used)
-    d = moved + F.when(is_("op-arith-slip", "s3"), m["delta"]).otherwise(0)
-    simplify = _step("s3", "simplify", F.concat(s(x), F.lit("x = "), s(d)), F.array(s(x), s(d)))
-    wrong = is_("op-divide-error", "s4")
-    num = F.when(wrong & (m["kind"] == "mul"), d * x).when(wrong, d + m["delta"] * x).otherwise(d)
-    den = F.when(wrong & (m["kind"] == "mul"), one).otherwise(x)
-    root = rational(num, den)
-    root = bind(root, lambda r: F.struct(F.when(is_("op-final-sign-drop", "s4"), F.abs(r["num"])).otherwise(r["num"]).alias("num"), r["den"].alias("den")))
-    divide = bind(root, lambda r: _step("s4", "divide", F.concat(F.lit("x = "), rational_text(r)), rational_tokens(r)))
-
-    # p + q × r
-    first = _step("s1", "setup", F.concat(s(x), F.lit(" + "), _paren(s(y)), F.lit(" × "), _paren(s(z))), F.array(s(x), s(y), s(z)))
-    left_first = is_("op-order-of-ops", "s2")
-    t = x + y
-    product = F.when(is_("op-llm-product-misconception", "s2"), m["value"]).when(is_("op-mult-sign-drop", "s2"), F.abs(y * z)).otherwise(y * z + F.when(is_("op-arith-slip", "s2"), m["delta"]).otherwise(0))
-    total = F.when(left_first, t * z).otherwise(x + product + F.when(is_("op-arith-slip", "s3"), m["delta"]).otherwise(0))
-    second = _step("s2", F.when(left_first, "add_first").otherwise("multiply"), F.when(left_first, F.concat(s(x), F.lit(" + "), _paren(s(y)), F.lit(" = "), s(t))).otherwise(F.concat(_paren(s(y)), F.lit(" × "), _paren(s(z)), F.lit(" = "), s(product))), F.when(left_first, F.array(s(x), s(y), s(t))).otherwise(F.array(s(y), s(z), s(product))))
-    third = _step("s3", F.when(left_first, "mul_second").otherwise("add"), F.when(left_first, F.concat(_paren(s(t)), F.lit(" × "), _paren(s(z)), F.lit(" = "), s(total))).otherwise(F.concat(s(x), F.lit(" + "), _paren(s(product)), F.lit(" = "), s(total))), F.when(left_first, F.array(s(t), s(z), s(total))).otherwise(F.array(s(x), s(product), s(total))))
-    answer = F.when(is_("op-final-sign-drop", "s4"), F.abs(total)).otherwise(total)
-    last = _step("s4", "answer", F.concat(F.lit("答え "), s(answer)), F.array(s(answer)))
-
-    linear = (domain if domain is not None else F.col("domain")) == LINEAR
-    return F.when(linear, F.array(setup, transpose, simplify, divide)).otherwise(F.array(first, second, third, last)), F.when(linear, root).otherwise(F.struct(answer.alias("num"), one.alias("den")))
+    return by_domain(lambda d: F.array(*d.program(m)[0]), domain), by_domain(lambda d: d.program(m)[1], domain)
+
+
+def _is(m: Column, op: str, site: str) -> Column:
+    return F.coalesce((m["operator"] == op) & (m["site"] == site), F.lit(False))
 
 
 def _mutation(op: str, site: str | Column, types: dict, delta: Column | None = None, kind: Column | None = None, value: Column | None = None, tokens: Column | None = None, canonical: Column | None = None) -> Column:
@@ -134,38 +127,148 @@ def _mutation(op: str, site: str | Column, types: dict, delta: Column | None = N
 
 def candidates(seed: int) -> Column:
     """The mutations that fit a row's parameters, in a fixed order."""
-    k, linear = F.col("idx"), F.col("domain") == LINEAR
-    slip = _one_of([-2, -1, 1, 2], choose(seed, k, "delta", 4))
-    off = _one_of([-1, 1], choose(seed, k, "off", 2))
-    kind = F.when(choose(seed, k, "kind", 2) == 0, "mul").otherwise("off")
-    below = lambda num: num < 0
-    negative_root = (F.col("z") - F.col("y")) * F.signum(F.col("x").cast("double")) < 0
-    negative = below(F.col("x") + F.col("y") * F.col("z"))
-    line = F.array(_mutation("op-transpose-sign", "s2", LINEAR_TYPES), _mutation("op-arith-slip", "s3", LINEAR_TYPES, slip), _mutation("op-divide-error", "s4", LINEAR_TYPES, off, kind), F.when(negative_root, _mutation("op-final-sign-drop", "s4", LINEAR_TYPES)))
-    site = F.when(choose(seed, k, "slip_site", 2) == 0, "s2").otherwise("s3")
-    sums = F.array(_mutation("op-arith-slip", site, ARITH_TYPES, slip), F.when(F.col("y") * F.col("z") < 0, _mutation("op-mult-sign-drop", "s2", ARITH_TYPES)), F.when((F.col("z") != 1) & (F.col("y") != 0), _mutation("op-order-of-ops", "s2", ARITH_TYPES)), F.when(negative, _mutation("op-final-sign-drop", "s4", ARITH_TYPES)))
-    return F.array_compact(F.when(linear, line).otherwise(sums))
+    return by_domain(lambda d: F.array_compact(d.candidates(seed)))
 
 
 def chosen_mutation(seed: int) -> Column:
-    """One candidate; the first that changes its step instead of one that does not (multiplying 0 where 0 was to be divided)."""
+    """One candidate; the first that changes its step instead of one that does not."""
     some = candidates(seed)
     one = F.get(some, choose(seed, F.col("idx"), "mutation", F.size(some)))
-    idle = (one["operator"] == "op-divide-error") & (one["kind"] == "mul") & (F.col("z") == F.col("y"))
-    return F.when(idle, F.get(some, 0)).otherwise(one)
+    return F.when(by_domain(lambda d: d.idle(one)), F.get(some, 0)).otherwise(one)
 
 
 def proposed_mutation(expr: Column, value: Column) -> Column:
-    """A proposal (parsed expression struct for linear rows, number for the others) as a mutation; null unless it is allowed.
-
-    Linear: only the constants |b| and |c|, and another value than c - b. Arithmetic: another value than q r, at most 30 off its size.
-    """
-    b, c = F.abs(F.col("y")).cast("long"), F.abs(F.col("z")).cast("long")
-    allowed = expr["failure"].isNull() & F.forall(expr["tokens"], lambda t: F.abs(t).isin(b, c)) & (expr["value"] != F.col("z") - F.col("y"))
-    line = F.when(allowed, _mutation("op-llm-transpose-misconception", "s2", LINEAR_TYPES, value=expr["value"], tokens=expr["tokens"], canonical=expr["canonical"]))
-    gold = (F.col("y") * F.col("z")).cast("long")
-    sums = F.when((value != gold) & (F.abs(value) <= F.abs(gold) + 30), _mutation("op-llm-product-misconception", "s2", ARITH_TYPES, value=value))
-    return F.when(F.col("domain") == LINEAR, line).otherwise(sums)
+    """A proposal (parsed expression struct, and whole number) as a mutation; null unless the domain allows it."""
+    return by_domain(lambda d: d.proposed(expr, value))
+
+
+def _slip(seed: int) -> Column:
+    return _one_of([-2, -1, 1, 2], choose(seed, F.col("idx"), "delta", 4))
+
+
+_NONZERO = [v for v in range(-9, 10) if v]
+
+
+class Linear:
+    """a x + b = c, with a whole root from -9 to 9 or (for two of five) one that is not whole."""
+
+    @staticmethod
+    def parameters(seed: int, fractions: bool) -> tuple[Column, Column, Column]:
+        k = F.col("idx")
+        pick = lambda what, m: choose(seed, k, what, m)
+        a, b, free = _one_of([2, 3, 4, 5, -2, -3], pick("a", 6)), _one_of(_NONZERO, pick("b", 18)), pick("c", 41) - 20
+        forced = free + F.when((free - b) % F.abs(a) == 0, 1).otherwise(0)
+        return a, b, F.when(chance(seed, k, "fraction", 0.4 if fractions else 0.0), forced).otherwise(a * (pick("root", 19) - 9) + b)
+
+    @staticmethod
+    def texts() -> tuple[Column, Column, Column]:
+        x, size, z = F.col("x").cast("string"), F.abs("y").cast("string"), F.col("z").cast("string")
+        text = F.concat(F.lit("次の方程式を解きなさい。 "), x, F.lit("x "), F.when(F.col("y") > 0, "+").otherwise("-"), F.lit(" "), size, F.lit(" = "), z)
+        return text, F.array(x, size, z), rational_text(rational((F.col("z") - F.col("y")).cast("long"), F.col("x").cast("long")))
+
+    @staticmethod
+    def program(m: Column) -> tuple[list[Column], Column]:
+        x, y, z = (F.col(c).cast("long") for c in "xyz")
+        s = lambda c: c.cast("string")
+        size = F.abs(y)
+        setup = _step("s1", "setup", F.concat(s(x), F.lit("x "), F.when(y > 0, "+").otherwise("-"), F.lit(" "), s(size), F.lit(" = "), s(z)), F.array(s(x), s(size), s(z)))
+        told = _is(m, "op-llm-transpose-misconception", "s2")
+        minus = (y > 0) != _is(m, "op-transpose-sign", "s2")
+        moved = F.when(told, m["value"]).when(minus, z - size).otherwise(z + size)
+        right = F.when(told, m["canonical"]).otherwise(F.concat(s(z), F.when(minus, " - ").otherwise(" + "), s(size)))
+        used = F.when(told, F.concat(F.array(s(x)), F.transform(m["tokens"], lambda t: t.cast("string")))).otherwise(F.array(s(x), s(z), s(size)))
+        transpose = _step("s2", "transpose", F.concat(s(x), F.lit("x = "), right), used)
+        d = moved + F.when(_is(m, "op-arith-slip", "s3"), m["delta"]).otherwise(0)
+        simplify = _step("s3", "simplify", F.concat(s(x), F.lit("x = "), s(d)), F.array(s(x), s(d)))
+        wrong = _is(m, "op-divide-error", "s4")
+        num = F.when(wrong & (m["kind"] == "mul"), d * x).when(wrong, d + m["delta"] * x).otherwise(d)
+        root = rational(num, F.when(wrong & (m["kind"] == "mul"), F.lit(1).cast("long")).otherwise(x))
+        root = bind(root, lambda r: F.struct(F.when(_is(m, "op-final-sign-drop", "s4"), F.abs(r["num"])).otherwise(r["num"]).alias("num"), r["den"].alias("den")))
+        divide = bind(root, lambda r: _step("s4", "divide", F.concat(F.lit("x = "), rational_text(r)), rational_tokens(r)))
+        return [setup, transpose, simplify, divide], root
+
+    @staticmethod
+    def candidates(seed: int) -> Column:
+        k = F.col("idx")
+        off, kind = _one_of([-1, 1], choose(seed, k, "off", 2)), F.when(choose(seed, k, "kind", 2) == 0, "mul").otherwise("off")
+        negative = (F.col("z") - F.col("y")) * F.signum(F.col("x").cast("double")) < 0
+        return F.array(_mutation("op-transpose-sign", "s2", LINEAR_TYPES), _mutation("op-arith-slip", "s3", LINEAR_TYPES, _slip(seed)), _mutation("op-divide-error", "s4", LINEAR_TYPES, off, kind), F.when(negative, _mutation("op-final-sign-drop", "s4", LINEAR_TYPES)))
+
+    @staticmethod
+    def idle(m: Column) -> Column:
+        """Multiplying 0 where 0 was to be divided."""
+        return (m["operator"] == "op-divide-error") & (m["kind"] == "mul") & (F.col("z") == F.col("y"))
+
+    @staticmethod
+    def proposed(expr: Column, value: Column) -> Column:
+        """An expression of the constants |b| and |c| only, of another value than c - b."""
+        b, c = F.abs(F.col("y")).cast("long"), F.abs(F.col("z")).cast("long")
+        allowed = expr["failure"].isNull() & F.forall(expr["tokens"], lambda t: F.abs(t).isin(b, c)) & (expr["value"] != F.col("z") - F.col("y"))
+        return F.when(allowed, _mutation("op-llm-transpose-misconception", "s2", LINEAR_TYPES, value=expr["value"], tokens=expr["tokens"], canonical=expr["canonical"]))
+
+    @staticmethod
+    def solves(answer: Column) -> Column:
+        x, y, z = (F.col(c).cast("long") for c in "xyz")
+        return x * answer["num"] + y * answer["den"] == z * answer["den"]
+
+
+class Arithmetic:
+    """p + q × r."""
+
+    @staticmethod
+    def parameters(seed: int, fractions: bool) -> tuple[Column, Column, Column]:
+        p, q, r = (_one_of(_NONZERO, choose(seed, F.col("idx"), what, 18)) for what in "pqr")
+        return p, q, r
+
+    @staticmethod
+    def texts() -> tuple[Column, Column, Column]:
+        x, y, z = (F.col(c).cast("string") for c in "xyz")
+        return F.concat(F.lit("次の計算をしなさい。 "), x, F.lit(" + "), _paren(y), F.lit(" × "), _paren(z)), F.array(x, y, z), (F.col("x") + F.col("y") * F.col("z")).cast("string")
+
+    @staticmethod
+    def program(m: Column) -> tuple[list[Column], Column]:
+        x, y, z = (F.col(c).cast("long") for c in "xyz")
+        s = lambda c: c.cast("string")
+        either = lambda a, b: F.when(left_first, a).otherwise(b)
+        first = _step("s1", "setup", F.concat(s(x), F.lit(" + "), _paren(s(y)), F.lit(" × "), _paren(s(z))), F.array(s(x), s(y), s(z)))
+        left_first, t = _is(m, "op-order-of-ops", "s2"), x + y
+        product = F.when(_is(m, "op-llm-product-misconception", "s2"), m["value"]).when(_is(m, "op-mult-sign-drop", "s2"), F.abs(y * z)).otherwise(y * z + F.when(_is(m, "op-arith-slip", "s2"), m["delta"]).otherwise(0))
+        total = either(t * z, x + product + F.when(_is(m, "op-arith-slip", "s3"), m["delta"]).otherwise(0))
+        line = lambda a, sign, b, v: F.concat(a, F.lit(f" {sign} "), b, F.lit(" = "), s(v))
+        second = _step("s2", either(F.lit("add_first"), F.lit("multiply")), either(line(s(x), "+", _paren(s(y)), t), line(_paren(s(y)), "×", _paren(s(z)), product)), either(F.array(s(x), s(y), s(t)), F.array(s(y), s(z), s(product))))
+        third = _step("s3", either(F.lit("mul_second"), F.lit("add")), either(line(_paren(s(t)), "×", _paren(s(z)), total), line(s(x), "+", _paren(s(product)), total)), either(F.array(s(t), s(z), s(total)), F.array(s(x), s(product), s(total))))
+        answer = F.when(_is(m, "op-final-sign-drop", "s4"), F.abs(total)).otherwise(total)
+        last = _step("s4", "answer", F.concat(F.lit("答え "), s(answer)), F.array(s(answer)))
+        return [first, second, third, last], F.struct(answer.alias("num"), F.lit(1).cast("long").alias("den"))
+
+    @staticmethod
+    def candidates(seed: int) -> Column:
+        site = F.when(choose(seed, F.col("idx"), "slip_site", 2) == 0, "s2").otherwise("s3")
+        x, y, z = map(F.col, "xyz")
+        return F.array(_mutation("op-arith-slip", site, ARITH_TYPES, _slip(seed)), F.when(y * z < 0, _mutation("op-mult-sign-drop", "s2", ARITH_TYPES)), F.when((z != 1) & (y != 0), _mutation("op-order-of-ops", "s2", ARITH_TYPES)), F.when(x + y * z < 0, _mutation("op-final-sign-drop", "s4", ARITH_TYPES)))
+
+    @staticmethod
+    def idle(m: Column) -> Column:
+        return F.lit(False)
+
+    @staticmethod
+    def proposed(expr: Column, value: Column) -> Column:
+        """Another value than q r, at most 30 off its size."""
+        gold = (F.col("y") * F.col("z")).cast("long")
+        return F.when((value != gold) & (F.abs(value) <= F.abs(gold) + 30), _mutation("op-llm-product-misconception", "s2", ARITH_TYPES, value=value))
+
+    @staticmethod
+    def solves(answer: Column) -> Column:
+        x, y, z = (F.col(c).cast("long") for c in "xyz")
+        return (answer["num"] == x + y * z) & (answer["den"] == 1)
+
+
+def _domain(tag: str, generator: str, working: str, kind: type) -> Domain:
+    return Domain(tag, generator, working, kind.parameters, kind.texts, kind.program, kind.candidates, kind.idle, kind.proposed, kind.solves)
+
+
+register(LINEAR, _domain("lin", "bootstrap/linear_1var@v0.1", "変形過程", Linear))
+register(ARITH, _domain("ar", "bootstrap/int_arith@v0.1", "途中の計算", Arithmetic))
 
 
 #: A proposer: (domain, the three parameters) to the text of what a learner with a misconception would write; it may raise.
@@ -227,12 +330,11 @@ def affected_steps(site: Column, gold: Column, mutant: Column) -> Column:
 def rubric(seed: int) -> Column:
     """Weights of a row's rubric: the same for twins, as it depends on index and domain only."""
     which = choose(seed, F.concat(F.col("idx").cast("string"), F.col("domain")), "rubric", len(RUBRICS))
-    linear = F.col("domain") == LINEAR
-    middle = F.when(linear, "変形過程").otherwise("途中の計算")
+    middle = by_domain(lambda d: F.lit(d.working))
     w = [F.get(F.array(*(F.lit(r[i]) for r in RUBRICS)), which) for i in range(3)]
     text = F.concat(F.lit("採点基準:立式 "), w[0], F.lit(" 点、"), middle, F.lit(" "), w[1], F.lit(" 点、最終解 "), w[2], F.lit(" 点(計 10 点)"))
     weights = F.map_from_arrays(F.array(F.lit("立式"), middle, F.lit("最終解")), F.array(*w))
-    return F.struct(F.concat(F.lit("rb-"), F.when(linear, "lin").otherwise("ar"), F.lit("-w"), *w).alias("fn_id"), weights.alias("weights"), text.alias("text_ja"))
+    return F.struct(F.concat(F.lit("rb-"), by_domain(lambda d: F.lit(d.tag)), F.lit("-w"), *w).alias("fn_id"), weights.alias("weights"), text.alias("text_ja"))
 
 
 def awarded(w: list[Column], site: Column, affected: Column, final_ok: Column) -> Column:
@@ -264,9 +366,8 @@ def check_texts(steps: Column, texts: Column) -> Column:
 
 def gate_one(rows: DataFrame) -> DataFrame:
     """``rows`` (with gold and answer) and ``g1_reasons``: the answer must solve the problem and be its key, texts must hold the program's numbers."""
-    x, y, z = (F.col(c).cast("long") for c in "xyz")
-    ans, linear = F.col("answer"), F.col("domain") == LINEAR
-    solves = F.when(linear, x * ans["num"] + y * ans["den"] == z * ans["den"]).otherwise((ans["num"] == x + y * z) & (ans["den"] == 1))
+    ans = F.col("answer")
+    solves = F.coalesce(by_domain(lambda d: d.solves(ans)), F.lit(False))
     # 3x + 4: the minus before a subtracted number is an operator with a space, so it never joins the token
     same = T.number_tokens(F.col("problem_text")) == F.col("problem_numbers")
     failed = check_texts(F.col("gold"), F.transform("gold", lambda s: s["text"]))
@@ -298,16 +399,15 @@ def records(made: DataFrame, seed: int) -> DataFrame:
     rows = rows.withColumn("span", minimal_span(F.when(~control, step_text(F.col("gold"), site)), F.when(~control, step_text(F.col("mutant"), site))))
     rows = rows.withColumn("g2_reasons", F.when(control, F.array().cast("array<string>")).otherwise(gate_two(F.col("gold"), F.col("mutant"), mutant, site, F.col("affected"), F.col("span"))))
     rows = rows.withColumn("rubric", rubric(seed))
-    middle = F.when(F.col("domain") == LINEAR, "変形過程").otherwise("途中の計算")
+    middle = by_domain(lambda d: F.lit(d.working))
     w = [F.col("rubric.weights")[k] if isinstance(k, str) else F.element_at("rubric.weights", k) for k in ("立式", middle, "最終解")]
     right = (F.col("mutant_answer.num") == F.col("answer.num")) & (F.col("mutant_answer.den") == F.col("answer.den"))
     points = F.when(control, 10).otherwise(awarded(w, site, F.col("affected"), right))
-    tag = F.when(F.col("domain") == LINEAR, "lin").otherwise("ar")
-    pair = F.format_string("math-g7-%s-%06d", tag, F.col("idx"))
+    pair = F.format_string("math-g7-%s-%06d", by_domain(lambda d: F.lit(d.tag)), F.col("idx"))
     on_page = F.when(control, F.col("gold")).otherwise(F.col("mutant"))
     error = F.struct(F.col("mutation.type").alias("type"), F.col("mutation.operator").alias("operator"), site.alias("mutation_site"), F.col("affected").alias("causally_affected_nodes"), F.col("span").alias("span"), F.col("mutation.severity").alias("severity"), (F.size("affected") > 0).alias("propagates"), F.lit(None).cast("string").alias("type_identifiable"), F.lit(None).cast("boolean").alias("ambiguous_cross_family"))
     gates = F.when(control, F.array(F.lit("G1"))).otherwise(F.array(F.lit("G1"), F.lit("G2a"), F.lit("G2b")))
-    generator = F.when(F.col("domain") == LINEAR, "bootstrap/linear_1var@v0.1").otherwise("bootstrap/int_arith@v0.1")
+    generator = by_domain(lambda d: F.lit(d.generator))
     return rows.select(
         F.concat(pair, F.when(control, "-e0").otherwise("-e1")).alias("sample_id"), pair.alias("pair_id"),
         F.struct(F.col("problem_text").alias("text_ja"), F.lit(7).alias("grade"), F.col("domain"), generator.alias("generator")).alias("problem"),

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from fractions import Fraction
 
 import pytest
@@ -483,3 +484,55 @@ def test_small_operators(spark):
     assert [tuple(r) for r in dataset.distribution(values, F.col("v"), omit_null=True).collect()] == [("x", 2)]
     one, two = (spark.createDataFrame(r, "metric string, value double") for r in ([("a", 1.0), ("b", 2.0)], [("b", 3.0), ("c", None)]))
     assert {r["metric"]: (r["before"], r["after"], r["change"]) for r in metrics.before_after(one, two).collect()} == {"a": (1.0, None, None), "b": (2.0, 3.0, 1.0), "c": (None, None, None)}
+
+
+def test_a_domain_can_be_added(spark, monkeypatch):
+    """A third kind of problem, x + y: its records come out of the same program and pass the same gates."""
+    monkeypatch.setattr(programs, "DOMAINS", dict(programs.DOMAINS))
+    s = lambda c: c.cast("string")
+    x, y = F.col("x").cast("long"), F.col("y").cast("long")
+    types = {"op-arith-slip": ("計算/加減", 1)}
+
+    def program(m):
+        total = x + y + F.when(programs._is(m, "op-arith-slip", "s3"), m["delta"]).otherwise(0)
+        step = lambda i, op, text, numbers: programs._step(i, op, text, F.array(*map(s, numbers)))
+        shown = F.concat(s(x), F.lit(" + "), programs._paren(s(y)))
+        steps = [step("s1", "setup", shown, [x, y]), step("s2", "order", F.concat(programs._paren(s(y)), F.lit(" + "), programs._paren(s(x))), [y, x]), step("s3", "add", F.concat(shown, F.lit(" = "), s(total)), [x, y, total]), step("s4", "answer", F.concat(F.lit("答え "), s(total)), [total])]
+        return steps, F.struct(total.alias("num"), F.lit(1).cast("long").alias("den"))
+
+    pick = lambda what: programs.choose(1, F.col("idx"), what, 9) + 1
+    programs.register("和", programs.Domain(
+        "sum", "test/sum", "加える", lambda seed, fractions: (pick("x"), pick("y"), F.lit(0)), lambda: (F.concat(F.lit("計算 "), s(x), F.lit(" + "), s(y)), F.array(s(x), s(y)), s(x + y)), program,
+        lambda seed: F.array(programs._mutation("op-arith-slip", "s3", types, F.lit(1))), lambda m: F.lit(False), lambda expr, value: F.lit(None).cast(programs.MUTATION), lambda a: (a["num"] == x + y) & (a["den"] == 1),
+    ))
+    with pytest.raises(ValueError):
+        programs.register("和", programs.DOMAINS["和"])
+    rows = programs.generate(spark, 90, 4).collect()
+    own = [r for r in rows if r["problem"]["domain"] == "和"]
+    assert {r["problem"]["domain"] for r in rows} == set(programs.DOMAINS) and len(own) > 10
+    assert all(not r["g1_reasons"] and not r["g2_reasons"] for r in rows)
+    wrong = [r for r in own if not r["control_flag"]["error_free"]]
+    assert wrong and all(r["pair_id"].startswith("math-g7-sum-") and [t["step_id"] for t, g in zip(r["mutant_solution"], r["gold_solution"], strict=True) if t["text"] != g["text"]] == ["s3", "s4"] for r in wrong)
+
+
+def test_spans_found_again_lie_on_the_change():
+    """Random steps worded in random clauses: the span is what differs from the gold step, wherever the template stands."""
+    rnd = random.Random(3)
+    for _ in range(3000):
+        a, b, c, d = (rnd.randrange(10, 99) for _ in range(4))
+        sign, other = rnd.sample(["+", "-", "×"], 2)
+        gold = {"text": f"{a} {sign} {b} = {c}", "numbers": [str(a), str(b), str(c)]}
+        flipped = rnd.random() < 0.5
+        template = f"{a} {other} {b} = {c}" if flipped else f"{a} {sign} {b} = {d}"
+        before, after = rnd.choice(["", "つまり ", f"{a} を使うと、", "よって  "]), rnd.choice(["", " です", "。"])
+        shown = template.replace(" ", rnd.choice([" ", "", "  "]))
+        mutant = {"text": before + shown + after, "text_template": template, "numbers": []}
+        lo, hi = verbalise.respanned(gold, mutant)
+        found, at = mutant["text"][lo:hi], len(before)
+        assert at <= lo < hi <= at + len(shown)
+        if flipped:
+            assert found == other and lo == at + shown.index(other)
+        elif d != c:
+            assert found == str(d) and hi == at + len(shown)
+    assert verbalise.respanned({"text": "1", "numbers": ["1"]}, {"text": "", "numbers": []}) == [0, 1]
+    assert verbalise.respanned({"text": "1 + 2", "numbers": ["1", "2"]}, {"text": "12 + 2 だから 31 + 2", "text_template": "1 + 2", "numbers": []})[0] >= 0
