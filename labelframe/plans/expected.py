@@ -295,3 +295,20 @@ xc AS (SELECT b, count(*) FILTER (WHERE y) AS c1, count(*) FILTER (WHERE NOT y)
 xs AS (SELECT sample_id, any_value(y) AS y, sum(ln((coalesce(c1, 0) + 1) / (t1 + v)) - ln((coalesce(c0, 0) + 1) / (t0 + v))) AS s FROM x2 LEFT JOIN xc USING (b), xt WHERE held GROUP BY sample_id),
 xr AS (SELECT y, round(s, 9) AS s FROM xs), xk AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM xr)
 SELECT round((sum(r) FILTER (WHERE y) - count(*) FILTER (WHERE y) * (count(*) FILTER (WHERE y) + 1) / 2) / (count(*) FILTER (WHERE y) * count(*) FILTER (WHERE NOT y)), 6) AS auc, count(*) FILTER (WHERE y) AS n_pos, count(*) FILTER (WHERE NOT y) AS n_neg FROM xk"""
+
+# Fault injection
+
+_tok = lambda t: f"regexp_extract_all({t}, '-?\\d+')"
+_put = lambda at, new: f"[CASE WHEN q = {at} THEN {new} ELSE gold[q] END FOR q IN range(1, 5)]"
+INJECTED = f"""{generated()},
+j0 AS (SELECT idx, linear, gold, {_pick('step', 4)} + 1 AS step, flatten([{', '.join(_tok(f'gold[{q}]') for q in range(1, 5))}]) AS known FROM s),
+j1 AS (SELECT *, gold[step] AS t, known[{_pick('token', 'len(known)')} + 1] AS tk, {_pick('flip', 2)} = 0 AS plain, [q FOR q IN range(1, length(gold[step]) + 1) IF regexp_matches(substr(gold[step], q, 1), '[0-9]')] AS digits, [q FOR q IN range(1, 5) IF regexp_matches(gold[q], '-[0-9]')] AS minuses FROM j0),
+j2 AS (SELECT *, CASE WHEN plain THEN tk WHEN starts_with(tk, '-') THEN substr(tk, 2) ELSE '-' || tk END AS token, digits[{_pick('digit', 'len(digits)')} + 1] AS at_digit, minuses[{_pick('minus', 'greatest(1, len(minuses))')} + 1] AS target FROM j1),
+j3 AS (SELECT *, concat(substr(t, 1, at_digit - 1), (substr(t, at_digit, 1)::INT + 1 + {_pick('by', 8)}) % 10, substr(t, at_digit + 1)) AS altered,
+  concat({one_of(['よって ', 'したがって ', 'ゆえに '], _pick('word', 3))}, t) AS benign, concat([concat('両辺から ', token, ' を引くと、'), concat('両辺を ', token, ' で割って、'), concat('左辺の ', token, ' を消すために、')][{_pick('clause', 3)} + 1], t) AS wordy FROM j2),
+j4 AS (SELECT idx, linear, gold, known, 'clean' AS arm, gold AS texts FROM j3 UNION ALL SELECT idx, linear, gold, known, 'benign_paraphrase', {_put('step', 'benign')} FROM j3 UNION ALL SELECT idx, linear, gold, known, 'verbose_faithful', {_put('step', 'wordy')} FROM j3
+  UNION ALL SELECT idx, linear, gold, known, 'digit_change', {_put('step', 'altered')} FROM j3 UNION ALL SELECT idx, linear, gold, known, 'minus_drop', CASE WHEN len(minuses) > 0 THEN {_put('target', "regexp_replace(gold[target], '-([0-9])', '\\1')")} ELSE {_put('step', 'altered')} END FROM j3),
+j5 AS (SELECT *, [q FOR q IN range(1, 5) IF len(list_filter({_tok('texts[q]')}, lambda v: NOT list_contains(known, v) AND NOT list_contains(known, CASE WHEN starts_with(v, '-') THEN substr(v, 2) ELSE '-' || v END))) > 0
+  OR CASE WHEN NOT linear AND q = 4 THEN NOT list_contains({_tok('texts[q]')}, {_tok('gold[q]')}[1]) ELSE NOT contains(replace(texts[q], ' ', ''), replace(gold[q], ' ', '')) END] AS failing FROM j4)"""
+TEXTS = f"WITH {INJECTED} SELECT idx, arm, array_to_string(texts, ' | ') AS texts, array_to_string(list_transform(failing, lambda q: 's' || q), ',') AS failing FROM j5"
+EFFICACY = f"WITH {INJECTED} SELECT arm, count(*) AS n, count(*) FILTER (WHERE len(failing) > 0) AS n_flagged, round(avg((len(failing) > 0)::INT), 6) AS flagged_rate FROM j5 GROUP BY arm"

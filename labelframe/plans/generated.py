@@ -259,6 +259,19 @@ def text_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probe.auc(scored, "score", F.col("y") == 1).withColumn("auc", r6("auc"))
 
 
-@query("gate_efficacy")
+def _n_errors(spark: SparkSession, sf_dir: str) -> int:
+    return round(table(spark, sf_dir, E.TABLE).count() * 0.7)
+
+
+@query("injected_texts", E.TEXTS)
+def injected_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold texts with and without faults, and the steps that the check of texts flags."""
+    rows = staging.staged(programs.problems(spark, _n_errors(spark, sf_dir), E.SEED).withColumn("gold", programs.execute()[0]))
+    out = probe.injected(rows, E.SEED)
+    failing = F.array_join(programs.check_texts(F.col("gold"), F.col("texts")), ",")
+    return out.select("idx", "arm", F.array_join("texts", " | ").alias("texts"), failing.alias("failing"))
+
+
+@query("gate_efficacy", E.EFFICACY)
 def gate_efficacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return probe.gate_efficacy(spark, table(spark, sf_dir, E.TABLE).count(), 8).withColumn("flagged_rate", r6("flagged_rate"))
+    return probe.gate_efficacy(spark, _n_errors(spark, sf_dir), E.SEED).withColumn("flagged_rate", r6("flagged_rate"))
