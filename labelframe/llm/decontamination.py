@@ -88,9 +88,9 @@ def contained(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: floa
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without those that contain an item; columns unchanged."""
-    bad = cut(contained(docs, items, doc_col=doc_col, text_col=text_col, **how).select(F.col("doc").alias("_lf_doc"), F.col("tag").alias("_lf_tag")).distinct())
+    bad = cut(contained(docs, items, doc_col=doc_col, text_col=text_col, **how).select(F.col("doc").alias("of"), F.col("tag").alias("said")).distinct())
     text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.join(small(bad), docs[doc_col].eqNullSafe(F.col("_lf_doc")) & (F.xxhash64(text) == F.col("_lf_tag")), "left_anti")
+    return docs.join(small(bad), docs[doc_col].eqNullSafe(bad["of"]) & (F.xxhash64(text) == bad["said"]), "left_anti")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
