@@ -205,8 +205,8 @@ def _hex(value: Column | str, size: int) -> Column:
     return F.lpad(F.hex(F.expr(value) if isinstance(value, str) else value), 2 * size, "0")
 
 
-def _binary(spark: SparkSession, sf_dir: str, family: str, dummy: bool) -> DataFrame:
-    """Records made from suppliers, written as one file and scanned back; a 9B file begins with a dummy."""
+def _binary(spark: SparkSession, sf_dir: str, family: str, dummy: bool, image: Column | None = None) -> DataFrame:
+    """Records made from suppliers (``image``: hex digits), written as one file and scanned back; a 9B file begins with a dummy."""
     k = F.col("s_suppkey").cast("long")
     code = F.concat(F.lit("24"), _hex(33 + k % 83, 1))
     first, size, _, _ = fixed.IMAGES[family]
@@ -216,7 +216,7 @@ def _binary(spark: SparkSession, sf_dir: str, family: str, dummy: bool) -> DataF
         head = F.concat(_hex(k % 9 + 1, 2), code, F.hex(F.rpad(F.concat(F.lit("R"), k.cast("string")), 8, " ").cast("binary")), _hex(k * 3, 4), _hex(k % 4, 1), _hex(k % 5, 1), _hex(k % 2, 1), _hex(20 + k % 60, 1), _hex(k % 700, 2), _hex(k % 800, 2), _hex(k % 900, 2), _hex(k % 1000, 2), _hex(k % 200, 1), _hex(k % 210, 1), F.repeat(F.lit("00"), 34))
     else:
         head = F.concat(_hex(k, 2), F.hex(F.rpad(F.concat(F.lit("A"), (k % 10).cast("string")), 2, " ").cast("binary")), _hex(k % 30 + 1, 2), _hex(33 + k % 60, 1), _hex(k % 256, 1), _hex(k % 4, 1), _hex(k % 5, 1), _hex(k % 2, 1), _hex(20 + k % 60, 1), _hex(k * 3, 4), _hex(k % 700, 2), _hex(k % 800, 2), _hex(k % 900, 2), _hex(k % 1000, 2), _hex(k % 200, 1), _hex(k % 210, 1), _hex(k % 15, 1), _hex(k % 16, 1), F.repeat(F.lit("00"), 4))
-    body = F.repeat(_hex(k % 256, 1), size)
+    body = F.repeat(_hex(k % 256, 1), size) if image is None else image
     rest = F.repeat(F.lit("00"), fixed.LENGTHS[family] - first - size)
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.unhex(F.concat(head, body, rest)).alias("raw")).orderBy("s_suppkey")
     path = f"{staging.folder(spark)}-ETL{family}.bin"
@@ -257,6 +257,24 @@ def decoded_1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("record_index", "data_number", "sheet_number", "jis_code", "ebcdic_code", "serial_number", "individual_evaluation", "group_evaluation", "sex", "age", "industry_code", "occupation_code", "sheet_gathering_date", "scanning_date", "minimum_scanned_level", "maximum_scanned_level", "reading", "char")
 
 
+_BLOCK = "s_suppkey % 6 + 2 AS w, s_suppkey % 9 + 2 AS h, s_suppkey % 15 + 1 AS v, s_suppkey % 4 + 1 AS u"
+
+
+@query("glyphs_with_contrast", f"""WITH b AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS record_index, {_BLOCK} FROM supplier), o AS (SELECT *, greatest(u, v) AS hi, least(u, v) AS lo FROM b),
+g AS (SELECT *, CASE WHEN hi > 1 THEN round_even(255.0 * (lo - 1) / (hi - 1), 0)::INT END AS grey FROM o)
+SELECT record_index, CASE WHEN hi <= 1 THEN 1 WHEN grey < 10 THEN 2 * w ELSE 4 * w END::INT AS width, CASE WHEN hi <= 1 THEN 1 ELSE h END::INT AS height, CASE WHEN hi <= 1 THEN 0 WHEN v = hi OR grey < 10 THEN 255 ELSE grey END::INT AS first, CASE WHEN hi <= 1 THEN 0 WHEN u = hi OR grey < 10 THEN 255 ELSE grey END::INT AS last FROM g""")
+def glyphs_with_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Glyphs of a left and a right block of two grey levels: the darker one becomes 255, faint ones go, the rest is cut off."""
+    n = lambda c: F.col("s_suppkey").cast("int") % c
+    two = lambda level: F.concat(F.lower(F.hex(level)), F.lower(F.hex(level)))
+    w, h, blank = n(6) + 2, n(9) + 2, lambda times: F.repeat(F.lit("00"), times)
+    row = F.concat(blank(F.lit(4)), F.repeat(two(n(15) + 1), w), F.repeat(two(n(4) + 1), w), blank(28 - 2 * w))
+    image = F.concat(blank(F.lit(32 * 6)), F.repeat(row, h), blank(32 * (57 - h)))
+    rows = _binary(spark, sf_dir, "1", dummy=False, image=image).withColumn("g", fixed.glyphs("1"))
+    byte = lambda at: F.conv(F.hex(F.substring("g.pixels", at, 1)), 16, 10).cast("int")
+    return rows.select("record_index", "g.width", "g.height", byte(1).alias("first"), byte(-1).alias("last"))
+
+
 @query("picked_records", f"SELECT row_number() OVER (ORDER BY s_suppkey) AS record_index, {_KANA} AS char, s_suppkey % 9 + 1 AS sheet_number FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey % 83 ORDER BY s_suppkey) = 1")
 def picked_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first record of each character, read again by path and place."""

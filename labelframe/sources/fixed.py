@@ -188,6 +188,56 @@ def pixels(family: str) -> Column:
     return unpacked(image_bytes(family), F.lit(IMAGES[family][2]))
 
 
+#: Of contrast: width of the border that shows the background, one grey level, share of ink below the white point and exponent by family, faintest level that stays (fixed values).
+EDGE, LEVEL, INK, FAINT = 2, 17, {"9G": (0.95, 0.75)}, 10
+OTHER_INK, LEAST_SIDE, PAD = (0.985, 1.0), 32, 2
+
+
+def _ranked(values: np.ndarray, share: float) -> int:
+    """The value at the rounded place ``share`` of the way through all sorted values."""
+    return int(np.sort(values, axis=None)[min(values.size - 1, max(0, round((values.size - 1) * share)))])
+
+
+def with_contrast(image: np.ndarray, family: str) -> np.ndarray:
+    """A glyph cut out of its grey image (rows of bytes), background at 0 and ink up to 255; one pixel of 0 for no ink.
+
+    9G images may show neighbours' strokes at their sides, so the white point and the cut go by the middle there.
+    """
+    height, width = image.shape
+    frame = np.ones(image.shape, bool)
+    frame[EDGE : height - EDGE, EDGE : width - EDGE] = False
+    background = int(np.median(image[frame])) if frame.any() else 0
+    ground = background + LEVEL if family == "9G" else max(background, _ranked(image[frame], 0.99) + LEVEL)
+    ink = np.maximum(image.astype(np.int64) - min(254, ground), 0)
+    side = max(2, min(height, width) // 16) if family == "9G" and min(height, width) >= LEAST_SIDE else 0
+    middle = slice(side, height - side), slice(side, width - side)
+    told = ink[middle][ink[middle] > 0] if (ink[middle] > 0).any() else ink[ink > 0]
+    if not told.size:
+        return np.zeros((1, 1), np.uint8)
+    share, exponent = INK.get(family, OTHER_INK)
+    grey = np.rint(255 * np.minimum(1.0, ink / max(1, _ranked(told, share))) ** exponent).astype(np.uint8)
+    grey[grey < FAINT] = 0
+    whole = not grey[middle].any()
+    rows, cols = np.nonzero(grey if whole else grey[middle])
+    if not rows.size:
+        return np.zeros((1, 1), np.uint8)
+    shift, pad = (0, 0) if whole or not side else (side, PAD)
+    top, left = max(0, rows.min() + shift - pad), max(0, cols.min() + shift - pad)
+    return grey[top : rows.max() + shift + pad + 1, left : cols.max() + shift + pad + 1]
+
+
+def glyphs(family: str) -> Column:
+    """A record's image as a glyph with contrast: struct(width, height, pixels)."""
+    across = IMAGES[family][3]
+
+    @F.pandas_udf("width int, height int, pixels binary")
+    def cut(images: pd.Series) -> pd.DataFrame:
+        made = [with_contrast(np.frombuffer(x, np.uint8).reshape(-1, across), family) for x in images]
+        return pd.DataFrame({"width": [m.shape[1] for m in made], "height": [m.shape[0] for m in made], "pixels": [m.tobytes() for m in made]})
+
+    return cut(pixels(family))
+
+
 def x0208(code: bytes) -> str | None:
     if len(code) != 2 or not all(0x21 <= c <= 0x7E for c in code):
         return None

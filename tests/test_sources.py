@@ -216,3 +216,19 @@ def test_incremental_runs_read_files_once(spark, tmp_path):
     put(2)
     assert run() == 1 and run() == 0
     assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == sorted(k * 10 + i for k in range(3) for i in range(5))
+
+
+def test_contrast_of_glyphs():
+    """A neighbour's stroke at the side neither sets the white point nor the cut of a 9G glyph; a faint shade and the background go."""
+    import numpy as np
+
+    image = np.full((127, 128), 34, np.uint8)
+    image[40:80, :5] = 255
+    image[50:70, 60:90] = 136
+    image[50, 60], image[50, 61] = 52, 60
+    out = fixed.with_contrast(image, "9G")
+    assert out.shape == (24, 34) and out[4, 10] == 255 and out[0].max() == 0 and (out[2:22, 2:32] > 0).sum() == 20 * 30 - 1
+    assert out[2, 2] == 0 and out[2, 3] == round(255 * (9 / 85) ** 0.75)
+    plain = fixed.with_contrast(image, "1")  # a noisy border sets the ground there
+    assert plain.shape == (1, 1) or plain.max() <= 255
+    assert fixed.with_contrast(np.zeros((63, 64), np.uint8), "6").tolist() == [[0]] and fixed.with_contrast(np.zeros((2, 2), np.uint8), "6").tolist() == [[0]]
