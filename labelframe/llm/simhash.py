@@ -49,8 +49,8 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SKETCH, HEAD = 512, 4
 #: Rows of a bucket up to which all its candidates are verified at once.
 SMALL = 8
-#: One of so many documents is looked at for common shingles, how often one must stand there, and how many are told apart at most.
-SAMPLED, COMMON, MOST_COMMON = 16, 8, 100_000
+#: One of so many documents is looked at for common shingles, how often one must stand there, and how many are told apart at most (16 MB in each worker).
+SAMPLED, COMMON, MOST_COMMON = 16, 8, 2_000_000
 #: Hashes of shingle sets that a task keeps at hand while it verifies candidates.
 HELD = 1 << 21
 LANES = np.uint64(0x0101010101010101)
@@ -333,8 +333,14 @@ def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(hashes)], names=["h"])
 
     some = docs.where(F.pmod("tag", F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "h long")
-    counts = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    return np.sort(counts.orderBy(F.desc("n"), "h").limit(MOST_COMMON).toArrow()["h"].to_numpy())
+    counts = cut(some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON))
+    # from how often on: by powers of two, so that no task sorts them all
+    sizes = {r["k"]: r["of"] for r in counts.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("of")).collect()}
+    least, kept = 64, 0
+    while least > 0 and kept + sizes.get(least - 1, 0) <= MOST_COMMON:
+        least -= 1
+        kept += sizes.get(least, 0)
+    return np.sort(counts.where(F.col("n") >= F.lit(float(2**least))).select("h").toArrow()["h"].to_numpy())
 
 
 NO_ID = -(2**63)

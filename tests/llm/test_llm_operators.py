@@ -232,6 +232,25 @@ def test_reserved_names_are_refused(spark):
             drop(df)
 
 
+def test_common_shingles_are_bounded(spark, monkeypatch):
+    """The most common shingles of the sample, whole classes of them by powers of two; however few are told apart, the groups stay the same."""
+    rnd = random.Random(14)
+    texts = [f"a b c d e {'f g h i j ' if k % 2 else ''}{prose(rnd, 30, 10**6)}" for k in range(400)]
+    texts += [t + " tail" for t in texts[:40]]
+    docs = simhash._named(frame(spark, list(enumerate(texts))), "doc_id", "text")
+    monkeypatch.setattr(simhash, "SAMPLED", 1)
+    shingle = lambda t: int(simhash.shingle_hashes(t.encode().split(), 5).view(np.int64)[0])
+    often = {shingle("a b c d e"), *(shingle(" ".join("a b c d e f g h i j".split()[k : k + 5])) for k in range(1, 6))}
+    assert set(simhash.common_shingles(docs, 5).tolist()) == often
+    monkeypatch.setattr(simhash, "MOST_COMMON", 3)
+    assert set(simhash.common_shingles(docs, 5).tolist()) == {shingle("a b c d e")}
+    kept, found = kept_by_brute_force(texts)
+    assert len(found) == 40
+    for most in (0, 3, 100):
+        monkeypatch.setattr(simhash, "MOST_COMMON", most)
+        assert sorted(r["doc_id"] for r in simhash.drop_near_copies(frame(spark, list(enumerate(texts)))).select("doc_id").collect()) == kept
+
+
 def test_links_between_candidates_that_fail_are_found(spark):
     """A family whose sketches tell nothing: few of its pairs are links, and a forest over all of them leaves most of these out."""
     rnd = random.Random(9)
