@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from labelframe.functions import seeds
 from labelframe.functions import text as T
-from labelframe.operators import layout, metrics, probe, programs, relabel, rewards, splits, verbalise
+from labelframe.operators import layout, probe, programs, relabel, rewards, splits, verbalise
 from labelframe.plans import expected as E
 from labelframe.plans import pipelines
 from labelframe.plans.registry import query, r6, table
-from labelframe.schema import FAMILY
 from labelframe.sources import staging
 
 
