@@ -377,13 +377,22 @@ def gate_one(rows: DataFrame) -> DataFrame:
 
 def gate_two(gold: Column, mutant: Column, again: Column, site: Column, affected: Column, span: Column) -> Column:
     """Reasons against an error record: changes beyond the site and what it affects, no change at the site, another re-execution, an unsound span."""
-    ids = F.transform(gold, lambda s: s["step_id"])
-    changed = F.filter(ids, lambda i: ~step_text(gold, i).eqNullSafe(F.coalesce(step_text(mutant, i), F.lit(""))))
-    beyond = F.array_except(changed, F.concat(F.array(site), affected))
     texts = lambda steps: F.transform(steps, lambda s: s["text"])
-    lo, hi = F.get(span, 0), F.get(span, 1)
-    sound = (lo >= 0) & (lo < hi) & (hi <= F.length(step_text(mutant, site)))
-    return F.array_compact(F.array(F.when(F.size(beyond) > 0, F.concat(F.lit("G2a: changes beyond: "), F.array_join(beyond, ","))), F.when(~F.array_contains(changed, site), "G2a: no change at the site"), F.when(~texts(again).eqNullSafe(texts(mutant)), "G2b: re-execution differs"), F.when(~F.coalesce(sound, F.lit(False)), "G2b: unsound span")))
+
+    def reasons(v: Column) -> Column:
+        changed = F.filter(F.transform(v["gold"], lambda s: s["step_id"]), lambda i: ~step_text(v["gold"], i).eqNullSafe(F.coalesce(step_text(v["mutant"], i), F.lit(""))))
+        lo, hi = F.get(v["span"], 0), F.get(v["span"], 1)
+        sound = (lo >= 0) & (lo < hi) & (hi <= F.length(step_text(v["mutant"], v["site"])))
+
+        def against(c: Column) -> Column:
+            beyond = F.when(F.size(c["beyond"]) > 0, F.concat(F.lit("G2a: changes beyond: "), F.array_join(c["beyond"], ",")))
+            return F.array_compact(F.array(beyond, F.when(~F.array_contains(c["changed"], v["site"]), "G2a: no change at the site"), F.when(~v["again"].eqNullSafe(texts(v["mutant"])), "G2b: re-execution differs"), F.when(~F.coalesce(sound, F.lit(False)), "G2b: unsound span")))
+
+        own = lambda c: F.struct(c.alias("changed"), F.array_except(c, F.concat(F.array(v["site"]), v["affected"])).alias("beyond"))
+        return bind(bind(changed, own), against)
+
+    given = {"gold": gold, "mutant": mutant, "again": texts(again), "site": site, "affected": affected, "span": span}
+    return bind(F.struct(*(c.alias(k) for k, c in given.items())), reasons)
 
 
 def records(made: DataFrame, seed: int) -> DataFrame:

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelframe.functions import geometry as G
@@ -254,13 +254,17 @@ def arithmetic_mutants(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gate_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A dropped sign: it changes nothing where the product is not negative, which the gate reports (no change, so no sound span)."""
     mutation = F.struct(F.lit("op-mult-sign-drop").alias("operator"), F.lit("s2").alias("site"), F.lit("計算/符号").alias("type"), F.lit(2).alias("severity"), *(F.lit(None).cast(t).alias(n) for n, t in (("delta", "int"), ("kind", "string"), ("value", "bigint"), ("tokens", "array<bigint>"), ("canonical", "string")))).cast(programs.MUTATION)
-    gold, mutant = programs.execute()[0], programs.execute(mutation)[0]
-    rows = _params(spark, sf_dir, programs.ARITH).withColumn("gold", gold).withColumn("mutant", mutant)
     site = F.lit("s2")
-    same = programs.step_text(F.col("gold"), site) == programs.step_text(F.col("mutant"), site)
-    span = F.when(same, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-    reasons = programs.gate_two(F.col("gold"), F.col("mutant"), F.col("mutant"), site, programs.affected_steps(site, F.col("gold"), F.col("mutant")), span)
-    return rows.select("l_orderkey", "l_linenumber", F.size(reasons).alias("n_reasons"))
+
+    def reasons(made: Column) -> Column:
+        gold, mutant = made["gold"], made["mutant"]
+        same = programs.step_text(gold, site) == programs.step_text(mutant, site)
+        span = F.when(same, F.array(F.lit(0), F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+        return programs.gate_two(gold, mutant, mutant, site, programs.affected_steps(site, gold, mutant), span)
+
+    # bound: the gate uses each program in many places, and Catalyst would put the whole program into each
+    made = F.struct(programs.execute()[0].alias("gold"), programs.execute(mutation)[0].alias("mutant"))
+    return _params(spark, sf_dir, programs.ARITH).select("l_orderkey", "l_linenumber", F.size(N.bind(made, reasons)).alias("n_reasons"))
 
 
 @_query("rubric_points", "WITH w AS (SELECT l_orderkey, l_linenumber, 2 + l_linenumber % 2 AS a, 3 + l_partkey % 3 AS b, 4 AS c, l_suppkey % 4 AS site, l_quantity::INT % 2 = 0 AS ok FROM lineitem) SELECT l_orderkey, l_linenumber, (CASE WHEN site = 0 THEN 0 ELSE a END + (b * (CASE WHEN site <= 1 THEN 0 WHEN site = 2 THEN 1 ELSE 2 END)) // 2 + CASE WHEN ok THEN c ELSE 0 END)::INT AS points FROM w")
