@@ -206,7 +206,7 @@ def _hex(value: Column | str, size: int) -> Column:
 
 
 def _binary(spark: SparkSession, sf_dir: str, family: str, dummy: bool, image: Column | None = None) -> DataFrame:
-    """Records made from suppliers (``image``: hex digits), written as one file and scanned back; a 9B file begins with a dummy."""
+    """Records made from suppliers (``image``: hex digits), written as one file in parts and scanned back; a 9B file begins with a dummy."""
     k = F.col("s_suppkey").cast("long")
     code = F.concat(F.lit("24"), _hex(33 + k % 83, 1))
     first, size, _, _ = fixed.IMAGES[family]
@@ -215,19 +215,16 @@ def _binary(spark: SparkSession, sf_dir: str, family: str, dummy: bool, image: C
     elif family == "9G":
         head = F.concat(_hex(k % 9 + 1, 2), code, F.hex(F.rpad(F.concat(F.lit("R"), k.cast("string")), 8, " ").cast("binary")), _hex(k * 3, 4), _hex(k % 4, 1), _hex(k % 5, 1), _hex(k % 2, 1), _hex(20 + k % 60, 1), _hex(k % 700, 2), _hex(k % 800, 2), _hex(k % 900, 2), _hex(k % 1000, 2), _hex(k % 200, 1), _hex(k % 210, 1), F.repeat(F.lit("00"), 34))
     else:
-        head = F.concat(_hex(k, 2), F.hex(F.rpad(F.concat(F.lit("A"), (k % 10).cast("string")), 2, " ").cast("binary")), _hex(k % 30 + 1, 2), _hex(33 + k % 60, 1), _hex(k % 256, 1), _hex(k % 4, 1), _hex(k % 5, 1), _hex(k % 2, 1), _hex(20 + k % 60, 1), _hex(k * 3, 4), _hex(k % 700, 2), _hex(k % 800, 2), _hex(k % 900, 2), _hex(k % 1000, 2), _hex(k % 200, 1), _hex(k % 210, 1), _hex(k % 15, 1), _hex(k % 16, 1), F.repeat(F.lit("00"), 4))
+        head = F.concat(_hex(k % 65536, 2), F.hex(F.rpad(F.concat(F.lit("A"), (k % 10).cast("string")), 2, " ").cast("binary")), _hex(k % 30 + 1, 2), _hex(33 + k % 60, 1), _hex(k % 256, 1), _hex(k % 4, 1), _hex(k % 5, 1), _hex(k % 2, 1), _hex(20 + k % 60, 1), _hex(k * 3, 4), _hex(k % 700, 2), _hex(k % 800, 2), _hex(k % 900, 2), _hex(k % 1000, 2), _hex(k % 200, 1), _hex(k % 210, 1), _hex(k % 15, 1), _hex(k % 16, 1), F.repeat(F.lit("00"), 4))
     body = F.repeat(_hex(k % 256, 1), size) if image is None else image
     rest = F.repeat(F.lit("00"), fixed.LENGTHS[family] - first - size)
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.unhex(F.concat(head, body, rest)).alias("raw")).orderBy("s_suppkey")
-    path = f"{staging.folder(spark)}-ETL{family}.bin"
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    keys, raw = table(spark, sf_dir, "supplier").select("s_suppkey"), F.unhex(F.concat(head, body, rest))
     if dummy:
-        out.write(bytes(fixed.LENGTHS[family]))
-    for row in rows.toLocalIterator():  # a record at a time
-        out.write(bytes(row["raw"]))
-    out.close()
-    return fixed.scan_binary(spark, path, family)
+        keys = spark.range(1).select(F.lit(None).cast("long").alias("s_suppkey")).unionByName(keys.where("s_suppkey is not null"))
+        raw = F.when(F.col("s_suppkey").isNull(), F.unhex(F.repeat(F.lit("00"), fixed.LENGTHS[family]))).otherwise(raw)
+    path = f"{staging.folder(spark)}-ETL{family}"
+    sinks.write_fixed(keys, raw, "s_suppkey", fixed.LENGTHS[family], path)
+    return fixed.scan_binary(spark, path, family, parts=True)
 
 
 _KANA = "chr((12353 + s_suppkey % 83)::INT)"

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from labelframe.functions.numbers import bind
+
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines by Spark's commit protocol: a reader sees all of the output, marked by _SUCCESS, or none."""
@@ -49,6 +51,23 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).select(*mark).write.mode("overwrite").option("header", True).csv(path)
 
 
+#: Bytes of a part file of fixed-length records.
+PART = 16 << 20
+
+
+def write_fixed(keys: DataFrame, raw: Column, key: str, length: int, path: str) -> None:
+    """Records of ``length`` bytes, made from rows by ``raw`` after these are in order of ``key`` (null first), as part files of some 16 MB that follow each other in order of their numbers.
+
+    Spark's text sink writes a string's bytes as they are and a separator after each, so a record must end in a zero byte (a filler), which is that separator.
+    """
+    bad = F.raise_error(F.lit(f"a record is not {length} bytes with a zero byte at its end")).cast("string")
+    whole = lambda r: (F.octet_length(r) == length) & (F.substring(r, length, 1) == F.unhex(F.lit("00")))
+    value = bind(raw, lambda r: F.when(whole(r), F.substring(r, 1, length - 1).cast("string")).otherwise(bad))
+    parts = max(1, -(-keys.count() * length // PART))
+    rows = keys.repartitionByRange(parts, key).sortWithinPartitions(key)
+    rows.select(value.alias("value")).write.option("lineSep", "\0").option("compression", "none").text(path)
+
+
 def summary(df: DataFrame, title: str, labels: dict[str, str] | None = None) -> tuple[str, str]:
     """(pretty JSON, Markdown table) of a one-row aggregate; missing values are N/A, doubles have six places."""
     row = df.first().asDict(recursive=True)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 import os
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,6 +124,41 @@ def test_fixed_length_partitions_align(spark, tmp_path):
         fixed.scan(spark, [str(tmp_path / "ETL9B_2")], "9B").count()
 
 
+def test_binary_scan_is_linear_in_its_file(spark, tmp_path):
+    """Each record once copied the whole file: 60,000 records of 576 bytes would have copied 2 TB."""
+    path, n = tmp_path / "ETL9B_1", 60_000
+    path.write_bytes(b"".join(b_record(k % 65536, b"\x24\x22") for k in range(n)))
+    began = time.monotonic()
+    got = fixed.decode(fixed.scan_binary(spark, str(path), "9B"), "9B").agg(F.count(F.lit(1)), F.count_if(F.col("sheet_number") == F.col("record_index"))).first()
+    assert tuple(got) == (n, n) and time.monotonic() - began < 60
+
+
+def test_records_in_parts_are_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "PART", 576 * 40)
+    monkeypatch.setattr(fixed, "WRITTEN_9B", {999: 990})
+    k = F.col("k")
+    keys = spark.range(1000).select(F.when(F.col("id") > 0, 1000 - F.col("id")).alias("k"))
+    raw = F.unhex(F.concat(F.lpad(F.hex(F.coalesce(k, F.lit(0))), 4, "0"), F.repeat(F.lit("C20A"), 286), F.lit("0D00")))
+    sinks.write_fixed(keys, raw, "k", 576, str(tmp_path / "made"))
+    assert len(list((tmp_path / "made").glob("part-*"))) > 10
+    rows = fixed.scan_binary(spark, str(tmp_path / "made"), "9B", parts=True)
+    got = fixed.decode(rows, "9B").orderBy("record_index").select("path", "record_index", "sheet_number", "skipped").collect()
+    assert [(r[1], r[2]) for r in got] == [(i, i) for i in range(1000)] and {r[0] for r in got} == {str(tmp_path / "made")}
+    assert [r[3] for r in got] == ["dummy", *[None] * 990, *["model"] * 9]
+    assert {bytes(r["raw"])[2:] for r in rows.collect()} == {b"\xc2\x0a" * 286 + b"\x0d\x00"}
+    with pytest.raises(Exception, match="zero byte at its end"):
+        sinks.write_fixed(keys, F.unhex(F.repeat(F.lit("01"), 576)), "k", 576, str(tmp_path / "bad"))
+
+
+def test_numbers_of_many_suppliers_wrap(spark, tmp_path):
+    """Two bytes hold a number up to 65,535; the SQL takes the remainder."""
+    from labelframe.plans import bindings
+
+    spark.createDataFrame([(65_535,), (65_536,), (359_999,)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = bindings.QUERIES["decoded_1"](spark, str(tmp_path)).orderBy("record_index").collect()
+    assert [(r["record_index"], r["data_number"], r["serial_number"]) for r in got] == [(0, 65_535, 196_605), (1, 0, 196_608), (2, 359_999 % 65_536, 1_079_997)]
+
+
 def test_single_byte_characters(spark, tmp_path):
     path = tmp_path / "ETL1C_01"
     records_ = [(b"A ", 0), (b" A", 0xB1), (b"((", 0x28), (b"/X", 0), (b"KA", 0xB6), (b",,", 0xDE), (b"-6", 0x20)]
