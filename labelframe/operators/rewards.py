@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelframe.functions import geometry as G
 from labelframe.functions import text as T
+from labelframe.functions.numbers import bind
 from labelframe.operators.metrics import error_boxes
 from labelframe.operators.programs import choose, step_text
 from labelframe.operators.relabel import family_of
@@ -85,8 +86,7 @@ OUT = "struct<transcript:string,errors:array<struct<step_id:string,bbox:array<do
 def perfect_output(seed: int = 0) -> Column:
     """The truth as an answer, boxes off by up to three pixels."""
     off = lambda i: (choose(seed, F.col("sample_id"), f"box{i}", 7) - 3).cast("double")
-    box = F.get("_boxes", 0)
-    shaky = F.when(box.isNotNull(), F.array(*(box[i] + off(i) for i in range(4))))
+    shaky = bind(F.get("_boxes", 0), lambda box: F.when(box.isNotNull(), F.array(*(box[i] + off(i) for i in range(4)))))
     errors = F.transform("injected_errors", lambda e: F.struct(e["mutation_site"].alias("step_id"), shaky.alias("bbox"), e["type"].alias("type")))
     return F.struct(F.col("transcript_gt.text").alias("transcript"), errors.alias("errors"), F.col("score_gt.awarded").cast("long").alias("score"), F.transform("injected_errors", lambda e: e["type"]).alias("comment_refs")).cast(OUT)
 
@@ -94,8 +94,11 @@ def perfect_output(seed: int = 0) -> Column:
 def adversarial(records: DataFrame, seed: int = 0) -> DataFrame:
     """Each record with its perfect answer (family ``perfect``) and with answers that try to earn without reading: eight for errors, one for controls."""
     rows = records.withColumn("_boxes", error_boxes())
-    rows = rows.withColumn("_base", perfect_output(seed))
-    base = F.col("_base")
+    # bound: the cases use the perfect answer in many places, and Catalyst would put all of it into each
+    return rows.select(*records.columns, F.inline(bind(perfect_output(seed), lambda base: _cases(base, seed))))
+
+
+def _cases(base: Column, seed: int) -> Column:
     made = lambda **new: F.struct(*((new[f] if f in new else base[f]).alias(f) for f in ("transcript", "errors", "score", "comment_refs"))).cast(OUT)
     pick = lambda what, n: choose(seed, F.col("sample_id"), what, n)
     one_type = lambda what: F.get(F.array(*map(F.lit, ALL_TYPES)), pick(what, len(ALL_TYPES)))
@@ -115,14 +118,14 @@ def adversarial(records: DataFrame, seed: int = 0) -> DataFrame:
     lie = made(errors=F.array(invented), score=F.greatest(F.lit(0), F.col("score_gt.awarded") - 2).cast("long"), comment_refs=F.array(invented["type"]))
     case = lambda name, o: F.struct(F.lit(name).alias("family"), o.alias("out"))
     wrong = F.array(case("perfect", base), *(case(k, v) for k, v in bad.items()))
-    cases = F.when(F.col("control_flag.error_free"), F.array(case("perfect", base), case("hallucinate_on_control", lie))).otherwise(wrong)
-    return rows.select(*records.columns, F.inline(cases))
+    return F.when(F.col("control_flag.error_free"), F.array(case("perfect", base), case("hallucinate_on_control", lie))).otherwise(wrong)
 
 
 def inversions(records: DataFrame, seed: int = 0, identifiable: bool | None = None) -> DataFrame:
     """Per family (and in all, family null): trials, answers that earn more than the perfect one, the largest gap, the rate."""
-    scored = rewarded(adversarial(records, seed), identifiable).select("sample_id", "family", F.col("reward.total").alias("total"))
-    right = scored.where("family = 'perfect'").select("sample_id", F.col("total").alias("valid"))
+    scored = rewarded(adversarial(records, seed), identifiable).select("sample_id", "family", F.col("reward.total").alias("total")).where("sample_id is not null")
+    # a window over a record's few answers: a join of the scored rows with themselves would make and score all of them twice
+    right = F.max(F.when(F.col("family") == "perfect", F.col("total"))).over(Window.partitionBy("sample_id"))
     gap = F.col("total") - F.col("valid")
-    rows = scored.where("family <> 'perfect'").join(right, "sample_id")
+    rows = scored.withColumn("valid", right).where("family <> 'perfect'")
     return rows.groupingSets([[F.col("family")], []], "family").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap > 0).alias("n_inversions"), F.max(gap).alias("max_gap")).withColumn("inversion_rate", F.col("n_inversions") / F.col("n"))
