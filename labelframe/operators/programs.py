@@ -440,10 +440,23 @@ def generate(spark: SparkSession, n: int, seed: int, control_share: float = 0.3,
     # written, for the programs use a mutation in many places and would carry its whole expression to each
     made = made.withColumn("mutation", chosen_mutation(seed)) if proposer is None else with_proposals(made, proposer).withColumn("mutation", F.coalesce(proposed_mutation(F.col("proposed.expr"), F.col("proposed.value")), chosen_mutation(seed))).drop("proposed")
     made = staged(made)
-    twins = made.orderBy(hashed(seed, F.col("idx"), "twin"), "idx").limit(min(n - n_errors, n_errors)).withColumn("mutation", F.lit(None).cast(MUTATION))
+    twins = made.where(least_hashes(made, hashed(seed, F.col("idx"), "twin"), "idx", min(n - n_errors, n_errors))).withColumn("mutation", F.lit(None).cast(MUTATION))
     return records(made.unionByName(twins), seed)
 
 
+def least_hashes(rows: DataFrame, h: Column, key: str, k: int, digits: int = 4) -> Column:
+    """Whether a row is among the ``k`` with the least (hex hash, key); keys are distinct. No task sorts more than the rows that share the last one's first ``digits`` digits, and rows stay where they are."""
+    if k <= 0:
+        return F.lit(False)
+    head, left = F.substring(h, 1, digits), k
+    for start, n in sorted((r[0], r[1]) for r in rows.groupBy(head.alias("d")).count().collect()):  # 16^digits counts at most
+        if n >= left:
+            last = rows.select(h.alias("h"), key).where(F.substring("h", 1, digits) == start).orderBy("h", key).limit(left).agg(F.max(F.struct("h", key))).first()[0]
+            return (h < last["h"]) | ((h == last["h"]) & (F.col(key) <= last[key]))
+        left -= n
+    return F.lit(True)
+
+
 def batch_stats(rows: DataFrame) -> DataFrame:
     """One row: gate counters, kept records and their share of controls."""
     g1, g2 = F.size("g1_reasons") == 0, F.size("g2_reasons") == 0
