@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from labelframe.functions import text as T
 from labelframe.operators import programs as P
+from labelframe.sources.staging import staged
+
+
+#: Bigrams of a model that is broadcast.
+VOCABULARY = 400_000
 
 
 def bigram_rows(rows: DataFrame, text: Column, *keep: str) -> DataFrame:
@@ -19,7 +24,8 @@ def fit_bayes(rows: DataFrame, text: Column, label: str) -> tuple[DataFrame, Dat
     """(bigram, c1, c0) and one row (d1, d0, t1, t0, v): documents and bigrams per label, vocabulary size plus one."""
     one = F.col(label) == 1
     docs = rows.agg(F.count_if(one).alias("d1"), F.count_if(~one).alias("d0"))
-    counts = bigram_rows(rows, text, label).groupBy("bigram").agg(F.count_if(one).alias("c1"), F.count_if(~one).alias("c0"))
+    # written: totals and scores use the counts again, and would count all bigrams again
+    counts = staged(bigram_rows(rows, text, label).groupBy("bigram").agg(F.count_if(one).alias("c1"), F.count_if(~one).alias("c0")))
     totals = counts.agg(F.coalesce(F.sum("c1"), F.lit(0)).alias("t1"), F.coalesce(F.sum("c0"), F.lit(0)).alias("t0"), (F.count(F.lit(1)) + 1).alias("v"))
     return counts, totals.join(F.broadcast(docs))
 
@@ -29,9 +35,13 @@ def _log_ratio(c1: Column, c0: Column) -> Column:
 
 
 def score_bayes(rows: DataFrame, text: Column, key: str, model: tuple[DataFrame, DataFrame]) -> DataFrame:
-    """(key, score): log odds of label 1. Bigrams are counted per row before they meet the model; unknown ones count as zero in both labels."""
+    """(key, score): log odds of label 1; unknown bigrams count as zero in both labels. A vocabulary of up to ``VOCABULARY`` bigrams goes to the rows, so these are summed where they are; with a larger one, bigrams are counted per row before they meet it."""
     counts, totals = model
-    own = bigram_rows(rows, text, key).groupBy(key, "bigram").agg(F.count(F.lit(1)).alias("n"))
+    own = bigram_rows(rows, text, key)
+    if counts.count() <= VOCABULARY:
+        own, counts = own.withColumn("n", F.lit(1)), F.broadcast(counts)
+    else:
+        own = own.groupBy(key, "bigram").agg(F.count(F.lit(1)).alias("n"))
     scored = own.join(counts, "bigram", "left").join(F.broadcast(totals))
     sums = scored.groupBy(key).agg(F.sum(F.col("n") * _log_ratio(F.coalesce("c1", F.lit(0)), F.coalesce("c0", F.lit(0)))).alias("s"))
     prior = F.ln(F.greatest(F.lit(1), F.col("d1"))) - F.ln(F.greatest(F.lit(1), F.col("d0")))
