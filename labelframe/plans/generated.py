@@ -67,7 +67,8 @@ def generated_relabels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _k() -> Column:
-    return F.regexp_extract("sample_id", "-([0-9]{6})-", 1).cast("int")
+    """The index in a record's id, which has six digits or, from a million on, more."""
+    return F.regexp_extract("sample_id", "-([0-9]{6,})-", 1).cast("int")
 
 
 def _boxed(rows: DataFrame) -> DataFrame:
