@@ -244,7 +244,8 @@ def character_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo = F.least(F.col("_head"), k - 1)
     span = F.array(lo, F.greatest(k - F.col("_tail"), lo + 1))
     rows = staging.staged(rows.withColumn("injected_errors", F.transform("injected_errors", lambda e: e.withField("span", span))).drop("_g", "_m", "_head", "_tail"))
-    boxes = layout.laid_out(rows).select("sample_id", F.explode("render.char_boxes_px").alias("step_id", "chars")).select("sample_id", "step_id", F.explode("chars").alias("c"))
+    # outer: for a plain one Catalyst infers a filter that lays each page out once more; pages without characters go by the second one
+    boxes = layout.laid_out(rows).select("sample_id", F.explode_outer("render.char_boxes_px").alias("step_id", "chars")).select("sample_id", "step_id", F.explode("chars").alias("c"))
     return boxes.select("sample_id", "step_id", F.col("c.i").alias("i"), F.col("c.row").alias("row_no"), "c.char", *(F.round(F.col("c.bbox")[q], 4).alias(f"b{q}") for q in range(4)))
 
 
