@@ -41,20 +41,38 @@ def type_hits(gt_type: Column, predicted: Column, ambiguous: Column, retained: C
     return F.array(F.struct(gt_type.alias("type"), (F.array_contains(kinds, gt_type) & ~over).alias("exact_match"), ambiguous.alias("excluded_ambiguous"), over.alias("over_claim"), retained.alias("subtype_retained"))).cast(HIT)
 
 
+#: What an identifiable evaluation needs of the relabel map.
+LABELS = ("type_identifiable", "ambiguous_cross_family", "subtype_retained")
+
+
+def truth(records: DataFrame, relative: bool = False, labels: bool = False) -> DataFrame:
+    """What an evaluation needs of ``records``, one narrow row each: joins sort and send these instead of whole step programs. ``labels``: with the columns of the relabel map, which the records carry."""
+    site = F.get("injected_errors", 0)["mutation_site"]
+    needed = {
+        "_has_error": ~F.coalesce(F.col("control_flag.error_free"), F.lit(False)), "_types": F.transform("injected_errors", lambda e: F.coalesce(e["type"], F.lit(""))), "_boxes": error_boxes(relative),
+        "_text": F.col("transcript_gt.text"), "_at_gold": step_text(F.col("gold_solution"), site), "_at_mutant": step_text(F.col("mutant_solution"), site), "_awarded": F.col("score_gt.awarded").cast("long"),
+    }
+    return records.select("sample_id", *(v.alias(k) for k, v in needed.items()), *(LABELS if labels else ()))
+
+
 def evaluated(records: DataFrame, predictions: DataFrame, relative: bool = False, identifiable: bool = False, coarsen: bool = False) -> DataFrame:
     """One row per record that has a prediction: sample_id, parse_failure and the metrics.
 
     ``predictions``: sample_id, transcript, errors, score, failure. With ``identifiable`` the records must carry type_identifiable,
     ambiguous_cross_family and subtype_retained (``relabel.attach``).
     """
+    return rated(truth(records, relative, identifiable), predictions, identifiable, coarsen)
+
+
+def rated(truths: DataFrame, predictions: DataFrame, identifiable: bool = False, coarsen: bool = False) -> DataFrame:
+    """``evaluated`` on rows of ``truth``."""
     p = predictions.select("sample_id", F.col("transcript").alias("_said"), F.col("errors").alias("_errors"), F.col("score").alias("_score"), F.col("failure").alias("failure_reason"))
-    rows = records.join(p, "sample_id").withColumn("_boxes", error_boxes(relative))
-    has_error = ~F.coalesce(F.col("control_flag.error_free"), F.lit(False))
+    rows = truths.join(p.hint("merge"), "sample_id")  # as many rows on either side: never a broadcast, however small their files
+    has_error = F.col("_has_error")
     detected = F.size("_errors") > 0
-    site = F.get("injected_errors", 0)["mutation_site"]
     rows = rows.withColumns({
-        "_ref": T.normalize_text(F.col("transcript_gt.text")), "_hyp": T.normalize_text("_said"), "_lines": T.normalize_all(T.lines(F.col("_said"))),
-        "_gold": T.normalize_text(step_text(F.col("gold_solution"), site)), "_mutant": T.normalize_text(step_text(F.col("mutant_solution"), site)),
+        "_ref": T.normalize_text("_text"), "_hyp": T.normalize_text("_said"), "_lines": T.normalize_all(T.lines(F.col("_said"))),
+        "_gold": T.normalize_text("_at_gold"), "_mutant": T.normalize_text("_at_mutant"),
     })
     boxes = F.filter("_boxes", lambda b: b.isNotNull())
     best = F.when(has_error & detected, G.best_iou(F.transform("_errors", lambda e: e["bbox"]), boxes))
@@ -63,14 +81,14 @@ def evaluated(records: DataFrame, predictions: DataFrame, relative: bool = False
         hits = F.when(has_error, type_hits(F.col("type_identifiable"), kinds, F.coalesce("ambiguous_cross_family", F.lit(False)), F.coalesce("subtype_retained", F.lit(False)), coarsen)).otherwise(F.array().cast(HIT))
     else:
         none = F.lit(None).cast("boolean")
-        hits = F.transform("injected_errors", lambda e: F.struct(F.coalesce(e["type"], F.lit("")).alias("type"), F.array_contains(kinds, F.coalesce(e["type"], F.lit(""))).alias("exact_match"), none.alias("excluded_ambiguous"), none.alias("over_claim"), none.alias("subtype_retained"))).cast(HIT)
+        hits = F.transform("_types", lambda t: F.struct(t.alias("type"), F.array_contains(kinds, t).alias("exact_match"), none.alias("excluded_ambiguous"), none.alias("over_claim"), none.alias("subtype_retained"))).cast(HIT)
     failed = F.col("failure_reason").isNotNull()
-    over = F.when(has_error, F.coalesce((F.size("injected_errors") > 0) & T.over_corrected(F.col("_lines"), F.col("_gold"), F.col("_mutant")), F.lit(False)))
-    score, truth = F.col("_score"), F.col("score_gt.awarded").cast("long")
+    over = F.when(has_error, F.coalesce((F.size("_types") > 0) & T.over_corrected(F.col("_lines"), F.col("_gold"), F.col("_mutant")), F.lit(False)))
+    score, due = F.col("_score"), F.col("_awarded")
     metrics = {
         "detected_error": detected, "detection_correct": F.when(has_error, detected).otherwise(~detected), "transcript_cer": T.cer(F.col("_ref"), F.col("_hyp")),
         "over_correction": over, "bbox_iou": best, "bbox_iou_at_0_5": best >= 0.5, "type_exact_matches": hits,
-        "score_exact_match": score.eqNullSafe(truth), "score_within_1": F.coalesce(F.abs(score - truth) <= 1, F.lit(False)),
+        "score_exact_match": score.eqNullSafe(due), "score_within_1": F.coalesce(F.abs(score - due) <= 1, F.lit(False)),
     }
     return rows.select("sample_id", failed.alias("parse_failure"), "failure_reason", has_error.alias("has_error"), *(F.when(~failed, v).alias(k) for k, v in metrics.items()))
 

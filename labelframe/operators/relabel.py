@@ -60,7 +60,8 @@ def relabel_stats(rows: DataFrame) -> DataFrame:
 
 def attach(records: DataFrame, labels: DataFrame, key: str = "sample_id", mandatory: Column | None = None) -> DataFrame:
     """``records`` with the columns of the lookup table ``labels``. Rows where ``mandatory`` holds and no label is found make the job fail."""
-    found = records.join(labels.withColumn("_found", F.lit(True)), key, "left")
+    # a map has a row per record: Parquet files of millions of them pass for small, and a broadcast would hold all in the driver and each executor
+    found = records.join(labels.withColumn("_found", F.lit(True)).hint("merge"), key, "left")
     if mandatory is None:
         return found.drop("_found")
     missing = mandatory & F.col("_found").isNull()

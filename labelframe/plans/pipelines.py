@@ -62,15 +62,15 @@ class Options:
 
 def evaluation(records: DataFrame, predictions: DataFrame | None, options: Options = Options(), labels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(one row of metrics per record, one row of their summary); mock predictions are the truth."""
-    if options.identifiable:
-        if labels is None:
-            raise ValueError("an identifiable evaluation needs the relabel map")
-        given = labels.select("sample_id", "type_identifiable", "subtype_retained", "ambiguous_cross_family")
-        records = relabel.attach(records, given, mandatory=F.size("injected_errors") > 0)
+    if options.identifiable and labels is None:
+        raise ValueError("an identifiable evaluation needs the relabel map")
     said = metrics.mock_predictions(records, options.relative) if options.mock else predictions
     if said is None:
         raise ValueError("predictions are missing")
-    results = metrics.evaluated(records, said, options.relative, options.identifiable, options.coarsen)
+    truths = metrics.truth(records, options.relative)
+    if options.identifiable:
+        truths = relabel.attach(truths, labels.select("sample_id", *metrics.LABELS), mandatory=F.size("_types") > 0)
+    results = metrics.rated(truths, said, options.identifiable, options.coarsen)
     return results, metrics.summary(results, options.identifiable)
 
 
