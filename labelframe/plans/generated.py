@@ -144,23 +144,26 @@ def evaluation_coarsened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _identifiable(spark, sf_dir, True)
 
 
-def _rewarded(rows: DataFrame, identifiable: bool | None) -> DataFrame:
-    out = rewards.rewarded(_answered(rows), identifiable)
+def _reward_columns(answered: DataFrame, identifiable: bool | None) -> DataFrame:
+    out = rewards.rewarded(answered, identifiable)
     return out.select("sample_id", *(r6(f"reward.{k}").alias(k) for k in (*rewards.WEIGHTS, "total")))
 
 
 @query("record_rewards", E.REWARDS)
 def record_rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rewarded(_boxed(_records(spark, sf_dir)), False)
+    return _reward_columns(_answered(_boxed(_records(spark, sf_dir))), False)
 
 
 @query("record_rewards_identifiable", E.REWARDS_LABELLED)
 def record_rewards_identifiable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rewards of records that carry their relabelled types."""
     rows, labels = _labelled(spark, sf_dir)
+    # answered first, then only the steps that rewards look at: the join sorts and sends what is left
+    at_site = lambda steps: F.filter(steps, lambda s: s["step_id"] == F.get("injected_errors", 0)["mutation_site"])
+    rows = _answered(rows).select("sample_id", "injected_errors", "control_flag", "transcript_gt", "score_gt", "render", "out", at_site("gold_solution").alias("gold_solution"), at_site("mutant_solution").alias("mutant_solution"))
     given = relabel.attach(rows, labels.select("sample_id", F.col("type_identifiable").alias("t"), F.col("ambiguous_cross_family").alias("a")), mandatory=F.size("injected_errors") > 0)
     own = given.withColumn("injected_errors", F.transform("injected_errors", lambda e: e.withField("type_identifiable", F.col("t")).withField("ambiguous_cross_family", F.col("a")))).drop("t", "a")
-    return _rewarded(own, None)
+    return _reward_columns(own, None)
 
 
 @query("reward_inversions", E.INVERSIONS)
